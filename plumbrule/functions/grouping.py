@@ -78,3 +78,28 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_on: str) -> DataF
     picked = F.coalesce("_hv", "_cv")
     return joined.select(*[F.col(c) for c in left.columns],
                          *[picked.getField(v).alias(v) for v in values])
+
+
+SMALL_ROWS = 100_000
+
+
+def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+               max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Join a configuration-sized table that has one row per key.
+
+    Its size is checked first. Up to ``max_rows`` rows it is broadcast, so
+    frequent keys on the left never shuffle; a larger one goes through the
+    salted :func:`lookup`.
+    """
+    if right.limit(max_rows + 1).count() <= max_rows:
+        return left.join(F.broadcast(right), keys, how)
+    if how not in ("inner", "left"):
+        raise ValueError("a large right side supports inner and left joins")
+    values = [c for c in right.columns if c not in keys]
+    packed = right.select(F.struct(*keys).alias("_jk"), *values, F.lit(True).alias("_found"))
+    joined = lookup(
+        left.withColumn("_jk", F.struct(*keys)).withColumn("_pos", F.monotonically_increasing_id()),
+        packed, "_jk", "_pos")
+    if how == "inner":
+        joined = joined.where(F.col("_found"))
+    return joined.select(*keys, *[c for c in left.columns if c not in keys], *values)

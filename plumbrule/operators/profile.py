@@ -13,6 +13,8 @@ ranks, and only the few buckets holding a wanted rank are ordered.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -57,7 +59,8 @@ def quartiles(numbers: DataFrame) -> DataFrame:
         F.min("num").alias("lo"), F.max("num").alias("hi"))
     # At most one row of _BORDERS + 1 numbers per column.
     placed = numbers.join(F.broadcast(borders), "c")
-    slot = F.size(F.filter("b", lambda x: x < F.col("num")))
+    # Straight-line comparisons compile; a lambda over the array would be interpreted.
+    slot = reduce(add, [F.when(F.get("b", F.lit(i)) < F.col("num"), 1).otherwise(0) for i in range(_BORDERS - 1)])
     low = F.when(F.col("slot") == 0, F.col("lo")).otherwise(F.get("b", F.col("slot") - 1))
     high = F.when(F.col("slot") == _BORDERS - 1, F.col("hi")).otherwise(F.get("b", F.col("slot")))
     share = (F.col("num") - F.col("low")) / (F.col("high") - F.col("low"))
@@ -66,9 +69,12 @@ def quartiles(numbers: DataFrame) -> DataFrame:
     placed = (
         placed.select("c", "num", "n", "b", "lo", "hi", F.when(F.col("num").isNotNull(), slot).alias("slot"))
         .select("c", "num", "n", "slot", low.alias("low"), high.alias("high"))
-        .select("c", "num", "n", (F.col("slot") * _SLICES + fine).cast("int").alias("bucket")))
+        # Never NULL: an inferred IS NOT NULL would be pushed down and repeat this expression.
+        .select("c", "num", "n", F.coalesce((F.col("slot") * _SLICES + fine).cast("int"), F.lit(-1))
+                .alias("bucket")))
     # At most _BORDERS * _SLICES buckets per column.
-    filled = placed.groupBy("c", "bucket").agg(F.sum("n").alias("m")).where(F.col("bucket").isNotNull())
+    filled = placed.groupBy("c", "bucket").agg(
+        F.sum("n").alias("m"), F.count("num").alias("present")).where(F.col("present") > 0)
     running = W.partitionBy("c").orderBy("bucket")
     ranked = filled.select(
         "c", "bucket", "m",

@@ -130,9 +130,10 @@ class Validation:
             values = F.array(*[F.lit(d[i]).cast("string") for d in self.described])
             return F.get(values, F.col("f.ordinal"))
 
-        exploded = self.evaluated.select("record_ref", "row_index", F.explode("failures").alias("f"))
+        exploded = self.evaluated.select(
+            "record_ref", "row_index", "source_row_hash", F.explode("failures").alias("f"))
         return exploded.select(
-            F.lit(self.run_id).alias("run_id"), "record_ref", "row_index",
+            F.lit(self.run_id).alias("run_id"), "record_ref", "row_index", "source_row_hash",
             F.col("f.ordinal").alias("rule_ordinal"), field(1).alias("assignment_id"),
             field(4).alias("rule_type"), field(5).alias("column_name"), field(6).alias("severity"),
             F.col("f.failed_value").alias("failed_value"), field(7).alias("expected_value"),
