@@ -49,6 +49,18 @@ def joined_text(schema: T.StructType, names: Sequence[str]) -> Column:
     return F.concat_ws(UNIT_SEPARATOR, *[sentinel_text(schema, n) for n in names])
 
 
+def exact_text(schema: T.StructType, names: Sequence[str]) -> Column:
+    """Like :func:`joined_text` but unambiguous for any content: text carries its length."""
+    def part(name: str) -> Column:
+        c = canonical_of(schema, name)
+        if isinstance(schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType,
+                                              T.BooleanType)):
+            return F.coalesce(c, F.lit(NULL_SENTINEL))
+        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit(NULL_SENTINEL))
+
+    return F.concat_ws(UNIT_SEPARATOR, *[part(n) for n in names])
+
+
 def record_ref(schema: T.StructType, key: KeySpec, row_index: Column | None = None) -> Column:
     if key.is_reliable:
         return joined_text(schema, key.columns)
@@ -76,8 +88,8 @@ def row_hash(schema: T.StructType, names: Sequence[str] | None = None) -> Column
 
 
 def row_digest(schema: T.StructType, names: Sequence[str] | None = None) -> Column:
-    """The same fingerprint as 32 bytes, for use as a narrow shuffle key."""
-    return F.unhex(row_hash(schema, names))
+    """A 32-byte fingerprint of the whole row, for use as a narrow shuffle key."""
+    return F.unhex(F.sha2(exact_text(schema, sorted(names or schema.names)), 256))
 
 
 def key_digest(schema: T.StructType, names: Sequence[str]) -> Column:
@@ -90,7 +102,7 @@ def key_digest(schema: T.StructType, names: Sequence[str]) -> Column:
         if not isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
             return F.col(names[0])
         return F.unhex(F.sha2(canonical_of(schema, names[0]), 256))
-    return F.unhex(F.sha2(joined_text(schema, names), 256))
+    return F.unhex(F.sha2(exact_text(schema, names), 256))
 
 
 def staging_hash(names: Sequence[str]) -> Column:
