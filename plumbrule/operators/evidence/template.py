@@ -42,7 +42,7 @@ def _core(source: Column, case: str, delimiter: str) -> Column:
 
 def _core_of(source: Column, h: Column) -> Column:
     """The same for a hypothesis held in a column."""
-    joined = F.array_join(_words(source), h["delimiter"])
+    joined = F.call_function("array_join", _words(source), h["delimiter"])
     return F.when(h["case"] == "lower", F.lower(joined)).when(h["case"] == "upper", F.upper(joined)).otherwise(joined)
 
 
