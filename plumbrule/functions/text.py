@@ -129,6 +129,11 @@ def percent(part: Column, whole: Column) -> Column:
     return rounded_ratio(part, whole, 100)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half-up rounding that is not tipped by the noise of summing in another order."""
+    return F.round(F.round(c, digits + 4), digits)
+
+
 def finite(c: Column) -> Column:
     """The value as double, NULL unless it is a finite number."""
     d = c.try_cast("double")

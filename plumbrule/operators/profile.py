@@ -175,15 +175,15 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, include_top_val
         repeated.alias("duplicate_count"), text.percent(repeated, total).alias("duplicate_percentage"),
         pick(F.col("num_min"), F.col("text_min"), F.col("text_min")).alias("min_value"),
         pick(F.col("num_max"), F.col("text_max"), F.col("text_max")).alias("max_value"),
-        F.when(is_num, F.round(F.col("num_sum") / F.col("num_n"), 6)).alias("mean_value"),
-        F.when(is_num, F.round("median", 6)).alias("median_value"),
+        F.when(is_num, text.rounded(F.col("num_sum") / F.col("num_n"), 6)).alias("mean_value"),
+        F.when(is_num, text.rounded(F.col("median"), 6)).alias("median_value"),
         pick(F.col("mode_num"), F.col("mode_text")).alias("mode_value"),
         F.when(is_text, F.col("length_min")).alias("min_length"),
         F.when(is_text, F.col("length_max")).alias("max_length"),
         F.when(is_text, text.rounded_ratio(F.col("length_sum"), total - nulls)).alias("avg_length"),
         F.when(is_num, F.when(F.col("num_n") < 4, F.lit(0)).otherwise(F.col("outside"))).cast("bigint")
         .alias("outlier_count"),
-        F.when(is_num, F.round(F.sqrt(F.col("num_m2") / F.col("num_n")), 6)).alias("stddev_value"),
+        F.when(is_num, text.rounded(F.sqrt(F.col("num_m2") / F.col("num_n")), 6)).alias("stddev_value"),
         F.when(is_num, F.round("num_sum", 6)).alias("sum_value"),
         F.col("value_distribution"),
         F.struct(F.lit(exact).alias("exact_stats"), F.col("blank_count").alias("blank_count"),

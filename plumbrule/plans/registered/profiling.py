@@ -1,3 +1,295 @@
+"""Profiles, key discovery, rule detection and column roles of the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from plumbrule.operators import detect
+from plumbrule.operators.evidence.roles import applicable_strategies, column_roles
+from plumbrule.operators.keys import combo_evidence
+from plumbrule.operators.profile import (
+    dataset_duplicate_percentage, profile, profile_run_summary, steward_summary, top_values, value_counts,
+)
 from plumbrule.plans.registered import Registry
+from plumbrule.plans.registered.data import FAULTY_ORDERS, faulty_orders, table
 
 registry = Registry()
+
+# Columns of the profiled tables with their normalized type, for the SQL.
+COLUMNS = {
+    "orders": (("o_orderkey", "INTEGER"), ("o_custkey", "INTEGER"), ("o_orderstatus", "STRING"),
+               ("o_totalprice", "DECIMAL"), ("o_orderdate", "DATETIME"), ("o_orderpriority", "STRING")),
+    "lineitem": (("l_orderkey", "INTEGER"), ("l_partkey", "INTEGER"), ("l_suppkey", "INTEGER"),
+                 ("l_linenumber", "INTEGER"), ("l_quantity", "DECIMAL"), ("l_extendedprice", "DECIMAL"),
+                 ("l_discount", "DECIMAL"), ("l_tax", "DECIMAL"), ("l_returnflag", "STRING"),
+                 ("l_linestatus", "STRING"), ("l_shipdate", "DATETIME")),
+    "documents": (("doc_id", "INTEGER"), ("text", "STRING"), ("lang", "STRING"), ("source", "STRING"),
+                  ("n_chars", "INTEGER")),
+    "events": (("event_id", "INTEGER"), ("ts", "DATETIME"), ("user_id", "INTEGER"), ("event_type", "STRING"),
+               ("value", "DECIMAL"), ("props", "STRING")),
+    "customer": (("c_custkey", "INTEGER"), ("c_name", "STRING"), ("c_nationkey", "INTEGER"),
+                 ("c_acctbal", "DECIMAL"), ("c_mktsegment", "STRING")),
+    "part": (("p_partkey", "INTEGER"), ("p_name", "STRING"), ("p_brand", "STRING"), ("p_type", "STRING"),
+             ("p_size", "INTEGER"), ("p_retailprice", "DECIMAL")),
+}
+
+
+def _column_sql(source: str, name: str, kind: str) -> str:
+    numeric, words, times = kind in ("INTEGER", "DECIMAL"), kind == "STRING", kind == "DATETIME"
+    d = f"CAST({name} AS DOUBLE)"
+    text = f"CAST({name} AS VARCHAR)"
+    mode = f"(SELECT {d if numeric else name} FROM {source} WHERE {name} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    fence = (f"(SELECT quantile_cont({d}, 0.25) AS a, quantile_cont({d}, 0.75) AS b FROM {source})")
+    pct = "((20000 * ({0}) + count(*)) // (2 * count(*))) / 100.0".format
+    repeated = f"greatest(0, count({name}) - count(DISTINCT {name}))"
+    null = "CAST(NULL AS {})".format
+    six = "CAST(round(CAST({0} AS DECIMAL(38, 10)), 6) AS DOUBLE)".format
+    return f"""
+SELECT '{name}' AS column_name, '{kind}' AS normalized_data_type, count(*) AS row_count,
+  count(*) - count({name}) AS null_count, {pct(f'count(*) - count({name})')} AS null_percentage,
+  count(DISTINCT {name}) AS distinct_count, {pct(f'count(DISTINCT {name})')} AS distinct_percentage,
+  {repeated} AS duplicate_count, {pct(repeated)} AS duplicate_percentage,
+  {f'CAST(min({d}) AS VARCHAR)' if numeric else f'CAST(min({name}) AS VARCHAR)'} AS min_value,
+  {f'CAST(max({d}) AS VARCHAR)' if numeric else f'CAST(max({name}) AS VARCHAR)'} AS max_value,
+  {six(f'avg({d})') if numeric else null('DOUBLE')} AS mean_value,
+  {six(f'quantile_cont({d}, 0.5)') if numeric else null('DOUBLE')} AS median_value,
+  {null('VARCHAR') if times else f'CAST({mode} AS VARCHAR)'} AS mode_value,
+  {f'min(length({name}))' if words else null('BIGINT')} AS min_length,
+  {f'max(length({name}))' if words else null('BIGINT')} AS max_length,
+  {f'((200 * CAST(sum(length({name})) AS BIGINT) + count({name})) // (2 * count({name}))) / 100.0' if words
+    else null('DOUBLE')} AS avg_length,
+  {f'''(SELECT count(*) FROM {source}, {fence} WHERE {d} < a - 1.5 * (b - a) OR {d} > b + 1.5 * (b - a))'''
+    if numeric else null('BIGINT')} AS outlier_count,
+  {six(f'stddev_pop({d})') if numeric else null('DOUBLE')} AS stddev_value,
+  {f'round(sum({d}), 2)' if numeric else null('DOUBLE')} AS sum_value,
+  {f"count(*) FILTER (regexp_matches({text}, '^\\s*$'))" if words else '0'} AS blank_count
+FROM {source}"""
+
+
+def _profile_sql(source: str, columns: tuple[tuple[str, str], ...], prefix: str = "") -> str:
+    return prefix + " UNION ALL ".join(_column_sql(source, n, k) for n, k in columns)
+
+
+def _flat(profiles: DataFrame) -> DataFrame:
+    return profiles.select(
+        "column_name", "normalized_data_type", "row_count", "null_count", "null_percentage", "distinct_count",
+        "distinct_percentage", "duplicate_count", "duplicate_percentage", "min_value", "max_value", "mean_value",
+        "median_value", "mode_value", F.col("min_length").cast("bigint").alias("min_length"),
+        F.col("max_length").cast("bigint").alias("max_length"), "avg_length", "outlier_count", "stddev_value",
+        F.round("sum_value", 2).alias("sum_value"), F.col("pattern_summary.blank_count").alias("blank_count"))
+
+
+@registry.add("profile_orders", _profile_sql("faulty_orders", COLUMNS["orders"], "WITH " + FAULTY_ORDERS))
+def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(profile(faulty_orders(spark, sf_dir), include_top_values=False))
+
+
+@registry.add("profile_lineitem", _profile_sql("lineitem", COLUMNS["lineitem"]))
+def profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(profile(table(spark, sf_dir, "lineitem"), include_top_values=False))
+
+
+@registry.add("profile_documents", _profile_sql("documents", COLUMNS["documents"]))
+def profile_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(profile(table(spark, sf_dir, "documents"), include_top_values=False))
+
+
+@registry.add("profile_events", _profile_sql("events", COLUMNS["events"]))
+def profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(profile(table(spark, sf_dir, "events"), include_top_values=False))
+
+
+def _top_sql(source: str, columns: tuple[tuple[str, str], ...]) -> str:
+    return " UNION ALL ".join(f"""
+SELECT '{name}' AS column_name, position, value, n FROM (
+  SELECT v AS value, n, row_number() OVER (ORDER BY n DESC, v) AS position FROM (
+    SELECT substring(CAST({name} AS VARCHAR), 1, 100) AS v, count(*) AS n FROM {source} WHERE {name} IS NOT NULL
+    GROUP BY 1)) WHERE position <= 10""" for name, _ in columns)
+
+
+def _top(df: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in df.columns])
+    return top_values(value_counts(df)).select(
+        F.get(names, F.col("c")).alias("column_name"), F.posexplode("value_distribution").alias("at", "v")).select(
+        "column_name", (F.col("at") + 1).cast("bigint").alias("position"), F.col("v.value").alias("value"),
+        F.col("v.count").alias("n"))
+
+
+@registry.add("top_values_lineitem", _top_sql("lineitem", COLUMNS["lineitem"]))
+def top_values_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(table(spark, sf_dir, "lineitem"))
+
+
+@registry.add("top_values_documents", _top_sql("documents", COLUMNS["documents"]))
+def top_values_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _top(table(spark, sf_dir, "documents"))
+
+
+@registry.add("dataset_duplicates", """
+WITH kept AS (SELECT l_suppkey, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)
+SELECT count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT * FROM kept)) AS distinct_rows,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM kept)) AS duplicate_rows,
+  ((20000 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM kept))) + count(*)) // (2 * count(*))) / 100.0
+    AS duplicate_percentage FROM kept""")
+def dataset_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_duplicate_percentage(table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"))
+
+
+@registry.add("profile_summary", """
+SELECT count(*) AS sample_size, count(*) AS row_count, CAST(6 AS BIGINT) AS columns_profiled,
+       true AS is_full_scan FROM orders""")
+def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_run_summary(profile(table(spark, sf_dir, "orders"), include_top_values=False), None, True)
+
+
+@registry.add("steward_summary", "SELECT column_name, normalized_data_type, null_percentage, distinct_percentage, "
+              "duplicate_percentage, min_length, max_length FROM (" + _profile_sql("customer", COLUMNS["customer"]) + ")")
+def steward_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steward_summary(_flat(profile(table(spark, sf_dir, "customer"), include_top_values=False)))
+
+
+_KEY_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "flag")
+_KEY_COMBOS = tuple((c,) for c in _KEY_COLUMNS) + (
+    ("l_orderkey", "l_partkey"), ("l_orderkey", "l_suppkey"), ("l_orderkey", "flag"), ("l_partkey", "l_suppkey"),
+    ("l_orderkey", "l_partkey", "l_suppkey"), ("l_orderkey", "l_partkey", "flag"))
+
+
+def _combo_sql(combo: tuple[str, ...]) -> str:
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in combo)
+    return f"""
+SELECT '{','.join(combo)}' AS key_columns, CAST({len(combo)} AS BIGINT) AS width,
+  CAST((SELECT count(*) FROM keyed) AS BIGINT) AS total_rows_evaluated,
+  (SELECT count(*) FROM keyed WHERE NOT ({complete})) AS null_key_rows,
+  count(*) AS distinct_key_count, count(*) FILTER (n > 1) AS duplicate_key_groups
+FROM (SELECT {', '.join(combo)}, count(*) AS n FROM keyed WHERE {complete} GROUP BY {', '.join(combo)})"""
+
+
+@registry.add("key_evidence", """
+WITH keyed AS (SELECT l_orderkey, l_partkey, l_suppkey, CASE WHEN l_returnflag <> 'R' THEN l_returnflag END AS flag
+  FROM lineitem),
+found AS (""" + " UNION ALL ".join(_combo_sql(c) for c in _KEY_COMBOS) + """)
+SELECT *, CASE WHEN null_key_rows > 0 AND duplicate_key_groups > 0 THEN 'contains_null_values_and_duplicate_values'
+  WHEN null_key_rows > 0 THEN 'contains_null_values' WHEN duplicate_key_groups > 0 THEN 'duplicate_values' END AS reason,
+  CASE WHEN null_key_rows = 0 AND duplicate_key_groups = 0 THEN 'VERIFIED_UNIQUE' END AS verification_level
+FROM found""")
+def key_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey",
+        F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("flag"))
+    return combo_evidence(keyed, _KEY_COMBOS).select(
+        "key_columns", F.col("width").cast("bigint").alias("width"), "total_rows_evaluated", "null_key_rows",
+        "distinct_key_count", "duplicate_key_groups", "reason", "verification_level")
+
+
+# Contact table derived from customers: names of the columns decide, or the values do.
+CONTACTS = """
+contacts AS (
+  SELECT c_custkey AS customer_id, c_name AS notes, lower(c_mktsegment) || '@example.org' AS reach,
+         '+1 555-' || CAST(1000000 + c_nationkey AS VARCHAR) AS line, c_acctbal AS balance,
+         c_mktsegment AS mobile_kind, c_nationkey AS region_no, c_nationkey * 2 AS grade FROM customer)"""
+
+
+def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("notes"),
+        F.concat(F.lower("c_mktsegment"), F.lit("@example.org")).alias("reach"),
+        F.concat(F.lit("+1 555-"), (F.col("c_nationkey") + 1000000).cast("string")).alias("line"),
+        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("mobile_kind"),
+        F.col("c_nationkey").alias("region_no"), (F.col("c_nationkey") * 2).alias("grade"))
+
+
+_CATEGORIES = (
+    "SELECT 'customer_id' AS column_name, 'id' AS category, 0.85 AS confidence, 'UNIQUENESS' AS rule_type, "
+    "'{\"max_duplicate_percentage\":0}' AS definition "
+    "UNION ALL SELECT 'notes', 'id', 0.80, 'UNIQUENESS', '{\"max_duplicate_percentage\":0}' "
+    "UNION ALL SELECT 'reach', 'email', 0.96, 'PATTERN', '{\"regex\":\"^[^@\\\\s]+@[^@\\\\s]+\\\\.[^@\\\\s]+$\"}' "
+    "UNION ALL SELECT 'line', 'phone', 0.92, 'PATTERN', '{\"regex\":\"^\\\\+?[0-9][0-9\\\\-\\\\s]{7,18}$\"}' "
+    "UNION ALL SELECT 'mobile_kind', 'phone', 0.92, 'PATTERN', "
+    "'{\"regex\":\"^\\\\+?[0-9][0-9\\\\-\\\\s]{7,18}$\"}' "
+    "UNION ALL SELECT 'balance', CASE WHEN u THEN 'id' ELSE 'numeric' END, CASE WHEN u THEN 0.80 ELSE 0.88 END, "
+    "CASE WHEN u THEN 'UNIQUENESS' ELSE 'RANGE' END, CASE WHEN u THEN '{\"max_duplicate_percentage\":0}' ELSE "
+    "'{\"min\":' || lo || ',\"max\":' || hi || '}' END FROM (SELECT count(DISTINCT balance) > 0.75 * count(*) AS u, "
+    "min(balance) AS lo, max(balance) AS hi FROM contacts) "
+    "UNION ALL SELECT 'region_no', 'numeric', 0.80, 'RANGE', '{\"min\":' || CAST(min(region_no) AS DOUBLE) || "
+    "',\"max\":' || CAST(max(region_no) AS DOUBLE) || '}' FROM contacts "
+    "UNION ALL SELECT 'grade', 'numeric', 0.80, 'RANGE', '{\"min\":' || CAST(min(grade) AS DOUBLE) || ',\"max\":' || "
+    "CAST(max(grade) AS DOUBLE) || '}' FROM contacts")
+
+
+@registry.add("detect_rules", "WITH " + CONTACTS + " SELECT column_name, category, CAST(confidence AS DOUBLE) AS "
+              "confidence, rule_type, definition FROM (" + _CATEGORIES + ")")
+def detect_contact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.detect_rules(profile(_contacts(spark, sf_dir))).select(
+        "column_name", "category", "confidence", "rule_type", "definition")
+
+
+@registry.add("undecided_columns", """
+SELECT count(*) AS considered, least(count(*), 2) AS listed, greatest(count(*) - 2, 0) AS beyond_cap FROM (
+  SELECT count(DISTINCT lang) AS d, count(*) AS n FROM documents UNION ALL
+  SELECT count(DISTINCT source), count(*) FROM documents UNION ALL
+  SELECT count(DISTINCT text), count(*) FROM documents) WHERE d <= 0.75 * n""")
+def undecided_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect_rules(profile(table(spark, sf_dir, "documents")))
+    return detect.undecided_report(found, cap=2).select(
+        "considered", F.col("listed").cast("bigint").alias("listed"), F.col("beyond_cap").cast("bigint").alias("beyond_cap"))
+
+
+@registry.add("merged_proposals", """
+SELECT 'lang' AS column_name, 'PATTERN' AS rule_type, '{"regex":"^[a-z]{2}$"}' AS definition, 0.9 AS confidence
+WHERE (SELECT count(*) FROM documents) > 0""")
+def merged_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = detect.detect_rules(profile(documents.select("doc_id", "lang", "source")))
+    answer = (
+        '```json\n[{"column_name":"lang","rule_type":"PATTERN","definition":{"regex":"^[a-z]{2}$"},"confidence":0.9},'
+        '{"column_name":"source","rule_type":"GUESS","definition":{}},{"column_name":"ghost","rule_type":"RANGE",'
+        '"definition":{}},{"column_name":"source","rule_type":"RANGE","definition":"none"}]\n```')
+    responses = documents.agg(F.count(F.lit(1)).alias("n")).select(F.lit(answer).alias("text"))
+    merged = detect.merge_proposals(found, detect.parse_rule_proposals(responses))
+    return merged.select("column_name", "rule_type", "definition", "confidence")
+
+
+@registry.add("current_rule_versions", """
+SELECT rule_id, definition, version, version = max(version) OVER (PARTITION BY rule_id) AS is_current FROM (
+  SELECT CAST(o_custkey AS VARCHAR) AS rule_id, CAST(o_orderkey AS VARCHAR) AS definition,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS version
+  FROM orders)""")
+def current_rule_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("rule_id"), F.col("o_orderkey").cast("string").alias("definition"),
+        F.col("o_orderdate").alias("published_at"))
+    return detect.current_versions(versions).select(
+        "rule_id", "definition", F.col("version").cast("bigint").alias("version"), "is_current")
+
+
+@registry.add("column_roles", """
+WITH stats AS (""" + _profile_sql("part", COLUMNS["part"]) + """)
+SELECT column_name, CASE WHEN column_name = 'p_partkey' THEN 'IDENTIFIER'
+  WHEN normalized_data_type IN ('INTEGER', 'DECIMAL') THEN
+    CASE WHEN distinct_percentage >= 95 AND row_count >= 20 THEN 'IDENTIFIER' ELSE 'MEASURE' END
+  WHEN distinct_percentage >= 95 THEN 'IDENTIFIER' ELSE 'DIMENSION' END AS role FROM stats""")
+def part_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_roles(profile(table(spark, sf_dir, "part"), include_top_values=False), ("p_partkey",)).select(
+        "column_name", "role")
+
+
+@registry.add("applicable_strategies", """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE
+  WHEN kind IN ('INTEGER') AND rule IN ('COMPLETENESS', 'UNIQUENESS') THEN 'SEQUENCE'
+  WHEN kind IN ('INTEGER') AND rule IN ('RANGE', 'PATTERN') THEN 'RELATIONSHIP'
+  WHEN kind = 'STRING' AND rule = 'COMPLETENESS' THEN 'SEQUENCE,TEMPLATE'
+  WHEN kind = 'STRING' AND rule = 'UNIQUENESS' THEN 'SEQUENCE'
+  WHEN kind = 'STRING' AND rule = 'PATTERN' THEN 'TEMPLATE'
+  WHEN kind = 'DATE' AND rule IN ('COMPLETENESS', 'UNIQUENESS') THEN 'TEMPORAL' ELSE '' END AS strategies
+FROM (SELECT l_orderkey, l_linenumber, l_partkey,
+        CASE l_returnflag WHEN 'A' THEN 'INTEGER' WHEN 'N' THEN 'STRING' ELSE 'DATE' END AS kind,
+        CASE WHEN l_linenumber <= 2 THEN 'COMPLETENESS' WHEN l_linenumber <= 4 THEN 'UNIQUENESS'
+             WHEN l_linenumber <= 6 THEN 'RANGE' ELSE 'PATTERN' END AS rule FROM lineitem)""")
+def strategies_of_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    kind = F.when(flag == "A", "INTEGER").when(flag == "N", "STRING").otherwise("DATE")
+    rule = F.when(line <= 2, "COMPLETENESS").when(line <= 4, "UNIQUENESS").when(line <= 6, "RANGE").otherwise("PATTERN")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.array_join(F.array_sort(applicable_strategies(kind, rule)), ",").alias("strategies"))
