@@ -14,7 +14,7 @@ output), spread evenly by a salt that no right-hand row carries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOT_KEYS = 1024
 _SALTS = 1 << 16
@@ -103,3 +103,36 @@ def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     if how == "inner":
         joined = joined.where(F.col("_found"))
     return joined.select(*keys, *[c for c in left.columns if c not in keys], *values)
+
+
+def keep_matching(df: DataFrame, refs: DataFrame, key: str, matching: bool = True,
+                  max_rows: int = SMALL_ROWS) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is (or is not) among ``refs``.
+
+    A small set of references is broadcast after a size check, so the table
+    does not shuffle; a larger one goes through the salted :func:`lookup`.
+    """
+    wanted = refs.select(key).where(F.col(key).isNotNull()).distinct()
+    if wanted.limit(max_rows + 1).count() <= max_rows:
+        return df.join(F.broadcast(wanted), key, "left_semi" if matching else "left_anti")
+    marked = lookup(df.withColumn("_pos", F.monotonically_increasing_id()),
+                    wanted.withColumn("_there", F.lit(True)), key, "_pos")
+    there = F.coalesce("_there", F.lit(False))
+    return marked.where(there if matching else ~there).select(*df.columns)
+
+
+def number_in_group(df: DataFrame, by: str, time: str, tie: str, out: str, total: str) -> DataFrame:
+    """Number rows per ``by`` in the order of (``time``, ``tie``), from 1, and add the group's size.
+
+    Rows are ordered within (group, day) only; the running count of the
+    earlier days comes from a table with one row per group and day.
+    """
+    dated = df.withColumn("_day", F.date_trunc("day", time)).withColumn("_slot", F.struct(by, "_day"))
+    per_day = dated.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_by", F.col(f"_slot.{by}"))
+    running = W.partitionBy("_by").orderBy("_slot._day")
+    offsets = per_day.select(
+        "_slot", (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(W.partitionBy("_by")).alias("_all"))
+    placed = lookup(dated.withColumn("_pos", F.monotonically_increasing_id()), offsets, "_slot", "_pos")
+    inside = F.row_number().over(W.partitionBy("_slot").orderBy(time, tie))
+    return placed.select(*df.columns, (F.col("_before") + inside).alias(out), F.col("_all").alias(total))

@@ -28,7 +28,8 @@ def judged_events(events: DataFrame, suggestions: DataFrame) -> DataFrame:
     and handed to the issue's other events by a skew-safe lookup.
     """
     known = suggestions.select("suggestion_id", "suggested_value", "source")
-    joined = events.join(known, "suggestion_id", "left")
+    # Many events name no suggestion: their NULL keys must not meet in one task.
+    joined = lookup(events, known, "suggestion_id", "event_id")
     action = F.col("action")
     value = F.when(action == "ACCEPT", F.col("suggested_value")).when(action.isin("EDIT", "CORRECT"), F.col("value"))
     blank = ~action.isin(*TERMINAL) & text.is_blank(value)
@@ -85,24 +86,25 @@ def bulk_outcomes(batches: DataFrame, issues: DataFrame, events: DataFrame) -> D
     batches sharing an issue with it are refused.
     """
     final = events.where(F.col("action").isin(*TERMINAL)).groupBy("issue_id").agg(F.min("decided_at").alias("_final"))
-    known = issues.select("issue_id", F.lit(True).alias("_known")).distinct()
-    checked = batches.join(known, "issue_id", "left").join(final, "issue_id", "left").withColumn(
+    known = issues.select("issue_id").distinct().join(final, "issue_id", "left").withColumn("_known", F.lit(True))
+    placed = batches.withColumn("_pos", F.monotonically_increasing_id())
+    checked = lookup(placed, known, "issue_id", "_pos").withColumn(
         "_bad", F.col("_known").isNull() | F.coalesce(F.col("_final") <= F.col("decided_at"), F.lit(False)))
-    verdict = checked.groupBy("batch_id").agg(F.bool_or("_bad").alias("bad"), F.min("decided_at").alias("at"))
+    verdict = cut_lineage(checked.groupBy("batch_id").agg(F.bool_or("_bad").alias("bad"), F.min("decided_at").alias("at")))
     settled = verdict.where("bad").select("batch_id", F.lit(False).alias("accepted"))
-    items = cut_lineage(batches.select("batch_id", "issue_id").distinct().join(
-        verdict.where(~F.col("bad")).select("batch_id", "at"), "batch_id"))
-    settled = cut_lineage(settled)
+    pairs = placed.select("batch_id", "issue_id").distinct().withColumn("_pos", F.xxhash64("batch_id", "issue_id"))
+    items = cut_lineage(lookup(pairs, verdict, "batch_id", "_pos").where(~F.col("bad")).drop("bad"))
     while not items.isEmpty():
         first = items.groupBy("issue_id").agg(F.min(F.struct("at", "batch_id")).alias("first"))
-        ahead = items.join(first, "issue_id").withColumn("leads", F.col("first.batch_id") == F.col("batch_id"))
-        winners = ahead.groupBy("batch_id").agg(F.bool_and("leads").alias("wins")).where("wins").select("batch_id")
-        taken = items.join(winners, "batch_id", "left_semi").select("issue_id").distinct()
-        losers = items.join(winners, "batch_id", "left_anti").join(taken, "issue_id", "left_semi").select(
-            "batch_id").distinct()
-        done = winners.withColumn("accepted", F.lit(True)).unionByName(losers.withColumn("accepted", F.lit(False)))
-        settled = cut_lineage(settled.unionByName(done))
-        items = cut_lineage(items.join(settled, "batch_id", "left_anti"))
+        ahead = lookup(items, first, "issue_id", "_pos").withColumn("leads", F.col("first.batch_id") == F.col("batch_id"))
+        wins = ahead.groupBy("batch_id").agg(F.bool_and("leads").alias("wins"))
+        judged = cut_lineage(lookup(items, wins, "batch_id", "_pos"))
+        taken = judged.where("wins").select("issue_id").distinct().withColumn("taken", F.lit(True))
+        hit = lookup(judged, taken, "issue_id", "_pos").groupBy("batch_id").agg(
+            F.bool_or("wins").alias("accepted"), F.count("taken").alias("taken"))
+        done = cut_lineage(hit.where(F.col("accepted") | (F.col("taken") > 0)).select("batch_id", "accepted"))
+        settled = settled.unionByName(done)
+        items = cut_lineage(lookup(items, done, "batch_id", "_pos").where(F.col("accepted").isNull()).drop("accepted"))
     return settled
 
 

@@ -6,7 +6,9 @@ import json
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from plumbrule.functions.grouping import number_in_group
 from plumbrule.functions.text import name_has_token
+from plumbrule.operators.evidence.gate import unfenced
 from plumbrule.spec import NUMERIC_TYPES, RULE_TYPES, TEMPORAL_TYPES, RuleSpec, SpecError
 
 # Detection patterns, name tokens and scores.
@@ -111,8 +113,6 @@ _PROPOSAL = "array<struct<column_name:string,rule_type:string,definition:string,
 
 def parse_rule_proposals(responses: DataFrame, text_column: str = "text") -> DataFrame:
     """External proposals (a JSON array, possibly fenced) as rows; unusable text yields none."""
-    from plumbrule.operators.evidence.gate import unfenced
-
     parsed = F.from_json(unfenced(F.col(text_column)), _PROPOSAL)
     return responses.select(F.explode(parsed).alias("p")).select("p.*")
 
@@ -157,8 +157,5 @@ def promotion_outcomes(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def current_versions(versions: DataFrame) -> DataFrame:
     """Number versions per rule by publication time and mark the last one as current."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("rule_id").orderBy("published_at", "definition")
-    return versions.withColumn("version", F.row_number().over(order)).withColumn(
-        "is_current", F.col("version") == F.max("version").over(W.partitionBy("rule_id")))
+    numbered = number_in_group(versions, "rule_id", "published_at", "definition", "version", "_versions")
+    return numbered.withColumn("is_current", F.col("version") == F.col("_versions")).drop("_versions")

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbrule.functions import text
-from plumbrule.functions.grouping import join_small, lookup
+from plumbrule.functions.grouping import join_small, keep_matching, lookup
 from plumbrule.operators.evidence.roles import applicable_strategies, strategy_fits_rule
 from plumbrule.spec import KeySpec
 
@@ -35,9 +35,8 @@ def locate_issues(df: DataFrame, key: KeySpec, issues: DataFrame) -> DataFrame:
     issue columns, ``matches`` and ``row`` (struct, NULL unless matches = 1).
     """
     ref = text.record_ref(df.schema, key)
-    asked = issues.select("record_ref").where(F.col("record_ref").isNotNull()).distinct()
     keyed = df.select(ref.alias("record_ref"), F.struct(*df.columns).alias("row"))
-    found = keyed.join(asked, "record_ref", "left_semi").groupBy("record_ref").agg(
+    found = keep_matching(keyed, issues, "record_ref").groupBy("record_ref").agg(
         F.count(F.lit(1)).alias("matches"), F.first("row").alias("row"))
     located = lookup(issues, found, "record_ref", "issue_id")
     return located.withColumn("matches", F.coalesce("matches", F.lit(0).cast("bigint"))).withColumn(

@@ -8,6 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbrule.functions import text
+from plumbrule.functions.grouping import keep_matching
 from plumbrule.operators.evidence import AMBIGUOUS, CANDIDATE, INSUFFICIENT, NO_RELATIONSHIP
 
 # The transformations tried and the support they need.
@@ -145,5 +146,5 @@ def template_evidence(training: DataFrame, failing: DataFrame, target: str, sour
 
 def training_rows(df: DataFrame, record_ref: Column, issues: DataFrame, target: str) -> DataFrame:
     """Rows without an open issue on ``target``."""
-    under_review = issues.where(F.col("column_name") == target).select(F.col("record_ref").alias("_ref")).distinct()
-    return df.withColumn("_ref", record_ref).join(under_review, "_ref", "left_anti").drop("_ref")
+    under_review = issues.where(F.col("column_name") == target).select(F.col("record_ref").alias("_ref"))
+    return keep_matching(df.withColumn("_ref", record_ref), under_review, "_ref", matching=False).drop("_ref")

@@ -7,7 +7,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plumbrule.functions.grouping import join_small
+from plumbrule.functions.grouping import join_small, lookup
 
 
 def _within(c: str, start: Column, end: Column) -> Column:
@@ -202,10 +202,11 @@ def suggestion_trace(suggestions: DataFrame, ai_suggestions: DataFrame, prompts:
     backed = (F.col("source") == "AI") & F.col("ai_suggestion_id").isNotNull()
     wanted = suggestions.select("suggestion_id", "source", F.when(backed, F.col("ai_suggestion_id")).alias("ai_suggestion_id"))
     calls = ai_suggestions.select("ai_suggestion_id", "provider", "model", "prompt_version_id",
-                                  F.lit(True).alias("_found"))
-    joined = wanted.join(calls, "ai_suggestion_id", "left")
-    named = join_small(joined, prompts.select("prompt_version_id", "prompt_key", "version_number"),
-                       ["prompt_version_id"], "left").join(totals, "ai_suggestion_id", "left")
+                                  F.lit(True).alias("_found")).join(totals, "ai_suggestion_id", "left")
+    known = join_small(calls, prompts.select("prompt_version_id", "prompt_key", "version_number"),
+                       ["prompt_version_id"], "left")
+    # Most suggestions are not backed by a call; the lookup spreads their NULL keys.
+    named = lookup(wanted, known, "ai_suggestion_id", "suggestion_id")
     status = (F.when(F.col("ai_suggestion_id").isNull(), "NO_AI_CALL")
               .when(F.col("_found").isNull(), "BROKEN_LINKAGE").otherwise("OK"))
     return named.select(
@@ -215,7 +216,11 @@ def suggestion_trace(suggestions: DataFrame, ai_suggestions: DataFrame, prompts:
         F.coalesce("successful_calls", F.lit(0).cast("bigint")).alias("successful_calls"), "total_tokens")
 
 
-def ranked_scores(runs: DataFrame) -> DataFrame:
-    """Scored runs numbered per dataset, newest first."""
+def ranked_scores(runs: DataFrame, keep: int = 1) -> DataFrame:
+    """The ``keep`` newest scored runs per dataset, numbered.
+
+    The filter on the number lets Spark drop older runs before the shuffle.
+    """
     order = W.partitionBy("dataset_id").orderBy(F.desc("created_at"), F.desc("run_id"))
-    return runs.where(F.col("quality_score").isNotNull()).withColumn("recency", F.row_number().over(order))
+    ranked = runs.where(F.col("quality_score").isNotNull()).withColumn("recency", F.row_number().over(order))
+    return ranked.where(F.col("recency") <= keep)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbrule.functions import text
-from plumbrule.functions.grouping import join_small
+from plumbrule.functions.grouping import join_small, keep_matching, number_in_group
 from plumbrule.operators import rules as R
 from plumbrule.operators.evidence.rank import locate_issues
 from plumbrule.spec import KeySpec, RuleSpec, check_rules, normalized_type, staging_type
@@ -113,9 +113,8 @@ def staging_summary(staged: DataFrame) -> DataFrame:
 
 def attempts(runs: DataFrame) -> DataFrame:
     """Number the staging attempts of each review; the last one is current."""
-    order = W.partitionBy("review_run_id").orderBy("created_at", "staging_run_id")
-    return runs.withColumn("attempt_number", F.row_number().over(order)).withColumn(
-        "is_current", F.lead(F.lit(1)).over(order).isNull())
+    numbered = number_in_group(runs, "review_run_id", "created_at", "staging_run_id", "attempt_number", "_attempts")
+    return numbered.withColumn("is_current", F.col("attempt_number") == F.col("_attempts")).drop("_attempts")
 
 
 def coerced(value: Column, data_type: T.DataType) -> Column:
@@ -214,9 +213,8 @@ def split_changed(staged: DataFrame, key: KeySpec, corrections: DataFrame, chang
     """
     if not key.is_reliable:
         return staged.where(F.lit(not changed))
-    refs = corrections.select("record_ref").distinct()
     keyed = staged.withColumn("record_ref", text.record_ref(staged.schema, key))
-    return keyed.join(refs, "record_ref", "left_semi" if changed else "left_anti").select(*staged.columns)
+    return keep_matching(keyed, corrections, "record_ref", changed).select(*staged.columns)
 
 
 def with_change_flag(staged: DataFrame, key: KeySpec, corrections: DataFrame) -> DataFrame:

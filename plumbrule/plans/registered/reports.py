@@ -214,10 +214,11 @@ def latest_completed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add("ranked_scores", "WITH " + RUNS + """
-SELECT run_id, dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, run_id DESC) AS recency
-FROM runs WHERE quality_score IS NOT NULL""")
+SELECT run_id, dataset_id, recency FROM (SELECT run_id, dataset_id,
+  row_number() OVER (PARTITION BY dataset_id ORDER BY created_at DESC, run_id DESC) AS recency
+  FROM runs WHERE quality_score IS NOT NULL) WHERE recency <= 3""")
 def ranked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.ranked_scores(runs(spark, sf_dir)).select(
+    return reports.ranked_scores(runs(spark, sf_dir), keep=3).select(
         "run_id", "dataset_id", F.col("recency").cast("bigint").alias("recency"))
 
 
@@ -237,7 +238,7 @@ SELECT CAST(w.o_orderkey AS VARCHAR) AS suggestion_id, w.call IS NOT NULL AS is_
   o.o_orderpriority AS model, c_name AS prompt_key, coalesce(calls, 0) AS calls,
   coalesce(successful_calls, 0) AS successful_calls, total_tokens
 FROM wanted w LEFT JOIN orders o ON o.o_orderkey = w.call AND o.o_totalprice < 400000
-LEFT JOIN customer ON c_custkey = o.o_custkey LEFT JOIN used ON l_orderkey = w.call""")
+LEFT JOIN customer ON c_custkey = o.o_custkey LEFT JOIN used ON l_orderkey = o.o_orderkey""")
 def suggestion_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     made = orders.select(
