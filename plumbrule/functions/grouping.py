@@ -54,19 +54,24 @@ def with_group_size(
         "_gk", "_hk", "_hn", "_gs", "_ck", "_cn", "_cs")
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, spread_on: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, spread_on: str,
+           counted_from: DataFrame | None = None) -> DataFrame:
     """Left join where ``right`` holds at most one row per ``key``.
 
-    The hot keys are counted on the left, where the repetition is. Right rows
-    must be of bounded width: at most ``HOT_KEYS`` of them are broadcast.
+    The hot keys are counted on the left, where the repetition is, or in
+    ``counted_from`` when ``left`` is derived from it by joins that keep its
+    rows. Right rows must be of bounded width: at most ``HOT_KEYS`` of them
+    are broadcast.
     """
     values = [c for c in right.columns if c != key]
     hot_keys = (
-        left.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        (left if counted_from is None else counted_from).select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1).orderBy(F.desc("_n")).limit(HOT_KEYS).select(key)
     )
     packed = right.select(F.col(key), F.struct(*values).alias("_rv"))
-    hot = packed.join(F.broadcast(hot_keys), key, "left_semi").select(
+    # An inner join on the distinct hot keys: a semi join would be pushed below an aggregate on the
+    # right, which would then be computed twice instead of sharing its exchange.
+    hot = packed.join(F.broadcast(hot_keys), key).select(
         F.col(key).alias("_hk"), F.col("_rv").alias("_hv"))
     cold = packed.select(F.col(key).alias("_ck"), F.col("_rv").alias("_cv"),
                          F.lit(0).cast("bigint").alias("_cs"))

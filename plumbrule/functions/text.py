@@ -87,9 +87,17 @@ def row_hash(schema: T.StructType, names: Sequence[str] | None = None) -> Column
     return F.sha2(joined_text(schema, sorted(names or schema.names)), 256)
 
 
+def digest(joined: Column) -> Column:
+    """SHA-256 as 32 bytes, typed as never NULL.
+
+    Otherwise Spark would filter on IS NOT NULL before joins and hash twice.
+    """
+    return F.coalesce(F.unhex(F.sha2(joined, 256)), F.lit(bytearray()))
+
+
 def row_digest(schema: T.StructType, names: Sequence[str] | None = None) -> Column:
     """A 32-byte fingerprint of the whole row, for use as a narrow shuffle key."""
-    return F.unhex(F.sha2(exact_text(schema, sorted(names or schema.names)), 256))
+    return digest(exact_text(schema, sorted(names or schema.names)))
 
 
 def key_digest(schema: T.StructType, names: Sequence[str]) -> Column:
@@ -102,7 +110,7 @@ def key_digest(schema: T.StructType, names: Sequence[str]) -> Column:
         if not isinstance(data_type, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
             return F.col(names[0])
         return F.unhex(F.sha2(canonical_of(schema, names[0]), 256))
-    return F.unhex(F.sha2(exact_text(schema, names), 256))
+    return digest(exact_text(schema, names))
 
 
 def staging_hash(names: Sequence[str]) -> Column:
@@ -137,7 +145,8 @@ def rounded(c: Column, digits: int) -> Column:
 def finite(c: Column) -> Column:
     """The value as double, NULL unless it is a finite number."""
     d = c.try_cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
+    # NaN sorts above infinity.
+    return F.when((d < F.lit(float("inf"))) & (d > F.lit(float("-inf"))), d)
 
 
 def close(a: Column, b: Column, rel: float, absolute: float) -> Column:

@@ -36,7 +36,7 @@ def judged_events(events: DataFrame, suggestions: DataFrame) -> DataFrame:
     ends = events.where(action.isin(*TERMINAL)).groupBy("issue_id").agg(F.min(_at()).alias("ended"))
     placed = lookup(
         joined.select(*events.columns, "source", value.alias("final_value"), blank.alias("blank")),
-        ends, "issue_id", "event_id")
+        ends, "issue_id", "event_id", counted_from=events)
     reason = (F.when(_at() > F.col("ended"), "already rejected or skipped")
               .when(F.col("blank"), "blank value"))
     return placed.select(*events.columns, "source", "final_value", reason.alias("refused_reason"))

@@ -116,7 +116,7 @@ def relationship_evidence(
     dims = [d for d in dimensions if d != target]
     used = [m for m in measures if m != target]
     shapes = shapes_of(used)
-    key = F.unhex(F.sha2(text.exact_text(df.schema, dims), 256)) if dims else F.lit("all")
+    key = text.digest(text.exact_text(df.schema, dims)) if dims else F.lit("all")
     moments = group_moments(df, target, shapes, key)
     keyed = failing.withColumn("_group", key)
     numbers = {c: text.finite(F.col(c)) for c in {target, *used}}

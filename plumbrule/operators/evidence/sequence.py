@@ -24,14 +24,17 @@ def sequence_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
     """
     v = text.strip(F.col("value"))
     number = F.regexp_extract(v, IDENTIFIER, 2)
+    # Never NULL, and NULL numbers are told apart by an aggregate: an IS NOT NULL test of a parsed value
+    # would be pushed down to the scan and parse every row again.
     parsed = values.select(
-        "column_name", F.regexp_extract(v, IDENTIFIER, 1).alias("prefix"),
-        F.regexp_extract(v, IDENTIFIER, 3).alias("suffix"), number.try_cast("decimal(38,0)").alias("number"),
+        "column_name", F.coalesce(F.regexp_extract(v, IDENTIFIER, 1), F.lit("")).alias("prefix"),
+        F.coalesce(F.regexp_extract(v, IDENTIFIER, 3), F.lit("")).alias("suffix"), number.try_cast("decimal(38,0)").alias("number"),
         F.length(F.regexp_replace(number, "^-", "")).alias("width"))
     counts = parsed.groupBy("column_name", "prefix", "suffix", "number").agg(
-        F.count(F.lit(1)).alias("n"), F.min("width").alias("w0"), F.max("width").alias("w1"))
+        F.count(F.lit(1)).alias("n"), F.count("number").alias("known"),
+        F.min("width").alias("w0"), F.max("width").alias("w1")).where(F.col("n") > 0)
     schemes = counts.groupBy("column_name", "prefix", "suffix").agg(
-        F.sum("n").alias("n_all"), F.sum(F.when(F.col("number").isNotNull(), F.col("n"))).alias("members"),
+        F.sum("n").alias("n_all"), F.sum("known").alias("members"),
         F.count("number").alias("d"), F.min("number").alias("least"), F.max("number").alias("most"),
         F.min("w0").alias("w0"), F.max("w1").alias("w1"))
     columns = schemes.groupBy("column_name").agg(
@@ -45,7 +48,7 @@ def sequence_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
         & (F.col("most") - F.col("least") < F.lit(10**18)))
     # One row per column.
     series = counts.join(F.broadcast(usable.select("column_name", "prefix", "suffix", "least")),
-                         ["column_name", "prefix", "suffix"]).where(F.col("number").isNotNull()).select(
+                         ["column_name", "prefix", "suffix"]).where(F.col("known") > 0).select(
         "column_name", (F.col("number") - F.col("least")).cast("bigint").alias("idx"))
     facts = progression(series, ["column_name"], F.lit(True))
     joined = columns.join(

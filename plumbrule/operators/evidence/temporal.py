@@ -33,7 +33,7 @@ def parse_instants(values: DataFrame) -> DataFrame:
     clock = F.regexp_extract(v, ISO_TIME, 2)
     zone = F.regexp_replace(F.regexp_extract(v, ISO_TIME, 3), "^(Z|-00:00)$", "+00:00")
     whole = values.select(
-        "column_name", day_text.try_cast("date").alias("day"), clock.alias("clock"), zone.alias("zone"),
+        "column_name", *[c for c in values.columns if c not in ("column_name", "value")], day_text.try_cast("date").alias("day"), clock.alias("clock"), zone.alias("zone"),
         v.rlike(ISO_DATE).alias("is_date"))
     parts = F.split("clock", "[:.]")
     hour = F.coalesce(F.get(parts, F.lit(0)).try_cast("bigint"), F.lit(0))
@@ -43,7 +43,8 @@ def parse_instants(values: DataFrame) -> DataFrame:
     days = F.datediff("day", F.lit(_EPOCH).cast("date")).cast("bigint")
     valid = F.coalesce(F.col("day").isNotNull() & (hour < 24) & (minute < 60) & (second < 60), F.lit(False))
     at = days * _DAY + ((hour * 60 + minute) * 60 + second) * 1_000_000 + micro
-    return whole.select("column_name", *[F.when(valid, c).alias(n) for n, c in (
+    kept = [c for c in values.columns if c != "value"]
+    return whole.select(*kept, *[F.when(valid, c).alias(n) for n, c in (
         ("is_date", F.col("is_date")), ("zone", F.col("zone")), ("micros", at))])
 
 
@@ -72,16 +73,18 @@ def temporal_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
     months. Distinct instants are ordered only when they fit the slot limit,
     or follow a calendar convention (which the calendar itself bounds).
     """
-    parsed = parse_instants(values)
+    # Each distinct text is parsed once. Filters below test aggregates, because a test of a parsed
+    # value would be pushed down to the scan and parse every row again.
+    parsed = parse_instants(values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("times")))
     tod = F.col("micros") % F.lit(_DAY)
     tod = F.when(tod < 0, tod + F.lit(_DAY)).otherwise(tod)
     distinct = parsed.groupBy("column_name", "micros").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and("is_date").alias("is_date"),
+        F.sum("times").alias("n"), F.count("micros").alias("known"), F.bool_and("is_date").alias("is_date"),
         F.min("zone").alias("z0"), F.max("zone").alias("z1"))
     day = _day_of(F.col("micros"))
     month_day = F.month(day) * 100 + F.dayofmonth(day)
     columns = distinct.groupBy("column_name").agg(
-        F.coalesce(F.sum(F.when(F.col("micros").isNotNull(), F.col("n"))), F.lit(0)).alias("observed"),
+        F.coalesce(F.sum(F.when(F.col("known") > 0, F.col("n"))), F.lit(0)).alias("observed"),
         F.count("micros").alias("d"),
         F.bool_and("is_date").alias("is_date"), F.min("z0").alias("z0"), F.max("z1").alias("z1"),
         (F.min(tod) == F.max(tod)).alias("same_time"), F.min(tod).alias("tod"),
@@ -96,7 +99,7 @@ def temporal_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
         ~F.col("mixed") & (F.col("observed") >= min_observations) & (F.col("d") >= 2)
         & ((F.col("d") <= MAX_DISTINCT) | F.col("monthly") | F.col("yearly")))
     # One row per column.
-    placed = distinct.where(F.col("micros").isNotNull()).select("column_name", "micros").join(
+    placed = distinct.where(F.col("known") > 0).select("column_name", "micros").join(
         F.broadcast(usable.select("column_name", "d", "monthly", "yearly")), "column_name")
     series = placed.select("column_name", F.inline(F.filter(F.array(
         F.when(F.col("d") <= MAX_DISTINCT, F.struct(F.lit(FIXED).alias("kind"), F.col("micros").alias("idx"))),

@@ -108,13 +108,13 @@ _PROFILE = ("normalized_data_type", "mode_value", "median_value", "stddev_value"
 def with_context(issues: DataFrame, assignments: DataFrame, profiles: DataFrame) -> DataFrame:
     """Issues with their rule's definition and their column's profile.
 
-    Both tables are configuration-sized; their size is checked before they
-    are broadcast.
+    The assignments are broadcast after a size check. A profile has one row
+    per column of the dataset, so its size is bounded by the schema.
     """
     rules = assignments.select("assignment_id", "definition")
     stats = profiles.select("column_name", *_PROFILE)
     ruled = join_small(issues, rules, ["assignment_id"], "left")
-    return join_small(ruled, stats, ["column_name"], "left").withColumn("failed_value", F.col("original_value"))
+    return ruled.join(F.broadcast(stats), "column_name", "left").withColumn("failed_value", F.col("original_value"))
 
 
 def drafts(context: DataFrame) -> DataFrame:

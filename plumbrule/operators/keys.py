@@ -32,8 +32,8 @@ def combo_evidence(df: DataFrame, combos: Sequence[Sequence[str]], is_full_scan:
         complete = F.lit(True)
         for c in combo:
             complete = complete & F.col(c).isNotNull()
-        digest = F.unhex(F.sha2(text.exact_text(schema, list(combo)), 256))
-        cells.append(F.struct(F.lit(i).alias("combo"), F.when(complete, digest).alias("k")))
+        k = F.when(complete, text.digest(text.exact_text(schema, list(combo))))
+        cells.append(F.struct(F.lit(i).alias("combo"), k.alias("k")))
     sizes = df.select(F.inline(F.array(*cells))).groupBy("combo", "k").agg(F.count(F.lit(1)).alias("n"))
     found = sizes.groupBy("combo").agg(
         F.sum("n").alias("total_rows_evaluated"),

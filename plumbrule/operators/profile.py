@@ -27,8 +27,9 @@ from plumbrule.spec import NUMERIC_TYPES, TEMPORAL_TYPES, TEXT_TYPES, normalized
 MAX_TOP_VALUES = 10
 MAX_TOP_VALUE_LENGTH = 100
 
-_BORDERS = 32
-_SLICES = 1024
+# Few enough borders for the generated comparison code to be compiled by the JVM.
+_BORDERS = 16
+_SLICES = 4096
 
 PROFILE_COLUMNS = (
     "column_name", "normalized_data_type", "null_count", "null_percentage", "distinct_count",
@@ -118,8 +119,11 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, include_top_val
     has_numbers = any(numeric)
 
     freq = value_counts(df, names).where(F.col("n") > 0)
-    numbers = freq.select(
-        "c", "value", "n", F.when(_by_position(numeric, "boolean"), text.finite(F.col("value"))).alias("num"))
+    parsed = freq.select("c", "value", "n", F.when(
+        _by_position(numeric, "boolean"), F.col("value").try_cast("double")).alias("num"))
+    # NaN sorts above infinity, so one comparison per side leaves only finite numbers.
+    finite = (F.col("num") < F.lit(float("inf"))) & (F.col("num") > F.lit(float("-inf")))
+    numbers = parsed.select("c", "value", "n", F.when(finite, F.col("num")).alias("num"))
 
     counts = numbers.groupBy("c").agg(
         F.sum("n").alias("total"),
