@@ -19,34 +19,59 @@ VERIFIED, SAMPLED, AMBIGUOUS, NONE = "VERIFIED_UNIQUE", "SAMPLE_CANDIDATE", "AMB
 DISCOVERY_SAMPLE_ROWS = 5_000
 
 
+# A grouping id is a 64-bit mask, one bit per column.
+_MAX_COLUMNS = 60
+
+
+def _batches(combos: Sequence[Sequence[str]]) -> list[list[tuple[str, ...]]]:
+    """Split combinations so that no batch uses more columns than a grouping id can hold."""
+    out: list[list[tuple[str, ...]]] = [[]]
+    used: set[str] = set()
+    for combo in combos:
+        if out[-1] and len(used | set(combo)) > _MAX_COLUMNS:
+            out.append([])
+            used = set()
+        used |= set(combo)
+        out[-1].append(tuple(combo))
+    return out
+
+
 def combo_evidence(df: DataFrame, combos: Sequence[Sequence[str]], is_full_scan: bool = True) -> DataFrame:
     """Uniqueness evidence for several column combinations in one pass.
 
-    Each row yields one (combination, digest) pair per combination; pairs are
-    combined before the shuffle, and rows with a NULL part collapse into one
-    NULL digest per combination.
+    All combinations are grouping sets of one aggregation, combined before the
+    shuffle. Text columns are replaced by a digest once per row, so neither
+    hashing nor long text is repeated per combination.
     """
-    schema = df.schema
-    cells = []
-    for i, combo in enumerate(combos):
-        complete = F.lit(True)
-        for c in combo:
-            complete = complete & F.col(c).isNotNull()
-        k = F.when(complete, text.digest(text.exact_text(schema, list(combo))))
-        cells.append(F.struct(F.lit(i).alias("combo"), k.alias("k")))
-    sizes = df.select(F.inline(F.array(*cells))).groupBy("combo", "k").agg(F.count(F.lit(1)).alias("n"))
-    found = sizes.groupBy("combo").agg(
+    parts = [_grouped(df, batch, is_full_scan) for batch in _batches(combos)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _grouped(df: DataFrame, combos: Sequence[tuple[str, ...]], is_full_scan: bool) -> DataFrame:
+    used = [c for c in df.columns if any(c in combo for combo in combos)]
+    bit = {c: 1 << (len(used) - 1 - i) for i, c in enumerate(used)}
+    gids = [sum(bit[c] for c in used if c not in combo) for combo in combos]
+    keys = df.select(*[text.key_digest(df.schema, [c]).alias(c) for c in used])
+    sizes = keys.groupingSets([[F.col(c) for c in combo] for combo in combos], *[F.col(c) for c in used]).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    incomplete = F.lit(False)
+    for c in used:
+        incomplete = incomplete | (F.col(c).isNull() & (F.col("gid").bitwiseAND(F.lit(bit[c])) == 0))
+    found = sizes.select("gid", "n", incomplete.alias("incomplete")).groupBy("gid").agg(
         F.sum("n").alias("total_rows_evaluated"),
-        F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("null_key_rows"),
-        F.count("k").alias("distinct_key_count"),
-        F.count_if(F.col("k").isNotNull() & (F.col("n") > 1)).alias("duplicate_key_groups"))
+        F.coalesce(F.sum(F.when(F.col("incomplete"), F.col("n"))), F.lit(0)).alias("null_key_rows"),
+        F.count_if(~F.col("incomplete")).alias("distinct_key_count"),
+        F.count_if(~F.col("incomplete") & (F.col("n") > 1)).alias("duplicate_key_groups"))
     has_null, has_repeat = F.col("null_key_rows") > 0, F.col("duplicate_key_groups") > 0
     reason = (F.when(has_null & has_repeat, "contains_null_values_and_duplicate_values")
               .when(has_null, "contains_null_values").when(has_repeat, "duplicate_values"))
-    names = F.array(*[F.lit(",".join(c)) for c in combos])
-    widths = F.array(*[F.lit(len(c)) for c in combos])
+    at = F.array_position(F.array(*[F.lit(g).cast("bigint") for g in gids]), F.col("gid").cast("bigint")).cast("int") - 1
     return found.select(
-        F.get(names, F.col("combo")).alias("key_columns"), F.get(widths, F.col("combo")).alias("width"),
+        F.get(F.array(*[F.lit(",".join(c)) for c in combos]), at).alias("key_columns"),
+        F.get(F.array(*[F.lit(len(c)) for c in combos]), at).alias("width"),
         F.when(reason.isNull(), "CANDIDATE").otherwise("REJECTED").alias("status"), reason.alias("reason"),
         "total_rows_evaluated", "null_key_rows", "distinct_key_count", "duplicate_key_groups",
         F.when(reason.isNull(), F.lit(VERIFIED if is_full_scan else SAMPLED)).alias("verification_level"))
