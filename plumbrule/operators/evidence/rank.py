@@ -27,9 +27,11 @@ def stale_keys(issues: DataFrame, key_changes: DataFrame, runs: DataFrame) -> Da
     ).drop("last_changed", "run_created")
 
 
-def locate_issues(df: DataFrame, key: KeySpec, issues: DataFrame) -> DataFrame:
+def locate_issues(df: DataFrame, key: KeySpec, issues: DataFrame, unique_only: bool = True) -> DataFrame:
     """Each issue with how many current rows carry its key, and the row when it is exactly one.
 
+    With ``unique_only`` off, one of the rows stands for a repeated key.
+
     The keyed rows are reduced to the keys under review and counted per key
     before the join, so a repeated key never multiplies issues. Output: the
     issue columns, ``matches`` and ``row`` (struct, NULL unless matches = 1).
@@ -39,8 +41,8 @@ def locate_issues(df: DataFrame, key: KeySpec, issues: DataFrame) -> DataFrame:
     found = keep_matching(keyed, issues, "record_ref").groupBy("record_ref").agg(
         F.count(F.lit(1)).alias("matches"), F.first("row").alias("row"))
     located = lookup(issues, found, "record_ref", "issue_id")
-    return located.withColumn("matches", F.coalesce("matches", F.lit(0).cast("bigint"))).withColumn(
-        "row", F.when(F.col("matches") == 1, F.col("row")))
+    counted = located.withColumn("matches", F.coalesce("matches", F.lit(0).cast("bigint")))
+    return counted.withColumn("row", F.when(F.col("matches") == 1, F.col("row"))) if unique_only else counted
 
 
 def availability(key: KeySpec, key_changed: Column, record_ref: Column, matches: Column) -> Column:

@@ -116,7 +116,7 @@ def relationship_evidence(
     dims = [d for d in dimensions if d != target]
     used = [m for m in measures if m != target]
     shapes = shapes_of(used)
-    key = text.digest(text.exact_text(df.schema, dims)) if dims else F.lit("all")
+    key = text.digest(text.exact_text(df.schema, dims)) if dims else F.lit("whole table")
     moments = group_moments(df, target, shapes, key)
     keyed = failing.withColumn("_group", key)
     numbers = {c: text.finite(F.col(c)) for c in {target, *used}}
@@ -125,11 +125,7 @@ def relationship_evidence(
         F.coalesce(_prediction(s, F.lit(1.0), numbers.__getitem__), F.lit(None).cast("double")) for s in shapes])
     issues = keyed.select("issue_id", "_group", _magnitude(numbers[target]).alias("own_class"),
                           own.alias("own"), base.alias("base"))
-    if dims:
-        joined = lookup(issues, moments, "_group", "issue_id")
-    else:
-        # Without dimensions the whole table is one group: a single row of moments.
-        joined = issues.drop("_group").crossJoin(F.broadcast(moments.drop("_group")))
+    joined = lookup(issues, moments, "_group", "issue_id")
 
     scaled = F.array(*[F.lit(s.kind in ("constant_within_group", "ratio_consistency")) for s in shapes])
 

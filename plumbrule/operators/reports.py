@@ -50,9 +50,8 @@ def rule_effectiveness(failures: DataFrame, runs: DataFrame, rules: DataFrame, s
     per_rule = by_severity.groupBy("rule_id", "rule_name", "rule_type").agg(
         F.sum("n").alias("failure_count"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("severity_breakdown"))
-    whole = per_rule.agg(F.sum("failure_count").alias("_all"))
-    # A single row.
-    return per_rule.crossJoin(F.broadcast(whole)).select(
+    whole = by_severity.agg(F.sum("n").alias("_all"))
+    return per_rule.withColumn("_all", whole.scalar()).select(
         "rule_id", "rule_name", "rule_type", "failure_count", "severity_breakdown",
         (F.col("failure_count") / F.col("_all")).alias("failure_rate")
     ).orderBy(F.desc("failure_count"), "rule_id")

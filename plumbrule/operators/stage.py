@@ -71,7 +71,7 @@ def stage_records(df: DataFrame, key: KeySpec, scope: DataFrame) -> DataFrame:
     """
     records = corrected_records(scope).withColumn("issue_id", F.col("record_ref"))
     if key.is_reliable:
-        located = locate_issues(df, key, records)
+        located = locate_issues(df, key, records, unique_only=False)
     else:
         empty = F.lit(None).cast(T.StructType(df.schema.fields))
         located = records.withColumn("matches", F.lit(0).cast("bigint")).withColumn("row", empty)

@@ -72,6 +72,19 @@ def relationship_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text.rounded(F.col("candidate_value"), 4).alias("candidate_value"))
 
 
+@registry.add("relationship_summaries", "WITH " + BILLS + """
+SELECT bill AS issue_id, 'CANDIDATE' AS status, 'sum_consistency' AS relationship_type,
+  CAST(count(*) OVER (PARTITION BY l_returnflag, l_linestatus) - 1 AS VARCHAR) AS group_size, failing
+FROM (SELECT *, total < 0 AS failing FROM bills) QUALIFY failing""")
+def relationship_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bills = _bills(spark, sf_dir)
+    failing = bills.where("total < 0").withColumn("issue_id", F.col("bill"))
+    found = relationship_evidence(bills, failing, "total", ["l_returnflag", "l_linestatus"], ["net", "fee"])
+    shown = gate.evidence_summary(found)
+    return shown.select("issue_id", *[F.get_json_object("summary", f"$.{k}").alias(k) for k in (
+        "status", "relationship_type", "group_size")], F.get_json_object("summary", "$.available").cast("boolean").alias("failing"))
+
+
 # --- sequences -----------------------------------------------------------------
 
 IDENTIFIERS = """
