@@ -29,7 +29,7 @@ MAX_TOP_VALUE_LENGTH = 100
 
 # Few enough borders for the generated comparison code to be compiled by the JVM.
 _BORDERS = 16
-_SLICES = 4096
+_SLICES = 512
 
 PROFILE_COLUMNS = (
     "column_name", "normalized_data_type", "null_count", "null_percentage", "distinct_count",
