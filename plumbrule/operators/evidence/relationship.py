@@ -46,34 +46,41 @@ def shapes_of(measures: Sequence[str]) -> list[Shape]:
         + [Shape("difference_consistency", p) for p in permutations(used, 2)])
 
 
-def _derived(shape: Shape, value) -> Column | None:
-    if shape.kind == "product_consistency":
-        return value(shape.related[0]) * value(shape.related[1])
-    if shape.kind == "sum_consistency":
-        return value(shape.related[0]) + value(shape.related[1])
-    if shape.kind == "difference_consistency":
-        return value(shape.related[0]) - value(shape.related[1])
-    return None
+# Shapes are written as SQL over the target ``t`` and the measures ``v0``, ``v1``, ...: with 15 measures there
+# are several hundred, and text is much faster to build than that many Column objects.
 
 
-def _observation(shape: Shape, target: Column, value) -> Column:
+def _derived(shape: Shape, at: dict[str, str]) -> str:
+    sign = {"product_consistency": "*", "sum_consistency": "+", "difference_consistency": "-"}[shape.kind]
+    return f"({at[shape.related[0]]} {sign} {at[shape.related[1]]})"
+
+
+def _observation(shape: Shape, at: dict[str, str]) -> str:
     """What is averaged: the target, target / measure, or the relative error of a derived value."""
     if shape.kind == "constant_within_group":
-        return target
+        return "t"
     if shape.kind == "ratio_consistency":
-        base = value(shape.related[0])
-        return F.when(base != 0, target / base)
-    derived = _derived(shape, value)
-    return F.abs(target - derived) / F.greatest(F.abs(target), F.abs(derived), F.lit(1e-9))
+        return f"t / nullif({at[shape.related[0]]}, 0.0D)"
+    d = _derived(shape, at)
+    return f"abs(t - {d}) / CASE WHEN t IS NULL OR {d} IS NULL THEN NULL ELSE greatest(abs(t), abs({d}), 1e-9D) END"
 
 
-def _prediction(shape: Shape, mean: Column, value) -> Column:
+def _prediction(shape: Shape, at: dict[str, str]) -> str:
+    """The value itself for derived shapes, what the fitted mean is multiplied with for the others."""
     if shape.kind == "constant_within_group":
-        return mean
+        return "1.0D"
     if shape.kind == "ratio_consistency":
-        base = value(shape.related[0])
-        return F.when(base != 0, mean * base)
-    return _derived(shape, value)
+        return f"nullif({at[shape.related[0]]}, 0.0D)"
+    return _derived(shape, at)
+
+
+def _array(parts: Sequence[str]) -> Column:
+    return F.expr("array(" + ", ".join(parts) + ")")
+
+
+def _numbers(df: DataFrame, target: str, measures: Sequence[str], keep: Sequence[Column]) -> DataFrame:
+    return df.select(*keep, text.finite(F.col(target)).alias("t"), *[
+        text.finite(F.col(m)).alias(f"v{i}") for i, m in enumerate(measures)])
 
 
 def _magnitude(target: Column) -> Column:
@@ -81,23 +88,23 @@ def _magnitude(target: Column) -> Column:
     return F.coalesce(F.floor(F.log2(F.abs(target)) / 8).cast("int"), F.when(target == 0, -9998).otherwise(-9999))
 
 
-def group_moments(df: DataFrame, target: str, shapes: Sequence[Shape], group_key: Column) -> DataFrame:
+def group_moments(df: DataFrame, target: str, measures: Sequence[str], shapes: Sequence[Shape],
+                  group_key: Column) -> DataFrame:
     """One row per group: its size and its moments per magnitude class and shape.
 
-    A class holds an array of (n, mean, m2) with one entry per shape. Both the
-    number of shapes and the number of classes (about 270, the exponent range
-    of a double) are bounded whatever the group's size.
+    A class holds an array of (i, n, mean, m2) with one entry per shape. Both
+    the number of shapes and the number of classes (about 270, the exponent
+    range of a double) are bounded whatever the group's size.
     """
-    values = {c: text.finite(F.col(c)) for c in {target, *[m for s in shapes for m in s.related]}}
-    stats: list[Column] = [F.count(F.lit(1)).alias("size")]
-    for i, s in enumerate(shapes):
-        x = F.col(f"_x{i}")
-        stats.append(F.struct(F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"),
-                              F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("m2")).alias(f"_m{i}"))
-    observed = df.select(group_key.alias("_group"), _magnitude(values[target]).alias("_class"), *[
-        text.finite(_observation(s, values[target], values.__getitem__)).alias(f"_x{i}") for i, s in enumerate(shapes)])
-    per_class = observed.groupBy("_group", "_class").agg(*stats).select(
-        "_group", "_class", "size", F.array(*[F.col(f"_m{i}") for i in range(len(shapes))]).alias("moments"))
+    at = {m: f"v{i}" for i, m in enumerate(measures)}
+    observed = _numbers(df, target, measures, [group_key.alias("_group")]).select(
+        "_group", _magnitude(F.col("t")).alias("_class"), F.posexplode(_array([_observation(s, at) for s in shapes])).alias("i", "raw"))
+    x = text.finite(F.col("raw"))
+    per_shape = observed.select("_group", "_class", "i", x.alias("x")).groupBy("_group", "_class", "i").agg(
+        F.count(F.lit(1)).alias("size"), F.count("x").alias("n"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop("x") * F.count("x"), F.lit(0.0)).alias("m2"))
+    per_class = per_shape.groupBy("_group", "_class").agg(
+        F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("i", "n", "mean", "m2"))).alias("moments"))
     return per_class.groupBy("_group").agg(
         F.sum("size").alias("size"), F.collect_list(F.struct("_class", "moments")).alias("classes"))
 
@@ -114,20 +121,18 @@ def relationship_evidence(
     computed once.
     """
     dims = [d for d in dimensions if d != target]
-    used = [m for m in measures if m != target]
+    used = [m for m in measures if m != target][:MAX_MEASURES]
     shapes = shapes_of(used)
+    at = {m: f"v{i}" for i, m in enumerate(used)}
     key = text.digest(text.exact_text(df.schema, dims)) if dims else F.lit("whole table")
-    moments = group_moments(df, target, shapes, key)
-    keyed = failing.withColumn("_group", key)
-    numbers = {c: text.finite(F.col(c)) for c in {target, *used}}
-    own = F.array(*[text.finite(_observation(s, numbers[target], numbers.__getitem__)) for s in shapes])
-    base = F.array(*[
-        F.coalesce(_prediction(s, F.lit(1.0), numbers.__getitem__), F.lit(None).cast("double")) for s in shapes])
-    issues = keyed.select("issue_id", "_group", _magnitude(numbers[target]).alias("own_class"),
-                          own.alias("own"), base.alias("base"))
+    moments = group_moments(df, target, used, shapes, key)
+    issues = _numbers(failing, target, used, [F.col("issue_id"), key.alias("_group")]).select(
+        "issue_id", "_group", _magnitude(F.col("t")).alias("own_class"),
+        F.transform(_array([_observation(s, at) for s in shapes]), text.finite).alias("own"),
+        _array([_prediction(s, at) for s in shapes]).alias("base"))
     joined = lookup(issues, moments, "_group", "issue_id")
 
-    scaled = F.array(*[F.lit(s.kind in ("constant_within_group", "ratio_consistency")) for s in shapes])
+    scaled = _array([str(s.kind in ("constant_within_group", "ratio_consistency")).lower() for s in shapes])
 
     none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
@@ -154,7 +159,8 @@ def relationship_evidence(
         def add(acc: Column, c: Column) -> Column:
             m = F.get(c["moments"], i)
             mine = (c["_class"] == F.col("own_class")) & x.isNotNull()
-            return merged(acc, F.when(mine, without_own(m, x)).otherwise(m))
+            whole = F.struct(m["n"].alias("n"), m["mean"].alias("mean"), m["m2"].alias("m2"))
+            return merged(acc, F.when(mine, without_own(m, x)).otherwise(whole))
 
         m = F.aggregate("classes", none, add)
         return F.struct(m["n"].alias("n"), m["mean"].alias("mean"), m["m2"].alias("m2"),

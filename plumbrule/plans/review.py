@@ -9,6 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbrule.functions import text
+from plumbrule.functions.storage import cut_lineage
 from plumbrule.operators import generate
 from plumbrule.operators.evidence import rank
 from plumbrule.operators.evidence.progression import column_values
@@ -54,18 +55,19 @@ def gather_evidence(df: DataFrame, key: KeySpec, issues: DataFrame, profiles: Da
 
     The number of evidence passes depends on the columns under review, which
     are read from the issues first (at most one row per column and rule type);
-    each pass then serves all issues of its column.
+    each pass then serves all issues of its column. The located issues are
+    checkpointed, because every pass reads them.
     """
     typed = typed_issues(df, issues)
     kinds = F.array_sort(applicable_strategies(F.col("normalized_data_type"), F.col("rule_type")))
-    wanted = typed.where(F.col("column_name").isNotNull()).select(
+    located = rank.locate_issues(df, key, typed)
+    usable = cut_lineage(located.where(rank.availability(
+        key, F.lit(False), F.col("record_ref"), F.col("matches")) == "AVAILABLE"))
+    wanted = usable.where(F.col("column_name").isNotNull()).select(
         "column_name", F.explode(kinds).alias("strategy")).distinct().collect()
     columns: dict[str, list[str]] = {}
     for row in wanted:
         columns.setdefault(row["strategy"], []).append(row["column_name"])
-    located = rank.locate_issues(df, key, typed)
-    usable = located.where(rank.availability(
-        key, F.lit(False), F.col("record_ref"), F.col("matches")) == "AVAILABLE")
 
     found: list[DataFrame] = []
     for family, judge in (("SEQUENCE", sequence_evidence), ("TEMPORAL", temporal_evidence)):
