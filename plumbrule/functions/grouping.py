@@ -24,6 +24,12 @@ def _spread(hot: Column, spread_on: Column) -> Column:
     return F.when(hot, F.pmod(F.xxhash64(spread_on), F.lit(_SALTS)) + 1).otherwise(F.lit(0).cast("bigint"))
 
 
+def _content(df: DataFrame) -> Column:
+    """A salt source from the row itself, the same in whatever order the rows arrive."""
+    usable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*usable)
+
+
 def with_group_size(
     df: DataFrame, key: str, out: str, spread_on: str, counted_from: DataFrame | None = None
 ) -> DataFrame:
@@ -103,7 +109,7 @@ def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     values = [c for c in right.columns if c not in keys]
     packed = right.select(F.struct(*keys).alias("_jk"), *values, F.lit(True).alias("_found"))
     joined = lookup(
-        left.withColumn("_jk", F.struct(*keys)).withColumn("_pos", F.monotonically_increasing_id()),
+        left.withColumn("_jk", F.struct(*keys)).withColumn("_pos", _content(left)),
         packed, "_jk", "_pos")
     if how == "inner":
         joined = joined.where(F.col("_found"))
@@ -120,7 +126,7 @@ def keep_matching(df: DataFrame, refs: DataFrame, key: str, matching: bool = Tru
     wanted = refs.select(key).where(F.col(key).isNotNull()).distinct()
     if wanted.limit(max_rows + 1).count() <= max_rows:
         return df.join(F.broadcast(wanted), key, "left_semi" if matching else "left_anti")
-    marked = lookup(df.withColumn("_pos", F.monotonically_increasing_id()),
+    marked = lookup(df.withColumn("_pos", _content(df)),
                     wanted.withColumn("_there", F.lit(True)), key, "_pos")
     there = F.coalesce("_there", F.lit(False))
     return marked.where(there if matching else ~there).select(*df.columns)
@@ -138,6 +144,6 @@ def number_in_group(df: DataFrame, by: str, time: str, tie: str, out: str, total
     offsets = per_day.select(
         "_slot", (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
         F.sum("_n").over(W.partitionBy("_by")).alias("_all"))
-    placed = lookup(dated.withColumn("_pos", F.monotonically_increasing_id()), offsets, "_slot", "_pos")
+    placed = lookup(dated.withColumn("_pos", _content(df)), offsets, "_slot", "_pos")
     inside = F.row_number().over(W.partitionBy("_slot").orderBy(time, tie))
     return placed.select(*df.columns, (F.col("_before") + inside).alias(out), F.col("_all").alias(total))

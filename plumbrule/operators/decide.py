@@ -87,7 +87,7 @@ def bulk_outcomes(batches: DataFrame, issues: DataFrame, events: DataFrame) -> D
     """
     final = events.where(F.col("action").isin(*TERMINAL)).groupBy("issue_id").agg(F.min("decided_at").alias("_final"))
     known = issues.select("issue_id").distinct().join(final, "issue_id", "left").withColumn("_known", F.lit(True))
-    placed = batches.withColumn("_pos", F.monotonically_increasing_id())
+    placed = batches.withColumn("_pos", F.xxhash64("batch_id", "issue_id"))
     checked = lookup(placed, known, "issue_id", "_pos").withColumn(
         "_bad", F.col("_known").isNull() | F.coalesce(F.col("_final") <= F.col("decided_at"), F.lit(False)))
     verdict = cut_lineage(checked.groupBy("batch_id").agg(F.bool_or("_bad").alias("bad"), F.min("decided_at").alias("at")))

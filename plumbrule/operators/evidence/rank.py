@@ -134,7 +134,7 @@ def duplicate_peers(failures: DataFrame, limit: int = 5) -> DataFrame:
     repeated = failures.where(F.col("rule_type").isin("UNIQUENESS", "DUPLICATE")).withColumn(
         "_peer", F.sha2(F.concat_ws(text.UNIT_SEPARATOR, "run_id", "assignment_id",
                                     F.coalesce("failed_value", F.lit(text.NULL_SENTINEL))), 256)
-    ).withColumn("_pos", F.monotonically_increasing_id())
+    ).withColumn("_pos", F.xxhash64("run_id", "assignment_id", "record_ref", "row_index"))
     order = W.partitionBy("_peer").orderBy("row_index", "record_ref")
     heads = repeated.select("_peer", "row_index", "record_ref").withColumn(
         "r", F.row_number().over(order)).where(F.col("r") <= limit + 1)

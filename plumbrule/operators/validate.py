@@ -195,6 +195,10 @@ def validate(
 ) -> Validation:
     """Evaluate every enabled rule over the whole of ``df``.
 
+    Rows of a hot group are spread by their scan position, so ``df`` should
+    read files or another source whose row order is repeatable when a task
+    runs again; write JDBC input to files first.
+
     Without a key, ``row_index`` names a column with the row's position (see
     :func:`plumbrule.sources.tables.with_row_index`); it is not part of the
     row for hashing and duplicate checks.
