@@ -236,7 +236,7 @@ def undecided_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add("merged_proposals", """
-SELECT 'lang' AS column_name, 'PATTERN' AS rule_type, '{"regex":"^[a-z]{2}$"}' AS definition, 0.9 AS confidence
+SELECT 'lang' AS column_name, 'PATTERN' AS rule_type, '{"regex":"^[a-z]{2}$"}' AS definition, CAST(0.9 AS DOUBLE) AS confidence
 WHERE (SELECT count(*) FROM documents) > 0""")
 def merged_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
