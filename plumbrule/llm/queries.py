@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbrule.llm import quality, secrets, token_counts
+from plumbrule.llm import decontaminate, ngram_join, quality, secrets, token_counts
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import table
 
@@ -25,3 +25,13 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op4_token_counts")
 def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@registry.add("op7_suffix_decontamination")
+def suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registry.add("op10_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
