@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbrule.llm import decontaminate, ngram_join, quality, secrets, token_counts
+from plumbrule.llm import decontaminate, html_extract, ngram_join, quality, secrets, token_counts, vector_dedup
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import table
 
@@ -35,3 +35,13 @@ def suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op10_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@registry.add("op8_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(table(spark, sf_dir, "embeddings"))
+
+
+@registry.add("op9_html_main_text")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
