@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrule.llm import decontaminate, html_extract, ngram_join, quality, secrets, token_counts, vector_dedup
+from plumbrule.llm import chat_format, decontaminate, html_extract, ngram_join, quality, secrets, token_counts, vector_dedup
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import table
 
@@ -45,3 +45,13 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op9_html_main_text")
 def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@registry.add("op5_chat_windows")
+def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(own.columns).unionByName(own)
+    return chat_format.read_back(chat_format.format_windows(turns))
