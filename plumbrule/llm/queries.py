@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrule.llm import chat_format, decontaminate, html_extract, ngram_join, quality, secrets, token_counts, vector_dedup
+from plumbrule.llm import chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, quality, secrets, token_counts, vector_dedup
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import table
 
@@ -55,3 +55,15 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     turns = table(spark, sf_dir, "conversations").select(own.columns).unionByName(own)
     return chat_format.read_back(chat_format.format_windows(turns))
+
+
+@registry.add("op3_raked_mixture", mixing.oracle())
+def raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("_margin_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_ratio", 6).alias("ratio"),
+        F.round("_share", 6).alias("share"), F.col("_kept").alias("kept"))
+
+
+@registry.add("op6_license_scan", licenses.oracle())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known(spark, licenses.TEXTS))
