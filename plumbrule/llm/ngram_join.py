@@ -306,3 +306,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return members.join(named, "_digest").select(
         F.col("_id").alias(id_col), F.col("_size").alias("n_shingles"),
         F.when(F.col("_id").isNotNull(), F.col("_comp")).alias("component_id"))
+
+
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                      share: tuple[int, int] = AT_LEAST) -> DataFrame:
+    """The rows whose id names their component, one per id; columns and values stay as they are.
+
+    Rows that repeat an id keep the one with the smallest text (then the smallest row); rows without an id are kept.
+    """
+    heads = ngram_components(docs, id_col, text_col, width, share).where(F.col(id_col) == F.col("component_id")).select(
+        F.col(id_col).cast("bigint").alias("_head")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(heads, F.col(id_col).cast("bigint") == F.col("_head")).groupBy("_head").agg(
+        F.min(F.struct(F.col(text_col).alias("_first"), *columns)).alias("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))
