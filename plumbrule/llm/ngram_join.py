@@ -21,7 +21,8 @@ Steps:
 3. The others get index and probe combinations. Combinations of all documents meet
    in groups. A group's most typical member is compared with all others first; what
    links is one component, and only pairs of different components remain to be
-   compared, so a group of near copies costs its size, not its square.
+   compared. Those that belong around the same larger component are compared block by
+   block inside tasks, the others as pairs of rows.
 4. Comparisons count the common tokens of two documents exactly.
 
 The truncated counts only order tokens and may count too many; links rest on the
@@ -54,6 +55,8 @@ AT_LEAST = (75, 100)
 FREQUENT = (16, 256)
 #: Rounds in which one member of a group is compared with the others.
 PIVOT_ROUNDS = 3
+#: Documents per side of a block of comparisons.
+BLOCK_DOCS = 512
 
 
 def token_sets(column: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -251,33 +254,110 @@ def links(planned: DataFrame, share: tuple[int, int] = AT_LEAST) -> DataFrame:
     posted = cut_lineage(posted.join(useful.where("_any and _lo <> _hi").select("_sig"), "_sig"))
     found, known = None, None
     pair = (F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        labelled = posted.withColumn("_comp", F.col("_id")) if known is None else (
-            posted.join(known, posted["_id"] == known["node"], "left")
-            .select(*posted.columns, F.coalesce("component", "_id").alias("_comp")))
-        if turn < PIVOT_ROUNDS:
-            rank = F.col("_size") - F.col("_common") if turn == 0 else F.xxhash64("_id", F.lit(turn))
-            first = F.min(F.struct(rank.alias("_rank"), "_id", "_size", "_common", "_comp")).alias("_p")
-            pivots = labelled.groupBy("_sig").agg(first).select(
-                "_sig", *[F.col(f"_p.{c}").alias(f"y{c}") for c in ("_id", "_size", "_common", "_comp")])
-            met = _side(labelled, "x").join(pivots, "_sig")
-        else:
-            # Of each group the largest component only answers; the others ask.
-            sizes = labelled.groupBy("_sig", "_comp").agg(F.count(F.lit(1)).alias("_k"))
-            major = sizes.groupBy("_sig").agg(F.max(F.struct("_k", "_comp")).alias("_m"), F.count(F.lit(1)).alias("_c")).where(
-                "_c > 1").select("_sig", F.col("_m._comp").alias("_major"))
-            open_ = labelled.join(major, "_sig")
-            roles = (F.col("x_indexed") & ~F.col("y_indexed") & (F.col("x_size") <= F.col("y_size"))) | (
-                ~F.col("x_indexed") & F.col("y_indexed") & (F.col("x_size") >= F.col("y_size")))
-            met = _side(open_.where("_comp <> _major").drop("_major"), "x").join(_side(labelled, "y"), "_sig").where(roles)
-        pairs = met.where((F.col("x_comp") != F.col("y_comp")) & _possible(share)).select(*pair).distinct()
-        new = _verified(pairs, tokens, share)
+    for turn in range(PIVOT_ROUNDS):
+        labelled = _labelled(posted, known)
+        rank = F.col("_size") - F.col("_common") if turn == 0 else F.xxhash64("_id", F.lit(turn))
+        first = F.min(F.struct(rank.alias("_rank"), "_id", "_size", "_common", "_comp")).alias("_p")
+        pivots = labelled.groupBy("_sig").agg(first).select(
+            "_sig", *[F.col(f"_p.{c}").alias(f"y{c}") for c in ("_id", "_size", "_common", "_comp")])
+        met = _side(labelled, "x").join(pivots, "_sig")
+        new = _verified(met.where((F.col("x_comp") != F.col("y_comp")) & _possible(share)).select(*pair).distinct(), tokens, share)
         found = new if found is None else found.unionByName(new)
-        if turn < PIVOT_ROUNDS:
-            if new.isEmpty():
-                continue
+        if not new.isEmpty():
             known = components(found)
-    return found
+    # What is left are pairs of different components. Of each combination the largest component only answers.
+    labelled = cut_lineage(_labelled(posted, known))
+    parts = labelled.groupBy("_sig", "_comp").agg(F.count(F.lit(1)).alias("_k"))
+    major = parts.groupBy("_sig").agg(F.max(F.struct("_k", "_comp")).alias("_m"), F.count(F.lit(1)).alias("_c")).where(
+        "_c > 1").select("_sig", F.col("_m._comp").alias("_major"))
+    open_ = cut_lineage(parts.join(major, "_sig").where("_comp <> _major").select("_sig", "_comp", "_major"))
+    homes = _homes(open_, _labelled(wanted.select("_id"), known))
+    at_home = cut_lineage(_labelled(wanted.select(*facts), known).join(homes, "_comp", "left").withColumn(
+        "_home", F.coalesce("_home", "_comp")))
+    found = found.unionByName(_compared_at_home(at_home, tokens, share))
+    placed = labelled.join(at_home.select("_id", "_home"), "_id")
+    asking = placed.join(open_.select("_sig", "_comp"), ["_sig", "_comp"])
+    roles = (F.col("x_indexed") & ~F.col("y_indexed") & (F.col("x_size") <= F.col("y_size"))) | (
+        ~F.col("x_indexed") & F.col("y_indexed") & (F.col("x_size") >= F.col("y_size")))
+    met = _side(asking, "x").join(_side(placed, "y"), "_sig").where(
+        roles & (F.col("x_comp") != F.col("y_comp")) & (F.col("x_home") != F.col("y_home")) & _possible(share))
+    return found.unionByName(_verified(met.select(*pair).distinct(), tokens, share))
+
+
+def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Adds the component that each id is known to be in."""
+    if known is None:
+        return rows.withColumn("_comp", F.col("_id"))
+    return rows.join(known, F.col("_id") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "_id").alias("_comp"))
+
+
+def _homes(open_: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(_comp, _home): the larger component that a component shares most combinations with."""
+    sizes = labelled.groupBy("_comp").agg(F.count(F.lit(1)).alias("_n"))
+    votes = open_.groupBy("_comp", "_major").agg(F.count(F.lit(1)).alias("_votes"))
+    larger = (
+        votes.join(sizes, "_comp").join(sizes.select(F.col("_comp").alias("_major"), F.col("_n").alias("_m")), "_major")
+        .where((F.col("_m") > F.col("_n")) | ((F.col("_m") == F.col("_n")) & (F.col("_major") < F.col("_comp")))))
+    return larger.groupBy("_comp").agg(F.max(F.struct("_votes", "_major")).alias("_best")).select(
+        "_comp", F.col("_best._major").alias("_home"))
+
+
+def _compared_at_home(at_home: DataFrame, tokens: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links between the components that have the same home.
+
+    The documents of a home that are not in its component (guests) are compared with all documents of the
+    home. Both are dealt into blocks of about ``BLOCK_DOCS``, each pair of blocks is a group, and groups return
+    links only, so documents travel once per block of guests and no pair is a row.
+    """
+    guests = at_home.where("_home <> _comp")
+    few = guests.groupBy("_home").agg(F.count(F.lit(1)).alias("_g"))
+    blocks = few.join(at_home.groupBy("_home").agg(F.count(F.lit(1)).alias("_a")), "_home").select(
+        "_home", F.ceil(F.col("_g") / BLOCK_DOCS).cast("int").alias("_gb"), F.ceil(F.col("_a") / BLOCK_DOCS).cast("int").alias("_ab"))
+    full = at_home.join(blocks, "_home").join(tokens.select("_id", "_tokens"), "_id")
+
+    def dealt(rows: DataFrame, own: str, other: str, guest: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("_id"), F.col(own)).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        named = rows.withColumn("_mine", mine).withColumn("_theirs", theirs)
+        left, right = ("_mine", "_theirs") if guest else ("_theirs", "_mine")
+        return named.select("_home", F.col(left).alias("_left"), F.col(right).alias("_right"), F.lit(guest).alias("_guest"),
+                            "_id", "_comp", "_size", "_common", "_tokens")
+
+    met = dealt(full.where("_home <> _comp"), "_gb", "_ab", True).unionByName(dealt(full, "_ab", "_gb", False))
+    return cut_lineage(met.groupBy("_home", "_left", "_right").applyInArrow(_block_links(share), "a bigint, b bigint"))
+
+
+def _block_links(share: tuple[int, int]):
+    num, den = share
+
+    def compare(table: pa.Table) -> pa.Table:
+        guest, ids, comp, size, common = (
+            table.column(c).to_numpy() for c in ("_guest", "_id", "_comp", "_size", "_common"))
+        tokens = table.column("_tokens").combine_chunks()
+        bounds = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset:tokens.offset + len(tokens) + 1]
+        values = tokens.values.to_numpy()
+        left, right = np.flatnonzero(guest), np.flatnonzero(~guest)
+        one, two = [], []
+        for x in left.tolist():
+            low, both = np.minimum(common[right], common[x]), size[right] + size[x]
+            fits = (comp[right] != comp[x]) & ((den + num) * low >= num * both) & (
+                den * np.minimum(size[right], size[x]) >= num * np.maximum(size[right], size[x]))
+            mine = np.sort(values[bounds[x]:bounds[x + 1]])
+            ys = right[fits]
+            if not len(ys):
+                continue
+            lengths = bounds[ys + 1] - bounds[ys]
+            starts = np.cumsum(lengths) - lengths
+            theirs = values[np.repeat(bounds[ys] - starts, lengths) + np.arange(int(lengths.sum()))]
+            same = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+            overlap = np.add.reduceat(same.astype(np.int64), starts)
+            ys = ys[den * overlap >= num * (size[ys] + size[x] - overlap)]
+            one.append(np.minimum(ids[ys], ids[x]))
+            two.append(np.maximum(ids[ys], ids[x]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(one or none)), "b": pa.array(np.concatenate(two or none))})
+
+    return compare
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
