@@ -1,14 +1,15 @@
 """The corpus pipeline: classify, deduplicate, decontaminate, scan for secrets, mix.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it
-kept, and returns a DataFrame; :func:`run` applies them to ``documents``. On a cluster the
-stages are meant to be written as Parquet one by one; here they are chained.
+kept, and returns a DataFrame; :func:`run` applies them to ``documents`` and writes what
+a stage keeps to the checkpoint folder before the next one reads it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbrule.functions.storage import cut_lineage
 from plumbrule.llm import decontaminate, mixing, ngram_join, quality, secrets
 from plumbrule.plans.registered.data import table
 
@@ -56,6 +57,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, cut_lineage(docs) if number else docs, sf_dir)
     return docs
