@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbrule.functions.storage import cut_lineage
+from plumbrule.functions.storage import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,18 +18,18 @@ def components(edges: DataFrame) -> DataFrame:
     the checkpoint folder.
     """
     left = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a <> b")
-    both = cut_lineage(left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     steps = []
     while not both.isEmpty():
         near = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
         far = near.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        to = cut_lineage(near.join(far, "p").select("a", "q"))
+        to = written(near.join(far, "p").select("a", "q"))
         steps.append(to)
         moved = (
             both.join(to.withColumnRenamed("q", "x"), "a")
             .join(to.select(F.col("a").alias("b"), F.col("q").alias("y")), "b")
             .where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        both = cut_lineage(moved)
+        both = written(moved)
     if not steps:
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = steps[0].select(F.col("a").alias("node"), F.col("q").alias("component"))
@@ -37,4 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
         out = (
             out.join(to.select(F.col("a").alias("component"), "q"), "component", "left")
             .select("node", F.coalesce("q", "component").alias("component")))
-    return cut_lineage(out)
+    return written(out)

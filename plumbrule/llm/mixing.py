@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbrule.functions.storage import cut_lineage
+from plumbrule.functions.storage import written
 
 SWEEPS = 6
 SEED = 17
@@ -69,7 +69,7 @@ def _targets(cells: DataFrame, margin: str, target: DataFrame) -> DataFrame:
     sums = both.agg(F.sum("_own"), F.sum(F.when(F.col("_share").isNull(), F.col("_own"))), F.sum("_share")).first()
     total, free, shares = (x or 0.0 for x in sums)
     scaled = F.col("_share") * F.lit((total - free) / shares if shares else 0.0)
-    return cut_lineage(both.select("_v", F.coalesce(scaled, "_own").alias("_want")))
+    return written(both.select("_v", F.coalesce(scaled, "_own").alias("_want")))
 
 
 def rake(cells: DataFrame, margins: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
@@ -83,7 +83,7 @@ def rake(cells: DataFrame, margins: dict[str, DataFrame], sweeps: int = SWEEPS)
                 "_n", (F.col("_want") / F.col("_now")).alias("_f"))
             fitted = fitted.join(factor, F.col(margin).eqNullSafe(F.col("_n")), "left").withColumn(
                 "fitted", F.col("fitted") * F.coalesce("_f", F.lit(1.0))).drop("_n", "_f")
-        fitted = cut_lineage(fitted)
+        fitted = written(fitted)
     return fitted
 
 
@@ -98,7 +98,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mar
     names = {margin: f"_margin_{margin}" for margin in margins}
     marked = docs.withColumns({"_tokens": word_count(F.col(text_col)), **{names[m]: c.cast("string") for m, c in margins.items()}})
     # Sums per cell are combined inside tasks before anything shuffles.
-    cells = cut_lineage(marked.groupBy(*names.values()).agg(F.sum("_tokens").alias("tokens")))
+    cells = written(marked.groupBy(*names.values()).agg(F.sum("_tokens").alias("tokens")))
     wanted = {names[m]: (targets or {}).get(m) for m in margins}
     fitted = rake(cells, {n: tempered(cells, n) if t is None else t for n, t in wanted.items()}, sweeps)
     ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens"))
