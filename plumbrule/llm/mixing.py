@@ -1,11 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token totals per cell (source, language, topic) are raked: each margin in turn is
-scaled to its target shares, ``SWEEPS`` times over. A cell's ratio of fitted to own
-tokens is how much of it the mixture wants; divided by the largest ratio it is the
-share of the cell's documents to keep. A document is kept when a number derived
-from its id and the seed falls below that share, so the expected tokens of the sample
-follow the fitted weights.
+Token totals per cell (source, language, topic) are raked to a sample of ``SIZE`` of all
+tokens: each margin in turn is scaled to its target shares of the sample, and no cell
+beyond the tokens it has, ``SWEEPS`` times over. Fitted over own tokens is the
+probability of a cell's documents. A document is kept when a number derived from its id
+and the seed falls below it, so the sample's expected tokens are the fitted ones.
 
 Everything is DataFrame expressions. A document's tokens are its words, counted by
 white space. Only totals per cell shuffle; the fitting works on the table of cells, whose size
@@ -29,6 +28,8 @@ from plumbrule.functions.storage import written
 
 SWEEPS = 6
 SEED = 17
+#: Wanted tokens of the sample as a share of all.
+SIZE = 0.75
 BROADCAST_CELLS = 10_000
 #: Default targets of a margin: own shares to this power, scaled to 1. Below 1 large categories give way.
 TEMPER = 0.7
@@ -60,7 +61,7 @@ def tempered(cells: DataFrame, margin: str, power: float = TEMPER) -> DataFrame:
     return totals.select("value", F.when(F.col("_t") > 0, F.pow(F.col("_t").cast("double"), F.lit(power))).otherwise(0.0).alias("share"))
 
 
-def _targets(cells: DataFrame, margin: str, target: DataFrame) -> DataFrame:
+def _targets(cells: DataFrame, margin: str, target: DataFrame, size: float) -> DataFrame:
     """(_v, _want): tokens that each category of the margin shall have."""
     given = target.groupBy(F.col("value").alias("_v")).agg(F.max("share").cast("double").alias("_share"))
     own = cells.groupBy(F.col(margin).alias("_m")).agg(F.sum("tokens").cast("double").alias("_own"))
@@ -69,12 +70,12 @@ def _targets(cells: DataFrame, margin: str, target: DataFrame) -> DataFrame:
     sums = both.agg(F.sum("_own"), F.sum(F.when(F.col("_share").isNull(), F.col("_own"))), F.sum("_share")).first()
     total, free, shares = (x or 0.0 for x in sums)
     scaled = F.col("_share") * F.lit((total - free) / shares if shares else 0.0)
-    return written(both.select("_v", F.coalesce(scaled, "_own").alias("_want")))
+    return written(both.select("_v", (F.coalesce(scaled, "_own") * F.lit(size)).alias("_want")))
 
 
-def rake(cells: DataFrame, margins: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """Adds ``fitted``: the cells' tokens scaled until each margin has its target shares."""
-    wanted = {margin: _targets(cells, margin, target) for margin, target in margins.items()}
+def rake(cells: DataFrame, margins: dict[str, DataFrame], sweeps: int = SWEEPS, size: float = SIZE) -> DataFrame:
+    """Adds ``fitted``: the part of the cells' tokens that gives each margin its target shares of the sample."""
+    wanted = {margin: _targets(cells, margin, target, size) for margin, target in margins.items()}
     fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
     for _ in range(sweeps):
         for margin, want in wanted.items():
@@ -82,14 +83,14 @@ def rake(cells: DataFrame, margins: dict[str, DataFrame], sweeps: int = SWEEPS)
             factor = now.join(want, F.col("_n").eqNullSafe(F.col("_v"))).where("_now > 0").select(
                 "_n", (F.col("_want") / F.col("_now")).alias("_f"))
             fitted = fitted.join(factor, F.col(margin).eqNullSafe(F.col("_n")), "left").withColumn(
-                "fitted", F.col("fitted") * F.coalesce("_f", F.lit(1.0))).drop("_n", "_f")
+                "fitted", F.least(F.col("fitted") * F.coalesce("_f", F.lit(1.0)), F.col("tokens").cast("double"))).drop("_n", "_f")
         fitted = written(fitted)
     return fitted
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margins: dict[str, Column] | None = None,
-            targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs`` and _tokens, _ratio, _share and _kept.
+            targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, size: float = SIZE, seed: int = SEED) -> DataFrame:
+    """All columns of ``docs`` and _tokens, _share (the probability) and _kept.
 
     ``margins`` names the categories (source, lang and topic by default) and ``targets`` their (value, share) tables;
     a margin without one gets its own shares tempered.
@@ -100,17 +101,14 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mar
     # Sums per cell are combined inside tasks before anything shuffles.
     cells = written(marked.groupBy(*names.values()).agg(F.sum("_tokens").alias("tokens")))
     wanted = {names[m]: (targets or {}).get(m) for m in margins}
-    fitted = rake(cells, {n: tempered(cells, n) if t is None else t for n, t in wanted.items()}, sweeps)
-    ratio = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens"))
-    size = fitted.agg(F.max(ratio).alias("top"), F.count(F.lit(1)).alias("n")).first()
-    shares = fitted.select(
-        *[F.col(n).alias(f"{n}_") for n in names.values()], ratio.alias("_ratio"),
-        F.coalesce(ratio / F.lit(size["top"] or 1.0), F.lit(1.0)).alias("_share"))
+    fitted = rake(cells, {n: tempered(cells, n) if t is None else t for n, t in wanted.items()}, sweeps, size)
+    share = F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)
+    shares = fitted.select(*[F.col(n).alias(f"{n}_") for n in names.values()], share.alias("_share"))
     same = None
     for n in names.values():
         one = F.col(n).eqNullSafe(F.col(f"{n}_"))
         same = one if same is None else same & one
-    joined = marked.join(F.broadcast(shares) if size["n"] <= BROADCAST_CELLS else shares, same)
+    joined = marked.join(F.broadcast(shares) if fitted.count() <= BROADCAST_CELLS else shares, same)
     drawn = uniform(F.coalesce(F.col(id_col).cast("string"), F.sha2(F.coalesce(text_col, F.lit("")), 256)), F.lit(str(seed)))
     return joined.withColumn("_kept", drawn < F.col("_share")).drop(*[f"{n}_" for n in names.values()])
 
@@ -120,7 +118,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     return mixture(docs, **settings).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def oracle(docs: str = "documents", sweeps: int = SWEEPS, seed: int = SEED, power: float = TEMPER) -> str:
+def oracle(docs: str = "documents", sweeps: int = SWEEPS, size: float = SIZE, seed: int = SEED, power: float = TEMPER) -> str:
     """The result of the registered query as SQL: one materialised step per margin and sweep."""
     words = "len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
     topic = ("CASE WHEN text IS NULL OR text = '' THEN 'empty' "
@@ -136,19 +134,18 @@ def oracle(docs: str = "documents", sweeps: int = SWEEPS, seed: int = SEED, powe
         parts.append(
             f"own_{m} AS MATERIALIZED (SELECT {m} AS v, sum(tokens) AS own, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {power}) "
             f"ELSE 0 END AS share FROM f0 GROUP BY 1), want_{m} AS MATERIALIZED (SELECT v, share * (SELECT sum(own) / "
-            f"nullif(sum(share), 0) FROM own_{m}) AS want FROM own_{m})")
+            f"nullif(sum(share), 0) FROM own_{m}) * {size} AS want FROM own_{m})")
     step = 0
     for _ in range(sweeps):
         for m in margins:
             parts.append(
-                f"f{step + 1} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, f.tokens, f.fitted * coalesce(w.want / "
-                f"nullif(n.now, 0), 1) AS fitted FROM f{step} f LEFT JOIN want_{m} w ON f.{m} IS NOT DISTINCT FROM w.v LEFT JOIN "
+                f"f{step + 1} AS MATERIALIZED (SELECT f.source, f.lang, f.topic, f.tokens, least(f.fitted * "
+                f"coalesce(w.want / nullif(n.now, 0), 1), f.tokens) AS fitted FROM f{step} f LEFT JOIN want_{m} w ON f.{m} IS NOT DISTINCT FROM w.v LEFT JOIN "
                 f"(SELECT {m} AS v, sum(fitted) AS now FROM f{step} GROUP BY 1) n ON f.{m} IS NOT DISTINCT FROM n.v)")
             step += 1
     draw = f"('0x' || substr(sha256(doc_id::VARCHAR || ':{seed}'), 1, 13))::BIGINT / {16**13}.0"
     return (
-        f"WITH {', '.join(parts)}, shares AS (SELECT source, lang, topic, fitted / nullif(tokens, 0) AS ratio, coalesce(fitted / "
-        f"nullif(tokens, 0) / (SELECT max(fitted / nullif(tokens, 0)) FROM f{step}), 1) AS share FROM f{step}) "
-        "SELECT m.doc_id, m.topic, m.n_tokens, round(s.ratio, 6) AS ratio, round(s.share, 6) AS share, "
+        f"WITH {', '.join(parts)}, shares AS (SELECT source, lang, topic, coalesce(fitted / nullif(tokens, 0), 1) AS share "
+        f"FROM f{step}) SELECT m.doc_id, m.topic, m.n_tokens, round(s.share, 6) AS share, "
         f"{draw} < s.share AS kept FROM marked m JOIN shares s ON m.source IS NOT DISTINCT FROM s.source "
         "AND m.lang IS NOT DISTINCT FROM s.lang AND m.topic IS NOT DISTINCT FROM s.topic")

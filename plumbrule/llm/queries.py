@@ -60,7 +60,7 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op3_raked_mixture", mixing.oracle())
 def raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.col("_margin_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_ratio", 6).alias("ratio"),
+        "doc_id", F.col("_margin_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
         F.round("_share", 6).alias("share"), F.col("_kept").alias("kept"))
 
 
