@@ -379,13 +379,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Ids that stand at several texts join them.
     several = members.where(F.col("_id").isNotNull()).groupBy("_id").agg(
         F.min("_digest").alias("_lo"), F.max("_digest").alias("_hi")).where("_lo <> _hi").select("_id")
-    own = members.join(several, "_id").join(classes, "_digest").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
+    own = members.join(several, "_id").join(classes.where("_size > 0"), "_digest").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
     known = components(links(planned, share).unionByName(own))
     named = classes.join(known, F.col("_rep") == F.col("node"), "left").select(
         "_digest", "_size", F.coalesce("component", "_rep").alias("_comp"))
-    return members.join(named, "_digest").select(
+    # Texts without words are copies of each other but link with nothing; their ids may stand at other texts.
+    placed = members.join(named, "_digest").join(
+        known.join(several, F.col("node") == F.col("_id"), "left_semi"), (F.col("_id") == F.col("node")) & (F.col("_size") == 0), "left")
+    return placed.select(
         F.col("_id").alias(id_col), F.col("_size").alias("n_shingles"),
-        F.when(F.col("_id").isNotNull(), F.col("_comp")).alias("component_id"))
+        F.when(F.col("_id").isNotNull(), F.when(F.col("_size") == 0, F.coalesce("component", "_id")).otherwise(F.col("_comp")))
+        .alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,

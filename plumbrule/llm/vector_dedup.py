@@ -1,8 +1,10 @@
 """Near-duplicate embeddings by iterative quantisation.
 
 On a bounded sample (``SAMPLE_ROWS`` distinct vectors with the smallest digests)
-rotations are learned under which the signs of the centred vectors are balanced and
-lose little. The bits of a vector's code are dealt to tables; two vectors meet in a
+rotations are learned under which the vectors' signs lose little and so balance over
+them. Vectors are not centred: a shared direction would vanish and leave noise, and near
+vectors of a dense collection would be missed; so a bit differs about as often as the
+angle says, whatever the collection. The bits of a vector's code are dealt to tables; two vectors meet in a
 table when they agree in all of its bits (multi-index search: codes that differ in
 fewer places than there are tables agree in one). The number of bits per table grows
 with the logarithm of the number of vectors, so that buckets stay small, and the
@@ -54,26 +56,25 @@ def tables_for(n: int, missed: float = MISSED, differs: float = BIT_DIFFERS) ->
     return math.ceil(math.log(missed) / math.log(1 - (1 - differs) ** bits)), bits
 
 
-def learn(sample: np.ndarray, bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits): one learned rotation after another until there are enough bits."""
+def learn(sample: np.ndarray, bits: int, seed: int = 7) -> np.ndarray:
+    """A projection (dimensions x bits): one learned rotation after another until there are enough bits."""
     rng = np.random.default_rng(seed)
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
-    centred, parts, dims = sample - mean, [], sample.shape[1]
+    parts, dims = [], sample.shape[1]
     while sum(p.shape[1] for p in parts) < bits:
         width = min(dims, 64, bits - sum(p.shape[1] for p in parts))
         start = np.linalg.qr(rng.standard_normal((dims, dims)))[0][:, :width]
-        seen, turn = centred @ start, np.eye(width)
+        seen, turn = sample @ start, np.eye(width)
         for _ in range(_ROUNDS):
             signs = np.where(seen @ turn >= 0, 1.0, -1.0)
             u, _s, v = np.linalg.svd(signs.T @ seen)
             turn = (u @ v).T
         parts.append(start @ turn)
-    return mean, np.concatenate(parts, axis=1)
+    return np.concatenate(parts, axis=1)
 
 
-def keys_of(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, tables: int, bits: int) -> np.ndarray:
+def keys_of(unit: np.ndarray, projection: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """Rows x tables: the bits of each table as one number."""
-    signs = ((unit - mean) @ projection >= 0).reshape(len(unit), tables, bits)
+    signs = (unit @ projection >= 0).reshape(len(unit), tables, bits)
     return (signs.astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
@@ -177,11 +178,11 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     dims = (size["d"] or 8) // 8
     tables, bits = tables_and_bits or tables_for(size["n"])
     sample = classes.orderBy("_digest").limit(SAMPLE_ROWS).select("_unit").collect()
-    mean, projection = learn(_matrix(pa.array([bytes(r["_unit"]) for r in sample], pa.binary()), dims), tables * bits)
+    projection = learn(_matrix(pa.array([bytes(r["_unit"]) for r in sample], pa.binary()), dims), tables * bits)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_of(_matrix(batch.column(2), dims), mean, projection, tables, bits)
+            keys = keys_of(_matrix(batch.column(2), dims), projection, tables, bits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(list(keys), pa.list_(pa.int64()))],
                 names=["_id", "_n", "_unit", "_keys"])
