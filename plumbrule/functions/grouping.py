@@ -107,9 +107,14 @@ def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     if how not in ("inner", "left"):
         raise ValueError("a large right side supports inner and left joins")
     values = [c for c in right.columns if c not in keys]
-    packed = right.select(F.struct(*keys).alias("_jk"), *values, F.lit(True).alias("_found"))
+    # A struct with a NULL field equals another one: as in the small case a NULL key matches nothing.
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    key = F.when(whole, F.struct(*keys))
+    packed = right.where(whole).select(key.alias("_jk"), *values, F.lit(True).alias("_found"))
     joined = lookup(
-        left.withColumn("_jk", F.struct(*keys)).withColumn("_pos", _content(left)),
+        left.withColumn("_jk", key).withColumn("_pos", _content(left)),
         packed, "_jk", "_pos")
     if how == "inner":
         joined = joined.where(F.col("_found"))

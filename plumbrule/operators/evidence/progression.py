@@ -12,12 +12,9 @@ from plumbrule.functions.text import int_div
 MIN_OBSERVATIONS = 5
 MIN_SUPPORT = 3
 MIN_CONSISTENCY = 0.5
-MAX_SLOTS = 10_000
 
-# A progression with more distinct values than this cannot be accepted: at
-# least half of its differences equal the step, so its range would span more
-# than MAX_SLOTS slots. It is decided without being ordered.
-MAX_DISTINCT = 2 * MAX_SLOTS + 1
+#: Ranges into which a series is cut to be ordered.
+RANGES = 256
 
 
 def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -29,6 +26,26 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(cells)).where(~is_blank(F.col("value")))
 
 
+def steps(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, at, diff): the difference of each ``idx`` to the next smaller one of its series.
+
+    A series is ordered in ranges of about equal size, whose borders come from a sketch; the first
+    value of a range follows the largest one of the range before it, taken from a table with one row per range.
+    """
+    keys = list(keys)
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    borders = values.groupBy(*keys).agg(F.percentile_approx("idx", shares, 10 * RANGES).alias("_borders"))
+    # One row per series, of bounded width.
+    placed = values.join(borders, keys).select(
+        *keys, "idx", F.size(F.filter("_borders", lambda b: b < F.col("idx"))).alias("_range"))
+    inside = W.partitionBy(*keys, "_range").orderBy("idx")
+    near = placed.select(*keys, F.col("idx").alias("at"), (F.col("idx") - F.lag("idx").over(inside)).alias("diff"))
+    ends = placed.groupBy(*keys, "_range").agg(F.min("idx").alias("at"), F.max("idx").alias("_last"))
+    before = F.lag("_last").over(W.partitionBy(*keys).orderBy("_range"))
+    across = ends.select(*keys, "at", (F.col("at") - before).alias("diff"))
+    return near.where(F.col("diff").isNotNull()).unionByName(across.where(F.col("diff").isNotNull()))
+
+
 def progression(values: DataFrame, keys: Sequence[str], overshoot: Column) -> DataFrame:
     """Step and gap facts per series of distinct ``idx`` values.
 
@@ -37,12 +54,10 @@ def progression(values: DataFrame, keys: Sequence[str], overshoot: Column) -> Da
     slot positions minus the sum of the present ones.
     """
     keys = list(keys)
-    order = W.partitionBy(*keys).orderBy("idx")
-    stepped = values.select(*keys, "idx", (F.col("idx") - F.lag("idx").over(order)).alias("diff"))
     # The most frequent difference; on a tie the one that occurs first.
     modal = (
-        stepped.where(F.col("diff").isNotNull()).groupBy(*keys, "diff")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("idx").alias("at"))
+        steps(values, keys).groupBy(*keys, "diff")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("at"))
         .groupBy(*keys).agg(F.max_by("diff", F.struct("c", -F.col("at"))).alias("step"),
                             F.max("c").alias("supporting"), F.sum("c").alias("transitions")))
     ends = values.groupBy(*keys).agg(F.min("idx").alias("lo"), F.max("idx").alias("hi"),
@@ -52,13 +67,16 @@ def progression(values: DataFrame, keys: Sequence[str], overshoot: Column) -> Da
     facts = facts.withColumn(
         "slots", int_div(F.col("span"), F.col("step")) + 1 + F.when(overshoot & ~whole, 1).otherwise(0))
     offset = F.col("idx") - F.col("lo")
-    on_grid = (F.col("slots") <= MAX_DISTINCT) & (offset % F.col("step") == 0)
+    on_grid = offset % F.col("step") == 0
     filled = values.join(facts.select(*keys, "lo", "step", "slots"), keys).groupBy(*keys).agg(
         F.count_if(on_grid).alias("present"),
-        F.sum(F.when(on_grid, int_div(offset, F.col("step")))).alias("present_sum"))
+        F.sum(F.when(on_grid, int_div(offset, F.col("step")).cast("decimal(20,0)"))).alias("present_sum"))
     out = facts.join(filled, keys).withColumn("gap_count", F.col("slots") - F.col("present"))
-    # Guarded, so that the product stays within a bigint for wide ranges.
-    slots = F.least(F.col("slots"), F.lit(MAX_DISTINCT))
-    missing = int_div(slots * (slots - 1), F.lit(2)) - F.col("present_sum")
-    return out.withColumn("gap", F.when(
-        (F.col("gap_count") == 1) & (F.col("slots") <= MAX_DISTINCT), F.col("lo") + missing * F.col("step")))
+    # As decimals: the sum of the slots of a wide range does not fit a bigint. The even factor is halved.
+    slots = F.col("slots")
+    even = slots % 2 == 0
+    half = F.when(even, int_div(slots, F.lit(2))).otherwise(slots).cast("decimal(19,0)")
+    rest = F.when(even, slots - 1).otherwise(int_div(slots - 1, F.lit(2))).cast("decimal(19,0)")
+    missing = (half * rest - F.col("present_sum")).cast("decimal(38,0)").cast("bigint")
+    return out.withColumn("gap", F.when(F.col("gap_count") == 1, F.col("lo") + F.when(
+        F.col("gap_count") == 1, missing) * F.col("step")))

@@ -18,14 +18,13 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbrule.functions import text
-from plumbrule.functions.grouping import lookup
+from plumbrule.functions.grouping import keep_matching, lookup
 from plumbrule.operators.evidence import AMBIGUOUS, CANDIDATE, INSUFFICIENT, NO_RELATIONSHIP
 
 # Acceptance limits.
 MIN_GROUP = 3
 MIN_FIT = 0.9
 AMBIGUITY_MARGIN = 0.03
-MAX_MEASURES = 15
 _FIT_DIGITS = 9
 
 
@@ -37,7 +36,7 @@ class Shape:
 
 def shapes_of(measures: Sequence[str]) -> list[Shape]:
     """Every relationship to test, in order of preference on equal fit."""
-    used = list(measures)[:MAX_MEASURES]
+    used = list(measures)
     return (
         [Shape("constant_within_group", ())]
         + [Shape("ratio_consistency", (m,)) for m in used]
@@ -46,7 +45,7 @@ def shapes_of(measures: Sequence[str]) -> list[Shape]:
         + [Shape("difference_consistency", p) for p in permutations(used, 2)])
 
 
-# Shapes are written as SQL over the target ``t`` and the measures ``v0``, ``v1``, ...: with 15 measures there
+# Shapes are written as SQL over the target ``t`` and the measures ``v0``, ``v1``, ...: with many measures there
 # are several hundred, and text is much faster to build than that many Column objects.
 
 
@@ -121,11 +120,13 @@ def relationship_evidence(
     computed once.
     """
     dims = [d for d in dimensions if d != target]
-    used = [m for m in measures if m != target][:MAX_MEASURES]
+    used = [m for m in measures if m != target]
     shapes = shapes_of(used)
     at = {m: f"v{i}" for i, m in enumerate(used)}
     key = text.digest(text.exact_text(df.schema, dims)) if dims else F.lit("whole table")
-    moments = group_moments(df, target, used, shapes, key)
+    # Only the groups that hold a failing row are summarised.
+    keyed = keep_matching(df.withColumn("_group", key), failing.select(key.alias("_group")), "_group")
+    moments = group_moments(keyed, target, used, shapes, F.col("_group"))
     issues = _numbers(failing, target, used, [F.col("issue_id"), key.alias("_group")]).select(
         "issue_id", "_group", _magnitude(F.col("t")).alias("own_class"),
         F.transform(_array([_observation(s, at) for s in shapes]), text.finite).alias("own"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbrule.functions import text
 from plumbrule.operators.evidence import AMBIGUOUS, CANDIDATE, INSUFFICIENT, NO_RELATIONSHIP
 from plumbrule.operators.evidence.progression import (
-    MAX_DISTINCT, MAX_SLOTS, MIN_CONSISTENCY, MIN_OBSERVATIONS, MIN_SUPPORT, progression,
+    MIN_CONSISTENCY, MIN_OBSERVATIONS, MIN_SUPPORT, progression,
 )
 
 # Identifier pattern (a hyphen before digits is a sign) and coverage.
@@ -19,8 +19,7 @@ def sequence_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
                       min_support: int = MIN_SUPPORT) -> DataFrame:
     """One verdict per column from (column_name, value) pairs of non-blank text.
 
-    Values are counted with map-side combining; only columns whose distinct
-    values fit the slot limit are ever ordered.
+    Values are counted with map-side combining, and distinct numbers are ordered range by range.
     """
     v = text.strip(F.col("value"))
     number = F.regexp_extract(v, IDENTIFIER, 2)
@@ -44,7 +43,7 @@ def sequence_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
     ).select("column_name", "observed", "top.*").withColumn(
         "covered", F.col("members") / F.col("observed") >= MIN_COVERAGE)
     usable = columns.where(
-        (F.col("observed") >= min_observations) & F.col("covered") & F.col("d").between(2, MAX_DISTINCT)
+        (F.col("observed") >= min_observations) & F.col("covered") & (F.col("d") >= 2)
         & (F.col("most") - F.col("least") < F.lit(10**18)))
     # One row per column.
     series = counts.join(F.broadcast(usable.select("column_name", "prefix", "suffix", "least")),
@@ -61,8 +60,7 @@ def sequence_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
     status = (
         F.when(F.col("observed") < min_observations, INSUFFICIENT)
         .when(~F.col("covered") | (F.col("d") < 2) | F.col("step").isNull(), NO_RELATIONSHIP)
-        .when((consistency < MIN_CONSISTENCY)
-              | (text.int_div(F.col("span"), F.col("step")) + 1 > MAX_SLOTS), NO_RELATIONSHIP)
+        .when(consistency < MIN_CONSISTENCY, NO_RELATIONSHIP)
         .when((F.col("gap_count") == 0) & (duplicates == 0), NO_RELATIONSHIP)
         .when((F.col("gap_count") > 1) | (duplicates > 1) | (F.col("supporting") < min_support), AMBIGUOUS)
         .otherwise(CANDIDATE))

@@ -8,14 +8,13 @@ from plumbrule.functions import text
 from plumbrule.functions.text import int_div
 from plumbrule.operators.evidence import AMBIGUOUS, CANDIDATE, INSUFFICIENT, NO_RELATIONSHIP
 from plumbrule.operators.evidence.progression import (
-    MAX_DISTINCT, MAX_SLOTS, MIN_CONSISTENCY, MIN_OBSERVATIONS, MIN_SUPPORT, progression,
+    MIN_CONSISTENCY, MIN_OBSERVATIONS, MIN_SUPPORT, progression,
 )
 
-# Accepted ISO text and calendar limits.
+# Accepted ISO text.
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 ISO_TIME = (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)"
             r"(Z|[+-][0-9]{2}:[0-9]{2})?$")
-MAX_CALENDAR_SLOTS = 2_000
 FIXED, YEARLY, MONTHLY = "FIXED_INTERVAL", "CALENDAR_YEAR_INTERVAL", "CALENDAR_MONTH_INTERVAL"
 
 _DAY = 86_400_000_000
@@ -70,8 +69,7 @@ def temporal_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
     """One verdict per column from (column_name, value) pairs.
 
     A fixed interval is tried first, then calendar years, then calendar
-    months. Distinct instants are ordered only when they fit the slot limit,
-    or follow a calendar convention (which the calendar itself bounds).
+    months. Distinct instants are ordered range by range.
     """
     # Each distinct text is parsed once. Filters below test aggregates, because a test of a parsed
     # value would be pushed down to the scan and parse every row again.
@@ -96,13 +94,12 @@ def temporal_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
         "monthly", F.col("same_time") & (F.col("same_day") | F.col("month_end"))).withColumn(
         "yearly", F.col("same_time") & F.col("same_month_day"))
     usable = columns.where(
-        ~F.col("mixed") & (F.col("observed") >= min_observations) & (F.col("d") >= 2)
-        & ((F.col("d") <= MAX_DISTINCT) | F.col("monthly") | F.col("yearly")))
+        ~F.col("mixed") & (F.col("observed") >= min_observations) & (F.col("d") >= 2))
     # One row per column.
     placed = distinct.where(F.col("known") > 0).select("column_name", "micros").join(
         F.broadcast(usable.select("column_name", "d", "monthly", "yearly")), "column_name")
     series = placed.select("column_name", F.inline(F.filter(F.array(
-        F.when(F.col("d") <= MAX_DISTINCT, F.struct(F.lit(FIXED).alias("kind"), F.col("micros").alias("idx"))),
+        F.struct(F.lit(FIXED).alias("kind"), F.col("micros").alias("idx")),
         F.when(F.col("yearly"), F.struct(F.lit(YEARLY).alias("kind"), F.year(day).cast("bigint").alias("idx"))),
         F.when(F.col("monthly"), F.struct(F.lit(MONTHLY).alias("kind"), (
             F.year(day) * 12 + F.month(day) - 1).cast("bigint").alias("idx")))), lambda s: s.isNotNull())))
@@ -114,9 +111,6 @@ def temporal_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
     fixed = F.col("kind") == FIXED
     consistency = F.col("supporting") / F.col("transitions")
     support = F.when(fixed, F.col("supporting")).otherwise(F.col("d"))
-    too_wide = F.when(
-        fixed, F.col("span") / F.col("step") + 1 > MAX_SLOTS
-    ).otherwise((F.col("step") > MAX_CALENDAR_SLOTS) | (int_div(F.col("span"), F.col("step")) > MAX_CALENDAR_SLOTS))
     is_gap = F.col("gap_count") == 1
     at = F.when(is_gap, F.col("gap")).otherwise(F.col("hi") + F.col("step"))
     last_day_text = _day_of(F.col("last_micros"))
@@ -132,7 +126,7 @@ def temporal_evidence(values: DataFrame, min_observations: int = MIN_OBSERVATION
     at_tod = at % F.lit(_DAY)
     found_tod = F.when(fixed, F.when(at_tod < 0, at_tod + F.lit(_DAY)).otherwise(at_tod)).otherwise(F.col("tod"))
     verdict = (
-        F.when(fixed & (consistency < MIN_CONSISTENCY), NO_RELATIONSHIP).when(too_wide, NO_RELATIONSHIP)
+        F.when(fixed & (consistency < MIN_CONSISTENCY), NO_RELATIONSHIP)
         .when(~fixed & (support < min_support), AMBIGUOUS)
         .when((F.col("gap_count") == 0) & (duplicates == 0), NO_RELATIONSHIP)
         .when((F.col("gap_count") > 1) | (duplicates > 1), AMBIGUOUS)

@@ -143,13 +143,15 @@ modal AS (SELECT column_name, diff AS step, c, row_number() OVER (PARTITION BY c
   FROM (SELECT column_name, diff, count(*) AS c, min(num) AS seen FROM diffs WHERE diff IS NOT NULL GROUP BY 1, 2)),
 facts AS (SELECT d.*, step, c AS supporting, transitions FROM dominant d JOIN modal m
   ON d.column_name = m.column_name AND r = 1),
-slots AS (SELECT column_name, unnest(generate_series(lo, lo + ((hi - lo + step - 1) // step) * step, step)) AS slot
-  FROM facts WHERE (hi - lo) // step + 1 <= 10000),
-gaps AS (SELECT s.column_name, count(*) AS gap_count, min(slot) AS gap FROM slots s LEFT JOIN distinct_values v
-  ON v.column_name = s.column_name AND v.num = s.slot WHERE v.num IS NULL GROUP BY 1),
+slots AS (SELECT f.column_name, any_value((hi - lo + step - 1) // step + 1) AS slots, count(*) AS present,
+  sum((num - lo) // step) AS placed FROM facts f JOIN distinct_values v ON v.column_name = f.column_name
+  AND (v.num - f.lo) % f.step = 0 GROUP BY 1),
+gaps AS (SELECT s.column_name, slots - present AS gap_count, CASE WHEN slots - present = 1 THEN CAST(
+    lo + step * (CAST(slots AS HUGEINT) * (slots - 1) // 2 - placed) AS BIGINT) ELSE lo END AS gap
+  FROM slots s JOIN facts f ON f.column_name = s.column_name WHERE slots > present),
 judged AS (SELECT o.column_name, o.observed, f.*, coalesce(gap_count, 0) AS gaps, gap, members - d AS dups,
   CASE WHEN o.observed < 5 THEN 'INSUFFICIENT_GROUP' WHEN f.column_name IS NULL THEN 'NO_RELATIONSHIP'
-    WHEN supporting < 0.5 * transitions OR (hi - lo) // step + 1 > 10000 THEN 'NO_RELATIONSHIP'
+    WHEN supporting < 0.5 * transitions THEN 'NO_RELATIONSHIP'
     WHEN gap IS NULL AND members = d THEN 'NO_RELATIONSHIP'
     WHEN coalesce(gap_count, 0) > 1 OR members - d > 1 OR supporting < 3 THEN 'AMBIGUOUS' ELSE 'CANDIDATE' END AS status
   FROM observed o LEFT JOIN facts f ON f.column_name = o.column_name LEFT JOIN gaps g ON g.column_name = o.column_name),
@@ -230,10 +232,12 @@ modal AS (SELECT column_name, kind, diff AS step, c, row_number() OVER (PARTITIO
 facts AS (SELECT v.column_name, v.kind, min(idx) AS lo, max(idx) AS hi, any_value(step) AS step, any_value(c) AS c,
   any_value(transitions) AS transitions FROM vals v JOIN modal m ON v.column_name = m.column_name AND v.kind = m.kind
   AND r = 1 GROUP BY 1, 2),
-slots AS (SELECT column_name, kind, unnest(generate_series(lo, CASE WHEN kind = 1 THEN hi ELSE
-  lo + ((hi - lo + step - 1) // step) * step END, step)) AS idx FROM facts WHERE (hi - lo) // step + 1 <= 10000),
-gaps AS (SELECT s.column_name, s.kind, count(*) AS gap_count, min(s.idx) AS gap FROM slots s LEFT JOIN vals v
-  ON v.column_name = s.column_name AND v.kind = s.kind AND v.idx = s.idx WHERE v.idx IS NULL GROUP BY 1, 2),
+slots AS (SELECT f.column_name, f.kind, any_value(CASE WHEN f.kind = 1 THEN (hi - lo) // step ELSE (hi - lo + step - 1) // step END
+    + 1) AS slots, count(*) AS present, sum((idx - lo) // step) AS placed FROM facts f JOIN vals v ON v.column_name = f.column_name
+  AND v.kind = f.kind AND (v.idx - f.lo) % f.step = 0 GROUP BY 1, 2),
+gaps AS (SELECT s.column_name, s.kind, slots - present AS gap_count, CASE WHEN slots - present = 1 THEN CAST(
+    lo + step * (CAST(slots AS HUGEINT) * (slots - 1) // 2 - placed) AS BIGINT) ELSE lo END AS gap
+  FROM slots s JOIN facts f ON f.column_name = s.column_name AND f.kind = s.kind WHERE slots > present),
 judged AS (SELECT f.*, t.observed, t.d, day, month_end, coalesce(gap_count, 0) AS gaps, gap,
   CASE WHEN f.kind = 1 THEN c ELSE t.d END AS support,
   CASE WHEN f.kind = 1 AND c < 0.5 * transitions THEN 'NO_RELATIONSHIP'
