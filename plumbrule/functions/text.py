@@ -113,9 +113,10 @@ def key_digest(schema: T.StructType, names: Sequence[str]) -> Column:
     return digest(exact_text(schema, names))
 
 
-def staging_hash(names: Sequence[str]) -> Column:
-    """SHA-256 of the row as JSON with keys in name order."""
-    return F.sha2(F.to_json(F.struct(*[F.col(n) for n in sorted(names)]), {"ignoreNullFields": "false"}), 256)
+def staging_hash(names: Sequence[str], row: str | None = None) -> Column:
+    """SHA-256 of the row (or of the struct column ``row``) as JSON with keys in name order."""
+    members = [(F.col(row).getField(n) if row else F.col(n)).alias(n) for n in sorted(names)]
+    return F.sha2(F.to_json(F.struct(*members), {"ignoreNullFields": "false"}), 256)
 
 
 def int_div(a: Column, b: Column) -> Column:

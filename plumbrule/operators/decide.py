@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbrule.functions import text
 from plumbrule.functions.grouping import lookup
-from plumbrule.functions.storage import cut_lineage
 
 # Actions and outcomes.
 TERMINAL = ("REJECT", "SKIP")
@@ -80,32 +79,14 @@ def selected_suggestions(corrections: DataFrame, suggestions: DataFrame) -> Data
 def bulk_outcomes(batches: DataFrame, issues: DataFrame, events: DataFrame) -> DataFrame:
     """All-or-nothing bulk actions: batch_id, issue_id, action, decided_at -> accepted per batch.
 
-    A batch is refused when an issue is unknown or already final. An earlier
-    accepted batch makes its issues final, so batches are settled in rounds:
-    one whose issues have no earlier unsettled batch is accepted, and later
-    batches sharing an issue with it are refused.
+    A batch is refused when an issue is unknown, or final by an event of the log that is not
+    later than the batch. The log holds the events of the batches accepted before.
     """
     final = events.where(F.col("action").isin(*TERMINAL)).groupBy("issue_id").agg(F.min("decided_at").alias("_final"))
     known = issues.select("issue_id").distinct().join(final, "issue_id", "left").withColumn("_known", F.lit(True))
     placed = batches.withColumn("_pos", F.xxhash64("batch_id", "issue_id"))
-    checked = lookup(placed, known, "issue_id", "_pos").withColumn(
-        "_bad", F.col("_known").isNull() | F.coalesce(F.col("_final") <= F.col("decided_at"), F.lit(False)))
-    verdict = cut_lineage(checked.groupBy("batch_id").agg(F.bool_or("_bad").alias("bad"), F.min("decided_at").alias("at")))
-    settled = verdict.where("bad").select("batch_id", F.lit(False).alias("accepted"))
-    pairs = placed.select("batch_id", "issue_id").distinct().withColumn("_pos", F.xxhash64("batch_id", "issue_id"))
-    items = cut_lineage(lookup(pairs, verdict, "batch_id", "_pos").where(~F.col("bad")).drop("bad"))
-    while not items.isEmpty():
-        first = items.groupBy("issue_id").agg(F.min(F.struct("at", "batch_id")).alias("first"))
-        ahead = lookup(items, first, "issue_id", "_pos").withColumn("leads", F.col("first.batch_id") == F.col("batch_id"))
-        wins = ahead.groupBy("batch_id").agg(F.bool_and("leads").alias("wins"))
-        judged = cut_lineage(lookup(items, wins, "batch_id", "_pos"))
-        taken = judged.where("wins").select("issue_id").distinct().withColumn("taken", F.lit(True))
-        hit = lookup(judged, taken, "issue_id", "_pos").groupBy("batch_id").agg(
-            F.bool_or("wins").alias("accepted"), F.count("taken").alias("taken"))
-        done = cut_lineage(hit.where(F.col("accepted") | (F.col("taken") > 0)).select("batch_id", "accepted"))
-        settled = settled.unionByName(done)
-        items = cut_lineage(lookup(items, done, "batch_id", "_pos").where(F.col("accepted").isNull()).drop("accepted"))
-    return settled
+    bad = F.col("_known").isNull() | F.coalesce(F.col("_final") <= F.col("decided_at"), F.lit(False))
+    return lookup(placed, known, "issue_id", "_pos").groupBy("batch_id").agg((~F.bool_or(bad)).alias("accepted"))
 
 
 def resolved_scope(issues: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -122,8 +103,8 @@ def scope_size(scope: DataFrame) -> DataFrame:
 
 
 def decided_issues(decisions: DataFrame) -> DataFrame:
-    """(request_id, issue_id, decision) from decisions holding arrays of issue ids."""
-    return decisions.select("request_id", "decision", F.explode("issue_ids").alias("issue_id"))
+    """(request_id, issue_id, decision), each once, from decisions with one row per issue."""
+    return decisions.select("request_id", "decision", "issue_id").distinct()
 
 
 def remaining_scope(submitted: DataFrame, decided: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def stale_keys(issues: DataFrame, key_changes: DataFrame, runs: DataFrame) -> Da
 def locate_issues(df: DataFrame, key: KeySpec, issues: DataFrame, unique_only: bool = True) -> DataFrame:
     """Each issue with how many current rows carry its key, and the row when it is exactly one.
 
-    With ``unique_only`` off, one of the rows stands for a repeated key.
+    With ``unique_only`` off, the smallest of the rows stands for a repeated key.
 
     The keyed rows are reduced to the keys under review and counted per key
     before the join, so a repeated key never multiplies issues. Output: the
@@ -39,7 +39,7 @@ def locate_issues(df: DataFrame, key: KeySpec, issues: DataFrame, unique_only: b
     ref = text.record_ref(df.schema, key)
     keyed = df.select(ref.alias("record_ref"), F.struct(*df.columns).alias("row"))
     found = keep_matching(keyed, issues, "record_ref").groupBy("record_ref").agg(
-        F.count(F.lit(1)).alias("matches"), F.first("row").alias("row"))
+        F.count(F.lit(1)).alias("matches"), F.min("row").alias("row"))
     located = lookup(issues, found, "record_ref", "issue_id")
     counted = located.withColumn("matches", F.coalesce("matches", F.lit(0).cast("bigint")))
     return counted.withColumn("row", F.when(F.col("matches") == 1, F.col("row"))) if unique_only else counted
@@ -125,8 +125,8 @@ def strategies_attempted(issues: DataFrame) -> DataFrame:
         F.col("normalized_data_type"), F.col("rule_type"))), ",").alias("strategies_attempted"))
 
 
-def duplicate_peers(failures: DataFrame, limit: int = 5) -> DataFrame:
-    """For each repeated-value failure, up to ``limit`` other rows with the same value.
+def duplicate_peers(failures: DataFrame, limit: int) -> DataFrame:
+    """For each repeated-value failure, how many other rows have the same value, and the first ``limit`` of them.
 
     Each group keeps only its first ``limit`` + 1 members (Spark prunes the
     ranking before the shuffle), and a failure reads that short list.
@@ -138,12 +138,13 @@ def duplicate_peers(failures: DataFrame, limit: int = 5) -> DataFrame:
     order = W.partitionBy("_peer").orderBy("row_index", "record_ref")
     heads = repeated.select("_peer", "row_index", "record_ref").withColumn(
         "r", F.row_number().over(order)).where(F.col("r") <= limit + 1)
-    lists = heads.groupBy("_peer").agg(F.array_sort(F.collect_list(F.struct("r", "record_ref"))).alias("head"))
+    sizes = repeated.groupBy("_peer").agg(F.count(F.lit(1)).alias("size"))
+    lists = heads.groupBy("_peer").agg(F.array_sort(F.collect_list(F.struct("r", "record_ref"))).alias("head")).join(sizes, "_peer")
     joined = lookup(repeated, lists, "_peer", "_pos")
     others = F.slice(F.filter("head", lambda h: h["record_ref"] != F.col("record_ref")), 1, limit)
     return joined.select(
         "run_id", "assignment_id", "record_ref", "failed_value",
-        F.transform(others, lambda h: h["record_ref"]).alias("peers"))
+        F.transform(others, lambda h: h["record_ref"]).alias("peers"), (F.col("size") - 1).alias("peer_count"))
 
 
 def issue_summaries(issues: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbrule.functions import text
 from plumbrule.functions.grouping import join_small
@@ -19,11 +19,17 @@ SUGGESTION = "struct<fix_type:string,suggested_value:string,confidence:double,re
 
 
 def create_issues(failures: DataFrame, runs: DataFrame, review_run_id: str, run_id: str, created_at: Column) -> DataFrame:
-    """One PENDING issue per failure of one completed run; none for a run that did not complete."""
+    """One PENDING issue per failure of one completed run; none for a run that did not complete.
+
+    Rows that agree in reference and content (full duplicates) are told apart by their position or, without
+    one, by an occurrence number, so an issue_id stands for one failure.
+    """
     completed = runs.where((F.col("run_id") == run_id) & (F.col("status") == "COMPLETED")).select("run_id").distinct()
     of_run = join_small(failures.where(F.col("run_id") == run_id), completed, ["run_id"])
-    identity = F.concat_ws(text.UNIT_SEPARATOR, "run_id", "record_ref", "source_row_hash", "assignment_id")
-    return of_run.select(
+    parts = ["run_id", "record_ref", "source_row_hash", "assignment_id", "row_index"]
+    same = W.partitionBy(*parts).orderBy("failed_value")
+    identity = F.concat_ws(text.UNIT_SEPARATOR, *parts, "_occurrence")
+    return of_run.withColumn("_occurrence", F.nullif(F.row_number().over(same), F.lit(1))).select(
         F.sha2(identity, 256).alias("issue_id"), F.lit(review_run_id).alias("review_run_id"), "run_id",
         "record_ref", "row_index", "assignment_id", "rule_type", "column_name",
         F.col("failed_value").alias("original_value"), "severity", F.lit("PENDING").alias("status"),

@@ -98,22 +98,22 @@ def approvals_of_staging(staging_runs: DataFrame, requests: DataFrame) -> DataFr
 
 
 def corrections_of_requests(corrections: DataFrame, issues: DataFrame, requests: DataFrame) -> DataFrame:
-    """(issue_id, request_id) for resolved corrections decided at or before the request.
+    """(issue_id, request_id): the first request of the review that covers each resolved correction.
 
-    Every request of a review covers all its earlier corrections, so the
-    result itself holds one row per such pair. Corrections are spread over
-    salts and the few requests of a review are repeated per salt, which keeps
-    a large review from landing in one task.
+    A later request of the review covers the correction as well; the first one is when it was put up
+    for approval, and one edge per correction says so. An as-of join on the reversed time line finds it. Requests
+    of equal time prefer the larger id.
     """
-    salts = 32
+    def reversed_time(c: str):
+        return F.timestamp_micros(-F.unix_micros(F.col(c).cast("timestamp")))
+
     resolved = corrections.where(
         F.col("final_value").isNotNull() & F.col("status").isin("ACCEPTED", "EDITED")).select("issue_id", "decided_at")
-    placed = issues.select("issue_id", "review_run_id").join(resolved, "issue_id").withColumn(
-        "_salt", F.pmod(F.xxhash64("issue_id"), F.lit(salts)))
-    asked = requests.select("request_id", "review_run_id", "requested_at").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return placed.join(asked, ["review_run_id", "_salt"]).where(
-        F.col("decided_at") <= F.col("requested_at")).select("issue_id", "request_id")
+    placed = resolved.join(issues.select("issue_id", "review_run_id"), "issue_id").select(
+        "issue_id", "review_run_id", reversed_time("decided_at").alias("_t"))
+    asked = requests.select("request_id", "review_run_id", reversed_time("requested_at").alias("_r"))
+    return latest_as_of(placed, asked, "review_run_id", "_t", "_r", "request_id", "request_id").where(
+        F.col("request_id").isNotNull()).select("issue_id", "request_id")
 
 
 def backfill(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -91,12 +91,10 @@ def stage_records(df: DataFrame, key: KeySpec, scope: DataFrame) -> DataFrame:
         drifted.append(F.when(fix.isNotNull() & ~shown.eqNullSafe(fix["original_value"]), F.lit(name)))
     changed = F.filter(F.array(*drifted), lambda c: c.isNotNull())
     status = (F.when(~there, NOT_FOUND).when(F.size(changed) > 0, CHANGED).otherwise(UNCHANGED))
-    row_json = F.to_json(F.struct(*[F.col("row").getField(n).alias(n) for n in sorted(df.columns)]),
-                         {"ignoreNullFields": "false"})
     return located.select(
         "record_ref", "corrected_fields",
         F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")).alias("row_snapshot"),
-        F.when(there, F.sha2(row_json, 256)).alias("source_row_hash"),
+        F.when(there, text.staging_hash(df.columns, "row")).alias("source_row_hash"),
         status.alias("drift_status"), F.when(status == CHANGED, changed).alias("drift_fields"))
 
 

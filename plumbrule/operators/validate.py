@@ -24,7 +24,6 @@ from plumbrule.spec import (
 )
 
 # Stored failures per run, rule types whose result needs every row.
-MAX_STORED_FAILURES = 10_000
 EXACT_RULE_TYPES = ("COMPLETENESS", "UNIQUENESS", "DUPLICATE", "CROSS_COLUMN")
 
 _FAILURE = "struct<ordinal:int,failed_value:string>"
@@ -139,10 +138,10 @@ class Validation:
             F.col("f.failed_value").alias("failed_value"), field(7).alias("expected_value"),
             field(8).alias("reason"))
 
-    def stored_failures(self, cap: int = MAX_STORED_FAILURES) -> DataFrame:
-        """The first ``cap`` failures in row, then assignment order (a top-k, not a full sort)."""
+    def stored_failures(self, cap: int | None = None) -> DataFrame:
+        """All failures; with ``cap`` a report of the first in row, then assignment order (a top-k, not a full sort)."""
         order = ["row_index", "record_ref", "rule_ordinal"]
-        return self.failures().orderBy(*order).limit(cap)
+        return self.failures() if cap is None else self.failures().orderBy(*order).limit(cap)
 
     def summary(self) -> DataFrame:
         """Row counts and the quality score: 100 * passed / total, NULL for an empty table."""
@@ -159,11 +158,11 @@ class Validation:
             F.lit(len(self.rules)).alias("rules_evaluated_count"),
             F.lit(len(self.rules) == 0).alias("no_applicable_rules"))
 
-    def metrics(self, cap: int = MAX_STORED_FAILURES) -> DataFrame:
-        """Named run metrics. An empty table reports only its size."""
+    def metrics(self, cap: int | None = None) -> DataFrame:
+        """Named run metrics. An empty table reports only its size. ``cap`` is that of a capped report, if one was stored."""
         base = self.summary().select(
             F.col("total_rows").cast("bigint").alias("n"),
-            F.when((F.col("failure_count") >= cap) & (F.col("total_rows") > 0), 1).otherwise(0)
+            F.when(F.lit(cap is not None) & (F.col("failure_count") >= (cap or 0)) & (F.col("total_rows") > 0), 1).otherwise(0)
             .cast("bigint").alias("cut"))
         rows = [
             F.struct(F.lit("total_rows").alias("metric_name"), F.lit(None).cast("string").alias("metric_group"),

@@ -370,13 +370,13 @@ shared AS (SELECT a.run_id, a.assignment_id, a.record_ref, a.failed_value, b.rec
   FROM repeated a JOIN repeated b ON a.assignment_id = b.assignment_id AND a.failed_value = b.failed_value
   AND a.run_id = b.run_id AND a.record_ref <> b.record_ref)
 SELECT run_id, assignment_id, record_ref, failed_value,
-  coalesce(string_agg(peer, ',' ORDER BY r) FILTER (r <= 5), '') AS peers
+  coalesce(string_agg(peer, ',' ORDER BY r) FILTER (r <= 5), '') AS peers, count(peer) AS peer_count
 FROM repeated LEFT JOIN shared USING (run_id, assignment_id, record_ref, failed_value) GROUP BY 1, 2, 3, 4""")
 def duplicate_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     unique = failures(spark, sf_dir).where("rule_type = 'UNIQUENESS'").dropDuplicates(
         ["run_id", "assignment_id", "record_ref", "failed_value"])
-    return rank.duplicate_peers(unique).select(
-        "run_id", "assignment_id", "record_ref", "failed_value", F.array_join("peers", ",").alias("peers"))
+    return rank.duplicate_peers(unique, 5).select(
+        "run_id", "assignment_id", "record_ref", "failed_value", F.array_join("peers", ",").alias("peers"), "peer_count")
 
 
 # --- external suggestions ------------------------------------------------------------

@@ -70,10 +70,10 @@ def validation_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_run(spark, sf_dir).failures().select("record_ref", "assignment_id", "severity", "failed_value")
 
 
-@registry.add("stored_failures_capped", _with(FAULTY_ORDERS, FAILED) + """
-SELECT record_ref, assignment_id FROM failed ORDER BY record_ref, rule_ordinal LIMIT 2000""")
-def stored_failures_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders_run(spark, sf_dir).stored_failures(cap=2000).select("record_ref", "assignment_id")
+@registry.add("stored_failures", _with(FAULTY_ORDERS, FAILED) + """
+SELECT record_ref, assignment_id FROM failed""")
+def stored_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_run(spark, sf_dir).stored_failures().select("record_ref", "assignment_id")
 
 
 @registry.add("validation_summary", _with(FAULTY_ORDERS, FAILED, PER_ROW) + """
@@ -88,7 +88,7 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("validation_metrics", _with(FAULTY_ORDERS, FAILED) + """
 SELECT 'total_rows' AS metric_name, NULL AS metric_group, count(*) AS metric_value FROM faulty_orders
-UNION ALL SELECT 'failure_storage_truncated', NULL, CAST(count(*) >= 10000 AS BIGINT) FROM failed
+UNION ALL SELECT 'failure_storage_truncated', NULL, 0
 UNION ALL SELECT 'rule_evaluated', unnest(['complete', 'range', 'pattern', 'unique', 'tolerant']), 1
 UNION ALL SELECT 'unsupported_rule_type_skipped', 'REFERENTIAL_INTEGRITY', 1""")
 def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

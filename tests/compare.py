@@ -45,7 +45,7 @@ def compare(spark, name: str, query, sql: str | None, sf_dir: str, con) -> tuple
     rows = sorted(tuple(cell(v) for v in r) for r in df.select(*columns).collect())
     took = time.time() - start
     if sql is None:
-        return True, f"{len(rows)} rows, no SQL, {took:.1f}s"
+        return False, f"{len(rows)} rows, no SQL, {took:.1f}s"
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     types = {d[0]: str(d[1]) for d in result.description}

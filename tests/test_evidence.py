@@ -132,14 +132,14 @@ def test_sequences(spark):
     assert (got["twice"]["strategy"], got["twice"]["candidate_value"]) == ("SEQUENCE_NEXT_VALUE", "1005")
     assert got["minus"]["candidate_value"] == "ORD000"
     assert [got[c]["status"] for c in ("whole", "few", "words", "wild")] == [
-        "NO_RELATIONSHIP", "INSUFFICIENT_GROUP", "NO_RELATIONSHIP", "NO_RELATIONSHIP"]
+        "NO_RELATIONSHIP", "INSUFFICIENT_GROUP", "NO_RELATIONSHIP", "AMBIGUOUS"]
     assert got["above"]["candidate_value"] == "20"
     assert got["huge"]["candidate_value"] == str(10**25 + 4)
 
 
-def test_a_long_sequence_is_declined_without_ordering_it(spark):
+def test_a_long_sequence_is_decided(spark):
     df = spark.range(50000).select(F.lit("n").alias("column_name"), F.col("id").cast("string").alias("value"))
-    assert sequence_evidence(df.where("id <> 7")).first()["status"] == "NO_RELATIONSHIP"
+    assert sequence_evidence(df.where("id <> 7")).first()["candidate_value"] == "7"
 
 
 def test_temporal(spark):
@@ -264,5 +264,42 @@ def test_parse_suggestions(spark):
 def test_peers(spark):
     df = spark.createDataFrame([("run", "a", "UNIQUENESS", str(i), i, "x") for i in range(9)] + [("run", "a", "UNIQUENESS", "z", 99, "y")],
                                "run_id string, assignment_id string, rule_type string, record_ref string, row_index int, failed_value string")
-    got = {r["record_ref"]: r["peers"] for r in rank.duplicate_peers(df).collect()}
+    got = {r["record_ref"]: r["peers"] for r in rank.duplicate_peers(df, 5).collect()}
+    assert {r["peer_count"] for r in rank.duplicate_peers(df, 5).collect()} == {8, 0}
     assert got["0"] == ["1", "2", "3", "4", "5"] and got["8"] == ["0", "1", "2", "3", "4"] and got["z"] == []
+
+
+def test_long_series_are_decided_like_short_ones(spark):
+    from plumbrule.operators.evidence.sequence import sequence_evidence
+    from plumbrule.operators.evidence.temporal import temporal_evidence
+
+    for n in (900, 25_000):
+        numbers = spark.range(n).where(f"id <> {n // 3}").selectExpr("'c' AS column_name", "concat('N', id) AS value")
+        got = sequence_evidence(numbers).first()
+        assert (got["status"], got["strategy"], got["candidate_value"]) == ("CANDIDATE", "SEQUENCE_GAP", f"N{n // 3}")
+        hours = spark.range(n).where(f"id <> {n // 3}").selectExpr(
+            "'c' AS column_name", "date_format(timestamp_seconds(id * 3600), \"yyyy-MM-dd'T'HH:mm:ss\") AS value")
+        got = temporal_evidence(hours).first()
+        assert (got["status"], got["strategy"], got["gap_count"]) == ("CANDIDATE", "TEMPORAL_GAP", 1)
+
+
+def test_every_measure_is_tried(spark):
+    from plumbrule.operators.evidence.relationship import relationship_evidence
+
+    names = [f"m{i}" for i in range(17)]
+    rows = [(i, None if i == 3 else 3.0 * (i + 1), *[float((i * 7919 + k * 104729) % 997) for k in range(16)], float(i + 1)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id int, t double, " + ", ".join(f"{n} double" for n in names))
+    failing = df.where("id = 3").selectExpr("*", "'i' AS issue_id")
+    got = relationship_evidence(df, failing, "t", [], names).first()
+    assert (got["status"], got["related_columns"], round(got["candidate_value"], 6)) == ("CANDIDATE", "m16", 12.0)
+
+
+def test_large_joins_match_no_null_key(spark):
+    from plumbrule.functions.grouping import join_small
+
+    left = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "x int, k string")
+    right = spark.createDataFrame([(None, "N"), ("a", "A")], "k string, y string")
+    for how in ("left", "inner"):
+        small, large = (sorted(map(tuple, join_small(left, right, ["k"], how, max_rows=m).select("x", "y").collect())) for m in (100, 0))
+        assert small == large
+    assert (1, None) in map(tuple, join_small(left, right, ["k"], "left", max_rows=0).select("x", "y").collect())

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from plumbrule.plans import registered
 from tests.compare import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -16,13 +17,14 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registered.all_queries()))
 def test_query(spark, duck, name):
     ok, note = compare(spark, name, entry.queries()[name], entry.oracle_sql().get(name), SF_DIR, duck)
     assert ok, note
 
 
-def test_sql_names():
+def test_every_query_has_sql():
+    assert set(registered.all_sql()) == set(registered.all_queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -113,18 +113,13 @@ def test_bulk_against_brute_force(spark):
     df = spark.createDataFrame(rows, "batch_id string, issue_id string, action string, decided_at timestamp_ntz")
     known = spark.createDataFrame([(i,) for i in issues], "issue_id string")
     got = {r["batch_id"]: r["accepted"] for r in decide.bulk_outcomes(df, known, log).collect()}
-    final, want = dict(single), {}
-    for b, items, t in batches:
-        want[b] = all(i in issues and not (i in final and final[i] <= t) for i in items)
-        if want[b]:
-            final.update({i: min(final.get(i, t), t) for i in items})
-    assert got == want
+    assert got == {b: all(i in issues and not (i in single and single[i] <= t) for i in items) for b, items, t in batches}
 
 
 def test_approval(spark):
     submitted = spark.createDataFrame([(r, i) for r in "abcd" for i in ("1", "2")], "request_id string, issue_id string")
-    log = spark.createDataFrame([("a", "APPROVE", ["1", "2"]), ("b", "APPROVE", ["1"]), ("b", "REJECT", ["2"]), ("c", "APPROVE", ["1"])],
-                                "request_id string, decision string, issue_ids array<string>")
+    log = spark.createDataFrame([("a", "APPROVE", "1"), ("a", "APPROVE", "2"), ("b", "APPROVE", "1"), ("b", "REJECT", "2"), ("c", "APPROVE", "1"),
+                                 ("c", "APPROVE", "1")], "request_id string, decision string, issue_id string")
     got = {r["request_id"]: r["status"] for r in decide.approval_status(submitted, decide.decided_issues(log)).collect()}
     assert got == {"a": "APPROVED", "b": "REJECTED", "c": "PARTIALLY_APPROVED", "d": "PENDING"}
 
