@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from plumbrule.functions import text
 from plumbrule.functions.grouping import join_small, keep_matching, number_in_group
@@ -170,20 +171,26 @@ def materialize(df: DataFrame, key: KeySpec, corrections: DataFrame, path: str)
     """Write the corrected copy; returns its row count.
 
     Refuses uncoercible text before anything is written. The copy becomes
-    visible at ``path`` only after its count equals the source's, and nothing
-    is left behind otherwise.
+    visible at ``path`` only after its count equals the source's, which is
+    taken while the source is read for the copy. An older copy is moved aside
+    first and comes back if the new one cannot take its place; nothing
+    else is left behind.
     """
     bad = uncoercible(corrections, df.schema).limit(5).collect()
     if bad:
         raise StagingError("; ".join(f"{r['column_name']}: {r['final_value']!r} does not fit" for r in bad))
     spark = df.sparkSession
-    pending = path.rstrip("/") + "__pending"
-    overlay(df, key, corrections).write.mode("overwrite").parquet(pending)
-    written, source = spark.read.parquet(pending).count(), df.count()
-    if written != source:
+    pending = f"{path.rstrip('/')}__pending-{uuid.uuid4().hex}"
+    seen = Observation()
+    try:
+        overlay(df.observe(seen, F.count(F.lit(1)).alias("rows")), key, corrections).write.parquet(pending)
+        written, source = spark.read.parquet(pending).count(), seen.get["rows"]
+        if written != source:
+            raise StagingError(f"copied {written} of {source} rows")
+        _swap(spark, pending, path)
+    except BaseException:
         _delete(spark, pending)
-        raise StagingError(f"copied {written} of {source} rows")
-    _rename(spark, pending, path)
+        raise
     return written
 
 
@@ -197,11 +204,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def _rename(spark: SparkSession, source: str, path: str) -> None:
-    _delete(spark, path)
+def _swap(spark: SparkSession, source: str, path: str) -> None:
+    """Put ``source`` at ``path``; what was there before is deleted last."""
     target, fs = _fs(spark, path)
+    old = _fs(spark, f"{path.rstrip('/')}__old-{uuid.uuid4().hex}")[0]
+    there = fs.exists(target)
+    if there and not fs.rename(target, old):
+        raise StagingError(f"could not move the old copy at {path}")
     if not fs.rename(_fs(spark, source)[0], target):
+        if there:
+            fs.rename(old, target)
         raise StagingError(f"could not publish {path}")
+    if there:
+        fs.delete(old, True)
 
 
 def split_changed(staged: DataFrame, key: KeySpec, corrections: DataFrame, changed: bool) -> DataFrame:

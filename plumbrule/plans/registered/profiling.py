@@ -236,20 +236,40 @@ def undecided_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add("merged_proposals", """
-SELECT 'lang' AS column_name, 'PATTERN' AS rule_type, '{"regex":"^[a-z]{2}$"}' AS definition, CAST(0.9 AS DOUBLE) AS confidence
-WHERE (SELECT count(*) FROM documents) > 0""")
+SELECT 'lang' AS column_name, 'PATTERN' AS rule_type, '{"regex":"^' || source || '$"}' AS definition,
+  CAST(n_chars % 100 AS DOUBLE) / 100 AS confidence FROM documents WHERE doc_id % 3 = 0""")
 def merged_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per document: usable, of an unknown type or column, or not an object."""
     documents = table(spark, sf_dir, "documents")
-    found = detect.detect_rules(profile(documents.select("doc_id", "lang", "source")))
-    answer = (
-        '```json\n[{"column_name":"lang","rule_type":"PATTERN","definition":{"regex":"^[a-z]{2}$"},"confidence":0.9},'
-        '{"column_name":"source","rule_type":"GUESS","definition":{}},{"column_name":"ghost","rule_type":"RANGE",'
-        '"definition":{}},{"column_name":"source","rule_type":"RANGE","definition":"none"}]\n```')
-    responses = documents.agg(F.count(F.lit(1)).alias("n")).select(F.lit(answer).alias("text"))
-    merged = detect.merge_proposals(found, detect.parse_rule_proposals(responses))
+    found = detect.detect_rules(profile(documents.select("doc_id", "lang", "source"), include_top_values=True))
+    head = F.when(F.col("doc_id") % 3 == 0, '"lang","rule_type":"PATTERN"').when(
+        F.col("doc_id") % 3 == 1, '"source","rule_type":"GUESS"').otherwise('"ghost","rule_type":"RANGE"')
+    answer = F.concat(
+        F.lit('```json\n[{"column_name":'), head, F.lit(',"definition":{"regex":"^'), F.col("source"), F.lit('$"},"confidence":'),
+        (F.col("n_chars") % 100 / 100).cast("string"), F.lit('},{"column_name":"source","rule_type":"RANGE","definition":"none"}]\n```'))
+    merged = detect.merge_proposals(found, detect.parse_rule_proposals(documents.select(answer.alias("text"))))
     return merged.select("column_name", "rule_type", "definition", "confidence")
 
 
+@registry.add("promotion_outcomes", """
+WITH proposed AS (SELECT 'c' || p_partkey AS column_name, p_size, p_partkey % 4 AS kind, p_partkey % 5 AS state FROM part)
+SELECT column_name, CASE WHEN state = 0 OR (act = 'PROMOTE' AND kind = 3) THEN CASE WHEN state = 0 THEN 'ACTIVE' ELSE 'PENDING_REVIEW' END
+    WHEN act = 'PROMOTE' THEN 'ACTIVE' ELSE 'DISABLED' END AS status,
+  CASE WHEN act = 'PROMOTE' AND state <> 0 AND kind <> 3 THEN CASE WHEN kind = 2 THEN 'DATASET_LEVEL' ELSE 'SINGLE_COLUMN' END END AS scope,
+  CASE WHEN state = 0 THEN 'not pending review' WHEN act = 'PROMOTE' AND kind = 3 THEN 'cross-column rules need chosen columns' END
+    AS refused_reason
+FROM (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'PROMOTE' ELSE 'DISMISS' END AS act FROM proposed)""")
+def promotion_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    name, kind = F.concat(F.lit("c"), F.col("p_partkey")).alias("column_name"), F.col("p_partkey") % 4
+    proposals = part.select(
+        name, F.when(kind == 2, "DUPLICATE").when(kind == 3, "CROSS_COLUMN").otherwise("COMPLETENESS").alias("rule_type"),
+        F.lit("{}").alias("definition"), F.lit("MEDIUM").alias("severity"),
+        F.when(F.col("p_partkey") % 5 == 0, "ACTIVE").otherwise("PENDING_REVIEW").alias("status"))
+    decisions = part.select(name, F.when(F.col("p_size") % 2 == 0, "PROMOTE").otherwise("DISMISS").alias("action"))
+    return detect.promotion_outcomes(proposals, decisions).select("column_name", "status", "scope", "refused_reason")
+
+
 @registry.add("current_rule_versions", """
 SELECT rule_id, definition, version, version = max(version) OVER (PARTITION BY rule_id) AS is_current FROM (
   SELECT CAST(o_custkey AS VARCHAR) AS rule_id, CAST(o_orderkey AS VARCHAR) AS definition,

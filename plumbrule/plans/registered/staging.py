@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbrule.functions.storage import ensure_checkpoint_dir
 from plumbrule.operators import stage
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import table
@@ -110,16 +113,28 @@ def staging_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "review_run_id", "staging_run_id", F.col("attempt_number").cast("bigint").alias("attempt_number"), "is_current")
 
 
-@registry.add("corrected_copy", "WITH " + FIXES + """
+CORRECTED = "WITH " + FIXES + """
 SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(CAST(t.final_value AS DOUBLE), o_totalprice) AS o_totalprice,
   CAST(o_orderdate AS VARCHAR) AS o_orderdate, coalesce(p.final_value, o_orderpriority) AS o_orderpriority
 FROM orders LEFT JOIN fixes t ON t.record_ref = CAST(o_orderkey AS VARCHAR) AND t.column_name = 'o_totalprice'
-LEFT JOIN fixes p ON p.record_ref = CAST(o_orderkey AS VARCHAR) AND p.column_name = 'o_orderpriority'""")
+LEFT JOIN fixes p ON p.record_ref = CAST(o_orderkey AS VARCHAR) AND p.column_name = 'o_orderpriority'"""
+
+
+@registry.add("corrected_copy", CORRECTED)
 def corrected_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     copied = stage.overlay(table(spark, sf_dir, "orders"), ORDER_KEY, _fixes(spark, sf_dir))
     return copied.withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
+@registry.add("published_copy", CORRECTED)
+def published_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corrected copy, written twice to one place and read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/orders-{uuid.uuid4().hex}"
+    for _ in range(2):
+        stage.materialize(table(spark, sf_dir, "orders"), ORDER_KEY, _fixes(spark, sf_dir), path)
+    return spark.read.parquet(path).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 @registry.add("changed_rows", "WITH " + FIXES + """
 SELECT o_orderkey FROM orders WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT record_ref FROM fixes)""")
 def changed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
