@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 DICTIONARY_ROWS, CALIBRATION_ROWS = 400, 2000
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 64 << 10
-BLOCK_BYTES = 16 << 10
+BLOCK_BYTES = 2 << 10
 THRESHOLD = 0.7
 _LEVEL = 1
 
@@ -89,13 +89,13 @@ class Features:
         return difference, ratio, difference * min(1.0, len(raw) / 500), max(0.0, 0.15 - ratio)
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton's steps; both labels weigh as they occur."""
+def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression by Newton's steps."""
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), 1e-3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (p - y)) + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
@@ -118,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
         .agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_z")).where("_y = _z").drop("_z")
         .where(~held_out("_id")))
+    # The sample holds as many rows of either label; the curve weighs them as they occur.
+    occur = {r["_y"]: r["n"] for r in agreed.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rank = F.xxhash64("_id")
     n = DICTIONARY_ROWS + CALIBRATION_ROWS
     chosen = None
@@ -141,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rest = [(t, y) for y in (0, 1) for t in by[y][cut[y]:]]
     x = np.array([_row(features.of(t)) for t, _ in rest] + [[1.0, 0.0, 0.0, 0.0, 0.0]])
     y = np.array([float(y) for _, y in rest] + [prior])
-    return Model(good, bad, tuple(_fit(x, y).tolist()))
+    own = {k: occur[k] / max(1, len(by[k]) - cut[k]) for k in (0, 1)}
+    weight = np.array([own[k] for _, k in rest] + [1.0])
+    return Model(good, bad, tuple(_fit(x, y, weight / weight.mean()).tolist()))
 
 
 def _scorer(model: Model):
