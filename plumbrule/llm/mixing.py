@@ -8,7 +8,8 @@ and the seed falls below it, so the sample's expected tokens are the fitted ones
 
 Everything is DataFrame expressions. A document's tokens are its words, counted by
 white space. Only totals per cell shuffle; the fitting works on the table of cells, whose size
-depends on the categories, and its lineage is cut after each sweep. The cells are
+depends on the categories and not on the documents, and its lineage is cut every few
+sweeps. The cells are
 broadcast to the documents after a check of their number, and joined by a shuffle
 if there are more than ``BROADCAST_CELLS``.
 
@@ -22,7 +23,7 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbrule.functions.storage import written
 
@@ -30,6 +31,8 @@ SWEEPS = 6
 SEED = 17
 #: Wanted tokens of the sample as a share of all.
 SIZE = 0.75
+#: Sweeps between cuts of the lineage.
+CUT_SWEEPS = 3
 BROADCAST_CELLS = 10_000
 #: Default targets of a margin: own shares to this power, scaled to 1. Below 1 large categories give way.
 TEMPER = 0.7
@@ -70,22 +73,25 @@ def _targets(cells: DataFrame, margin: str, target: DataFrame, size: float) -> D
     sums = both.agg(F.sum("_own"), F.sum(F.when(F.col("_share").isNull(), F.col("_own"))), F.sum("_share")).first()
     total, free, shares = (x or 0.0 for x in sums)
     scaled = F.col("_share") * F.lit((total - free) / shares if shares else 0.0)
-    return written(both.select("_v", (F.coalesce(scaled, "_own") * F.lit(size)).alias("_want")))
+    return both.select("_v", (F.coalesce(scaled, "_own") * F.lit(size)).alias("_want"))
 
 
 def rake(cells: DataFrame, margins: dict[str, DataFrame], sweeps: int = SWEEPS, size: float = SIZE) -> DataFrame:
     """Adds ``fitted``: the part of the cells' tokens that gives each margin its target shares of the sample."""
-    wanted = {margin: _targets(cells, margin, target, size) for margin, target in margins.items()}
     fitted = cells.withColumn("fitted", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for margin, want in wanted.items():
-            now = fitted.groupBy(F.col(margin).alias("_n")).agg(F.sum("fitted").alias("_now"))
-            factor = now.join(want, F.col("_n").eqNullSafe(F.col("_v"))).where("_now > 0").select(
-                "_n", (F.col("_want") / F.col("_now")).alias("_f"))
-            fitted = fitted.join(factor, F.col(margin).eqNullSafe(F.col("_n")), "left").withColumn(
-                "fitted", F.least(F.col("fitted") * F.coalesce("_f", F.lit(1.0)), F.col("tokens").cast("double"))).drop("_n", "_f")
-        fitted = written(fitted)
-    return fitted
+    for margin, target in margins.items():
+        want = _targets(cells, margin, target, size).withColumnRenamed("_want", f"_want_{margin}")
+        fitted = fitted.join(want, F.col(margin).eqNullSafe(F.col("_v")), "left").drop("_v")
+    fitted = written(fitted)
+    for sweep in range(1, sweeps + 1):
+        for margin in margins:
+            now = F.sum("fitted").over(W.partitionBy(margin))
+            step = fitted.withColumn("_f", F.col(f"_want_{margin}") / F.nullif(now, F.lit(0.0)))
+            fitted = step.withColumn("fitted", F.least(
+                F.col("fitted") * F.coalesce("_f", F.lit(1.0)), F.col("tokens").cast("double"))).drop("_f")
+        if sweep % CUT_SWEEPS == 0:
+            fitted = written(fitted)
+    return written(fitted.select(*cells.columns, "fitted"))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", margins: dict[str, Column] | None = None,

@@ -54,7 +54,7 @@ AT_LEAST = (75, 100)
 #: From so many documents on, tokens are indexed as pairs, and as triples.
 FREQUENT = (16, 256)
 #: Rounds in which one member of a group is compared with the others.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 #: Documents per side of a block of comparisons.
 BLOCK_DOCS = 512
 
