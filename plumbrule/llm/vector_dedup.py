@@ -34,7 +34,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbrule.functions.storage import cut_lineage
 from plumbrule.llm.components import components
@@ -78,31 +78,37 @@ def keys_of(unit: np.ndarray, projection: np.ndarray, tables: int, bits: int) ->
     return (signs.astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Id, digest and unit vector as bytes of doubles; digest null where nothing can link."""
-    for batch in batches:
-        digests, units = [], []
-        for x in batch.column(1):
-            v = x.as_py()
-            unit = None
-            if v and None not in v:
-                a = np.array(v, np.float64)
-                scale = np.abs(a).max()
-                if np.isfinite(a).all() and scale > 0:
-                    a = np.trim_zeros(a / scale, "b")
-                    unit = (a / np.sqrt(a @ a)).tobytes()
-            units.append(unit)
-            digests.append(None if unit is None else md5(unit, usedforsecurity=False).digest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["_id", "_digest", "_unit"])
-
-
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+def _packed(kind: type):
+    """Id, digest and components as bytes of ``kind``; null where nothing can link."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, vectors = [], []
+            for x in batch.column(1):
+                v = x.as_py()
+                raw = None
+                if v and None not in v:
+                    a = np.array(v, kind)
+                    if np.isfinite(a).all() and a.any():
+                        # Trailing zeros say nothing, and -0.0 is 0.0.
+                        raw = (np.trim_zeros(a, "b") + kind(0)).tobytes()
+                vectors.append(raw)
+                digests.append(None if raw is None else md5(raw, usedforsecurity=False).digest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(vectors, pa.binary())],
+                names=["_id", "_digest", "_vector"])
+
+    return pack
+
+
+def _matrix(column: pa.Array, dims: int, kind: type) -> np.ndarray:
+    """Unit vectors in double precision."""
     out = np.zeros((len(column), dims))
     for k, x in enumerate(column):
-        v = np.frombuffer(x.as_py(), np.float64)
+        v = np.frombuffer(x.as_py(), kind)
         out[k, :len(v)] = v
-    return out
+    out /= np.abs(out).max(axis=1, keepdims=True, initial=np.finfo(np.float64).tiny)
+    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
 def _compared(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, block: np.ndarray, table: int, cosine: float):
@@ -127,7 +133,7 @@ def _compared(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, block: np.
     return count.astype(np.int64), label
 
 
-def _linker(dims: int, tables: int, cosine: float):
+def _linker(dims: int, kind: type, projection: np.ndarray, tables: int, bits: int, cosine: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive ordered by group; a group may go on in the next batch."""
         rest: pa.Table | None = None
@@ -137,8 +143,8 @@ def _linker(dims: int, tables: int, cosine: float):
             bounds = np.append(np.flatnonzero(np.diff(group, prepend=group[0] - 1)), len(group))
             ids, weight = rows.column("_id").to_numpy(), rows.column("_n").to_numpy().astype(np.float64)
             table, block = rows.column("_table").to_numpy(), rows.column("_block").to_numpy()
-            unit = _matrix(rows.column("_unit").combine_chunks(), dims)
-            keys = np.array(rows.column("_keys").to_pylist(), np.int64).reshape(len(ids), tables)
+            unit = _matrix(rows.column("_vector").combine_chunks(), dims, kind)
+            keys = keys_of(unit, projection, tables, bits)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
@@ -168,28 +174,30 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
                       tables_and_bits: tuple[int, int] | None = None) -> DataFrame:
     """``id_col``, n_links, component_id, kept: one row per row."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).alias("_v"))
-    units = rows.mapInArrow(_units, "_id bigint, _digest binary, _unit binary")
+    # Vectors travel as they were given; they become doubles where they are compared.
+    kind = np.float32 if isinstance(rows.schema["_v"].dataType.elementType, T.FloatType) else np.float64
+    units = rows.mapInArrow(_packed(kind), "_id bigint, _digest binary, _vector binary")
     # One row per distinct vector, combined before the shuffle.
     classes = cut_lineage(
         units.where(F.col("_digest").isNotNull()).groupBy("_digest")
-        .agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"), F.min("_unit").alias("_unit")))
+        .agg(F.min("_id").alias("_rep"), F.count(F.lit(1)).alias("_n"), F.min("_vector").alias("_vector")))
     classes = classes.withColumn("_key", F.conv(F.substring(F.hex("_digest"), 1, 16), 16, -10).cast("bigint"))
-    size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("_unit")).alias("d")).first()
-    dims = (size["d"] or 8) // 8
+    size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("_vector")).alias("d")).first()
+    dims = (size["d"] or kind().itemsize) // kind().itemsize
     tables, bits = tables_and_bits or tables_for(size["n"])
-    sample = classes.orderBy("_digest").limit(SAMPLE_ROWS).select("_unit").collect()
-    projection = learn(_matrix(pa.array([bytes(r["_unit"]) for r in sample], pa.binary()), dims), tables * bits)
+    sample = classes.orderBy("_digest").limit(SAMPLE_ROWS).select("_vector").collect()
+    projection = learn(_matrix(pa.array([bytes(r["_vector"]) for r in sample], pa.binary()), dims, kind), tables * bits)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_of(_matrix(batch.column(2), dims), projection, tables, bits)
+            keys = keys_of(_matrix(batch.column(2), dims, kind), projection, tables, bits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(list(keys), pa.list_(pa.int64()))],
-                names=["_id", "_n", "_unit", "_keys"])
+                names=["_id", "_n", "_vector", "_keys"])
 
-    coded = classes.select(F.col("_key").alias("_id"), "_n", "_unit").mapInArrow(
-        code, "_id bigint, _n bigint, _unit binary, _keys array<bigint>")
-    met = coded.select("*", F.posexplode("_keys").alias("_table", "_bucket"))
+    coded = classes.select(F.col("_key").alias("_id"), "_n", "_vector").mapInArrow(
+        code, "_id bigint, _n bigint, _vector binary, _keys array<bigint>")
+    met = coded.select("_id", "_n", "_vector", F.posexplode("_keys").alias("_table", "_bucket"))
     buckets = (
         coded.select(F.posexplode("_keys").alias("_table", "_bucket")).groupBy("_table", "_bucket")
         .agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
@@ -200,9 +208,9 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
         met.join(buckets, ["_table", "_bucket"]).withColumn("_block", block).withColumn("_other", other)
         .withColumn("_group", F.xxhash64("_table", "_bucket", F.least("_block", "_other"), F.greatest("_block", "_other"))))
     found = cut_lineage(
-        grouped.select("_group", "_table", "_block", "_id", "_n", "_unit", "_keys")
+        grouped.select("_group", "_table", "_block", "_id", "_n", "_vector")
         .repartition("_group").sortWithinPartitions("_group", "_block").mapInArrow(
-            _linker(dims, tables, cosine), "a bigint, n bigint, b bigint"))
+            _linker(dims, kind, projection, tables, bits, cosine), "a bigint, n bigint, b bigint"))
     counted = found.groupBy("a").agg(F.sum("n").alias("_links"))
     known = components(found.select("a", "b"))
     placed = (
