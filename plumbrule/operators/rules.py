@@ -78,6 +78,9 @@ def _none() -> Column:
     return F.lit(None).cast("string")
 
 
+# Fixed output: expected values and reasons are stored with failures and read as they stand.
+
+
 def _completeness(schema: T.StructType, rule: RuleSpec) -> LocalRule:
     limit = float(rule.definition.get("max_null_percentage", 0.0) or 0.0)
     return LocalRule(

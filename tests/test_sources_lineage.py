@@ -66,6 +66,7 @@ def test_jdbc_options():
     for code in tables.VENDORS:
         asked = catalog.catalog_queries(code, "s'x", "t")
         assert set(asked) == {"schemas", "tables", "columns", "primary_keys", "foreign_keys", "row_estimate"}
+        assert "referenced_schema" in asked["foreign_keys"]
         assert "s''x" in asked["columns"]
 
 
