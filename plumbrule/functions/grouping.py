@@ -38,7 +38,7 @@ def with_group_size(
     Rows whose key is NULL get NULL. ``counted_from`` is the frame to count
     keys in when ``df`` is derived from it by joins that keep its rows, so the
     joins are not planned twice. ``spread_on`` must vary inside a group and be
-    the same whenever a task is run again (a scan position or a unique key).
+    the same whenever a task is run again (row content or a unique key).
     """
     keyed = df.withColumnRenamed(key, "_gk")
     counted = (df if counted_from is None else counted_from).select(F.col(key).alias("_gk"))

@@ -194,9 +194,8 @@ def validate(
 ) -> Validation:
     """Evaluate every enabled rule over the whole of ``df``.
 
-    Rows of a hot group are spread by their scan position, so ``df`` should
-    read files or another source whose row order is repeatable when a task
-    runs again; write JDBC input to files first.
+    Rows of a hot group are spread by their content, so rows may arrive in
+    any order when a task runs again.
 
     Without a key, ``row_index`` names a column with the row's position (see
     :func:`plumbrule.sources.tables.with_row_index`); it is not part of the
@@ -238,8 +237,10 @@ def validate(
         text.row_hash(schema).alias("source_row_hash"),
         F.filter(found, lambda f: f.isNotNull()).cast(f"array<{_FAILURE}>").alias("failures"),
         *[text.key_digest(schema, b.columns).alias(f"_k{o}") for o, b in grouped],
-        *[b.failed_value.alias(f"_v{o}") for o, b in grouped],
-        *([F.monotonically_increasing_id().alias("_position")] if grouped else []))
+        *[b.failed_value.alias(f"_v{o}") for o, b in grouped])
+    if grouped:
+        # From the row's content, so that a task that runs again deals the rows alike.
+        narrow = narrow.withColumn("_position", F.xxhash64("record_ref", "row_index", "source_row_hash"))
     rows = narrow
     for ordinal, built in grouped:
         rows = with_group_size(rows, f"_k{ordinal}", "_size", "_position", counted_from=narrow)
