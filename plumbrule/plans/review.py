@@ -50,19 +50,27 @@ def typed_issues(df: DataFrame, issues: DataFrame) -> DataFrame:
     return issues.withColumn("normalized_data_type", F.element_at(kinds, F.col("column_name")))
 
 
-def gather_evidence(df: DataFrame, key: KeySpec, issues: DataFrame, profiles: DataFrame) -> DataFrame:
+def gather_evidence(df: DataFrame, key: KeySpec, issues: DataFrame, profiles: DataFrame,
+                    key_changes: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
     """Ranked evidence for every issue whose record can be addressed.
 
+    With ``key_changes`` (dataset_id, changed_at) and ``runs`` (run_id, dataset_id, created_at), issues of
+    runs that are older than the key of their dataset get none.
+
     The number of evidence passes depends on the columns under review, which
     are read from the issues first (at most one row per column and rule type);
     each pass then serves all issues of its column. The located issues are
     checkpointed, because every pass reads them.
     """
     typed = typed_issues(df, issues)
+    if key_changes is not None and runs is not None:
+        typed = rank.stale_keys(typed, key_changes, runs)
+    else:
+        typed = typed.withColumn("key_changed", F.lit(False))
     kinds = F.array_sort(applicable_strategies(F.col("normalized_data_type"), F.col("rule_type")))
     located = rank.locate_issues(df, key, typed)
     usable = cut_lineage(located.where(rank.availability(
-        key, F.lit(False), F.col("record_ref"), F.col("matches")) == "AVAILABLE"))
+        key, F.col("key_changed"), F.col("record_ref"), F.col("matches")) == "AVAILABLE"))
     wanted = usable.where(F.col("column_name").isNotNull()).select(
         "column_name", F.explode(kinds).alias("strategy")).distinct().collect()
     columns: dict[str, list[str]] = {}

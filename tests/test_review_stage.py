@@ -76,6 +76,10 @@ def test_evidence_for_a_review(spark):
     ranked = gather_evidence(df, ID, review.issues, prof)
     found = ranked.where("recommended_value IS NOT NULL").first()
     assert (found["recommended_value"], found["recommended_strategy"]) == ("343", "ratio_consistency")
+    runs = review.issues.select("run_id").distinct().selectExpr("run_id", "'d' AS dataset_id", "timestamp_ntz'2024-01-02' AS created_at")
+    for changed, left in (("2024-01-01", ranked.count()), ("2024-01-03", 0)):
+        changes = spark.createDataFrame([("d",)], "dataset_id string").selectExpr("dataset_id", f"timestamp_ntz'{changed}' AS changed_at")
+        assert gather_evidence(df, ID, review.issues, prof, changes, runs).count() == left
 
 
 EVENT = "event_id string, issue_id string, action string, suggestion_id string, value string, decided_by string, decided_at timestamp_ntz"
