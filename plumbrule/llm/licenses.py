@@ -4,7 +4,8 @@ A text is put in a canonical form: lower case, copyright lines and comment marks
 removed, equivalent spellings made one, punctuation and white space reduced to single
 spaces. The SHA-256 digest of the whole form is looked up in a table of digests of
 known licence texts, which are brought into the same form by the same expression. Single
-lines are looked up likewise among the digests of known licence notices.
+lines are looked up likewise among the digests of known licence notices. Both tables are in
+``known_licenses``; a licence, wording or text outside them is not found.
 
 Everything is DataFrame expressions. The table of texts has one row per entry and is
 broadcast after a check of their size (``KNOWN_ROWS``); a larger one is joined by a
@@ -19,6 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbrule.llm import known_licenses
+
 #: Known tables up to so many rows are broadcast.
 KNOWN_ROWS = 10_000
 
@@ -63,9 +66,9 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR
 INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
 THIS SOFTWARE."""
-TEXTS = (("MIT", MIT), ("ISC", ISC))
+TEXTS = known_licenses.texts((("MIT", MIT), ("ISC", ISC)))
 # Notices that name a licence in one line.
-NOTICES = (
+NOTICES = known_licenses.notices((
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -73,7 +76,7 @@ NOTICES = (
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+))
 #: Every canonical notice contains this word, so other lines are not put in form.
 NOTICE_WORD = "licen[cs]e"
 
@@ -112,7 +115,9 @@ def license_scan(docs: DataFrame, texts: DataFrame, notices: tuple[tuple[str, st
     stands in the plan as a map from digests to names.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    names = F.create_map(*[F.lit(v) for r in known(docs.sparkSession, notices).orderBy("digest").collect() for v in r])
+    # Digests and names hold neither delimiter, and the map is folded to one literal.
+    pairs = ",".join(f"{r.digest}:{r.name}" for r in known(docs.sparkSession, notices).orderBy("digest").collect())
+    names = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(f"(?i){NOTICE_WORD}"))
     found = F.filter(F.transform(lines, lambda line: F.element_at(names, digest(line))), lambda n: n.isNotNull())
     marked = rows.select(

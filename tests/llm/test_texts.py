@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import textwrap
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -140,3 +141,19 @@ def test_mixture(spark, frame):
     assert mixing.mix(docs.limit(0)).count() == 0
     again = mixing.mixture(docs, targets=target, size=0.4, sweeps=12)
     assert {r.doc_id for r in again.where("_kept").collect()} == {r.doc_id for r in got.where("_kept").collect()}
+
+
+def test_common_licenses_are_known(spark, frame):
+    path = f"{os.path.dirname(licenses.__file__)}/license_texts"
+    texts = {name[:-4]: open(f"{path}/{name}", encoding="utf-8").read() for name in os.listdir(path)}
+    assert {"Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "Unlicense"} <= set(texts)
+    standard = "\n".join(textwrap.wrap(licenses.MIT.split("\n\n", 2)[2].split("\n\n")[-1], 77))
+    texts |= {"MIT": "\n\n".join(["The MIT License (MIT)", "Copyright (c) 2020 Someone", *licenses.MIT.split("\n\n")[2:4], standard])}
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the BSD 3-Clause License": "BSD-3-Clause", "SPDX-License-Identifier: 0BSD": "0BSD",
+        "# Licensed under the GNU Lesser General Public Licence, version 2.1.": "LGPL-2.1-only", "Licensed under the AGPLv3": "AGPL-3.0-only",
+        "License: CC0": "CC0-1.0", "Released under the Mozilla Public License, v. 2.0.": "MPL-2.0"}
+    docs = frame([*texts.items(), *[(line, line) for line in lines]], "doc_id string, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(docs, licenses.known(spark, licenses.TEXTS)).collect()}
+    assert {name: got[name].license for name in texts} == {name: name for name in texts}
+    assert {line: got[line].notices for line in lines} == lines
