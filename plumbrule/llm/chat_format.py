@@ -10,14 +10,18 @@ into segments where the sum passes a multiple of ``SEGMENT_BUDGETS`` budgets;
 within a segment a window takes the longest run of whole turns that fits the budget
 (a longer turn gets a window of its own), found by binary search in the sums. Each
 window opens with the conversation's leading system turns and repeats the last turns
-before it that fit ``HISTORY`` tokens. Repeated turns are not under the loss mask, so
+before it that fit ``HISTORY`` tokens; where the budget is short, history gives way to the
+system turns and the window's own turns. Repeated turns are not under the loss mask, so
 every assistant turn is a target once, in the window that it belongs to.
 
 The sums are taken in two levels, over runs of ``RUN_TURNS`` turn numbers and over
 runs, so that a conversation of any length is neither sorted nor held in one task.
 Segments of a conversation are formatted independently.
 
-Defined results: a null text is empty; a null role is the empty role; turns of a
+Defined results: leading system turns are repeated whole as long as they leave room
+within the budget, so a turn that does not fit beside them gets a window over it, like one longer
+than the budget; of leading system turns that fill the budget, those before the one that does are
+repeated and the rest stand once, in their own windows; a null text is empty; a null role is the empty role; turns of a
 conversation are ordered by number (nulls first), then role, then text, so ties and
 repeated rows have a fixed order and are all formatted; rows without a conversation
 id form one conversation of their own; an empty table gives an empty result; other
@@ -41,8 +45,6 @@ BUDGET, HISTORY = 2048, 256
 SEGMENT_BUDGETS = 64
 RUN_TURNS = 64
 SYSTEM, ASSISTANT = "system", "assistant"
-#: A window opens with at most so many tokens of system turns per repeat; longer ones stand in the first window only.
-SYSTEM_LIMIT = 512
 
 # The template: fixed marks.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
@@ -140,7 +142,7 @@ def format_windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     after = F.floor((F.col("_before") + F.col("_tokens") + history) / length).cast("bigint")
     spill = placed.where(after > own).withColumn("_segment", after).withColumn("_kind", F.lit(0))
     # The leading system turns open every segment.
-    head = placed.where((F.col("_role") == SYSTEM) & (F.col("_before") + F.col("_tokens") <= SYSTEM_LIMIT))
+    head = placed.where((F.col("_role") == SYSTEM) & (F.col("_before") + F.col("_tokens") < budget))
     lead = placed.where(F.col("_role") != SYSTEM).groupBy("_conv").agg(F.min("_position").alias("_until"))
     head = head.join(lead.withColumnRenamed("_conv", "_c"), F.col("_conv").eqNullSafe(F.col("_c")), "left").where(
         F.col("_until").isNull() | (F.col("_position") < F.col("_until"))).drop("_c", "_until")
@@ -162,16 +164,22 @@ def _formatter(budget: int, history: int):
         lead = [r for r in rows if r[0] == 2]
         if own and own[0][1] == 0:
             for r in own:
-                if r[2] != SYSTEM or r[5] + r[4] > SYSTEM_LIMIT:
+                if r[2] != SYSTEM or r[5] + r[4] >= budget:
                     break
                 lead.append(r)
         fixed, led = sum(r[4] for r in lead), {r[1] for r in lead}
+        # Beside long system turns, history and own turns share what is left.
+        past = min(history, (budget - fixed) // 2)
         out = []
         # The first window holds the system turns as its own; later ones repeat them.
-        for number, (a, b) in enumerate(windows(np.array([r[4] for r in own], np.int64), max(1, budget - fixed - history))):
+        for number, (a, b) in enumerate(windows(np.array([r[4] for r in own], np.int64), max(1, budget - fixed - past))):
             start = own[a][5]
-            before = [r for r in [*outside, *own[:a]] if r[5] >= start - history and r[5] + r[4] <= start]
-            opening = [*[r for r in lead if r[1] < own[a][1]], *[r for r in before if r[1] not in led]]
+            opened = [r for r in lead if r[1] < own[a][1]]
+            left = budget - sum(r[4] for r in [*opened, *own[a:b]])
+            # A window over the budget for its own turn keeps its history as it is.
+            fits = min(past, left) if left >= 0 else past
+            before = [r for r in [*outside, *own[:a]] if r[5] >= start - fits and r[5] + r[4] <= start]
+            opening = [*opened, *[r for r in before if r[1] not in led]]
             parts, mask, at = [], [], 0
             for k, r in enumerate([*opening, *own[a:b]]):
                 text, body, end = rendered(r[2], r[3])

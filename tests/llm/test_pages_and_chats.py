@@ -93,6 +93,21 @@ def test_chat_round_trip(frame, budget, history, monkeypatch):
         assert later and all(chat_format.read_turns(r.formatted)[0][0] == "system" for r in later)
 
 
+@pytest.mark.parametrize("words, repeated", [([580], 1), ([300, 300], 2), ([1900], 1), ([580, 3000], 1), ([3000, 10], 0)])
+def test_long_system_turns_stay(frame, words, repeated, monkeypatch):
+    monkeypatch.setattr(chat_format, "SEGMENT_BUDGETS", 4)
+    system = [(1, k, "system", "w " * n) for k, n in enumerate(words)]
+    rows = system + [(1, k, "assistant" if k % 2 else "user", f"turn {k} " * 8) for k in range(len(words), 600)]
+    formatted = chat_format.format_windows(frame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.conv_id: tuple(r)[1:5] for r in chat_format.read_back(formatted).collect()} == expected(rows)
+    windows = [(r, chat_format.read_turns(r.formatted)) for r in formatted.collect()]
+    later = [(r, own) for r, own in windows if own[r.repeated][0] != "system" and r.repeated]
+    assert len({r.segment for r, _ in later}) > 1
+    for r, own in later:
+        assert r.n_tokens <= chat_format.BUDGET
+        assert [t[:2] for t in own if t[0] == "system"] == [(role, text) for *_, role, text in system[:repeated]]
+
+
 def test_escapes():
     for text in ("", "\\", "<|", "\\<|end|>", "a\\\\<||>", "</s><s>[INST][/INST]<<SYS>>", "<", "|>"):
         assert chat_format.unescaped(chat_format.escaped(text)) == text
