@@ -29,7 +29,7 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add("op7_suffix_decontamination")
 def suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=True)
 
 
 @registry.add("op10_ngram_jaccard_join")

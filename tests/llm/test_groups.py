@@ -152,6 +152,38 @@ def test_longest_matches(frame):
     assert got == {(k, n - k) for k in range(n - 12)}
 
 
+def prefix(a: list[str], b: list[str]) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("setting", [{}, {"shard_words": 40}, {"block_bytes": 30}])
+def test_longest_matches_are_whole(frame, setting):
+    rng = random.Random(6)
+    long = [rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(59)]
+    items = [(1, " ".join(long)), (2, " ".join(long[5:20] * 3)), (3, "x y"), (None, "y z"), (4, None)]
+    docs = [(1, " ".join(long[:40] + ["q"] * 9)), (2, " ".join(["r"] * 50 + long + ["r"] * 50)), (3, " ".join(["s"] * 30 + long)), (4, "q x y z q"), (5, None),
+            (6, " ".join(long[:45])), (7, " ".join((long[5:20] * 4)[2:])), (7, " ".join(long[3:])), (10, " ".join(["t"] * 7 + long)), (11, "none at all")]
+    words = {k: t.split() for k, t in items if t}
+    wanted = {}
+    for k, item in words.items():
+        for i in range(len(item)):
+            found = [(-prefix(item[i:], t.split()[p:]), str(d), p) for d, t in docs if t for p in range(len(t.split()))]
+            if (best := min(found)) and -best[0] >= 13:
+                wanted[(None if k is None else str(k), i)] = (-best[0], *best[1:])
+    frames = frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")
+    got = {(r.item, r.item_at): (r.words, r.doc, r.doc_at) for r in decontaminate.longest_matches(*frames, **setting).collect()}
+    assert got == wanted
+    rows = decontaminate.contamination(*frames, **setting, longest=True).collect()
+    expected = []
+    for d, t in docs:
+        found = [(-n, p, k is not None, str(k or ""), i) for p in range(len((t or "").split())) for k, item in words.items()
+                 for i in range(len(item)) if (n := prefix(item[i:], t.split()[p:]))]
+        n, p, named, k, i = min(found, default=(0, None, False, "", None))
+        expected.append((d, -n, p, k if named else None, i))
+    assert sorted(map(str, expected)) == sorted(
+        str((r.doc_id, r.longest_words, r.longest_at, r.longest_item, r.longest_item_at)) for r in rows)
+
+
 def test_vectors(frame):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 24))
