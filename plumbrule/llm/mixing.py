@@ -3,7 +3,8 @@
 Token totals per cell (source, language, topic) are raked to a sample of ``SIZE`` of all
 tokens: each margin in turn is scaled to its target shares of the sample, and no cell
 beyond the tokens it has, ``SWEEPS`` times over. Fitted over own tokens is the
-probability of a cell's documents. A document is kept when a number derived from its id
+probability of a cell's documents. Where categories lack tokens for their share of the sample the
+targets are missed; :func:`reached` tells by how much. A document is kept when a number derived from its id
 and the seed falls below it, so the sample's expected tokens are the fitted ones.
 
 Everything is DataFrame expressions. A document's tokens are its words, counted by
@@ -119,6 +120,23 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mar
     return joined.withColumn("_kept", drawn < F.col("_share")).drop(*[f"{n}_" for n in names.values()])
 
 
+def reached(docs: DataFrame, text_col: str = "text", margins: dict[str, Column] | None = None,
+            targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, size: float = SIZE) -> DataFrame:
+    """margin, value, wanted, fitted, residual (fitted less wanted), all in tokens: one row per category of :func:`mixture`."""
+    margins = margins or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col(text_col))}
+    cells = written(docs.select(word_count(F.col(text_col)).alias("_n"), *[c.cast("string").alias(m) for m, c in margins.items()])
+                    .groupBy(*margins).agg(F.sum("_n").alias("tokens")))
+    wanted = {m: (targets or {}).get(m) for m in margins}
+    wanted = {m: tempered(cells, m) if t is None else t for m, t in wanted.items()}
+    fitted, out = rake(cells, wanted, sweeps, size), None
+    for margin, target in wanted.items():
+        got = fitted.groupBy(F.col(margin).alias("value")).agg(F.sum("fitted").alias("fitted"))
+        one = got.join(_targets(cells, margin, target, size), F.col("value").eqNullSafe(F.col("_v"))).select(
+            F.lit(margin).alias("margin"), "value", F.col("_want").alias("wanted"), "fitted", (F.col("fitted") - F.col("_want")).alias("residual"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The sampled rows; columns and values stay as they are. Settings as for :func:`mixture`."""
     return mixture(docs, **settings).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -157,3 +157,13 @@ def test_common_licenses_are_known(spark, frame):
     got = {r.doc_id: r for r in licenses.license_scan(docs, licenses.known(spark, licenses.TEXTS)).collect()}
     assert {name: got[name].license for name in texts} == {name: name for name in texts}
     assert {line: got[line].notices for line in lines} == lines
+
+
+def test_reached_tells_missed_targets(frame):
+    docs = frame([(i, "w " * 10, "b" if i < 10 else "a", "en") for i in range(100)], "doc_id long, text string, source string, lang string")
+    target = {"source": frame([("a", 1.0), ("b", 1.0)], "value string, share double"), "lang": frame([("en", 1.0)], "value string, share double")}
+    # Of 1000 tokens b has 100, and is to give 100 of 200 or 250 of 500.
+    got = {size: {(r.margin, r.value): (round(r.wanted, 6), round(r.residual, 6)) for r in mixing.reached(docs, targets=target, size=size).collect()}
+           for size in (0.2, 0.5)}
+    assert got[0.2]["source", "b"] == (100, 0) and got[0.2]["lang", "en"] == (200, 0)
+    assert got[0.5]["source", "b"] == (250, -150)
