@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbrule.llm import chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, quality, secrets, token_counts, vector_dedup
+from plumbrule.llm import chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, quality, secrets, spelling, substring_dedup, token_counts, vector_dedup, whitening
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import table
 
@@ -67,3 +67,20 @@ def raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("op6_license_scan", licenses.oracle())
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known(spark, licenses.TEXTS))
+
+
+@registry.add("op11_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@registry.add("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@registry.add("op13_substring_dedup", substring_dedup.ORACLE_SQL)
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select(
+        F.col("_id").alias("doc_id"), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+        F.sha2("_kept", 256).alias("kept_sha256"))

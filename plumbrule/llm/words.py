@@ -39,13 +39,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _byte_values() -> np.ndarray:
+def _byte_values(fold: bool) -> np.ndarray:
     codes = np.arange(256, dtype=np.uint64)
-    codes[65:91] += np.uint64(32)
+    if fold:
+        codes[65:91] += np.uint64(32)
     return mix((codes + np.uint64(1)) * _BASE)
 
 
-_VALUES = _byte_values()
+_VALUES = _byte_values(True)
+#: For words whose case counts.
+UNCHANGED = _byte_values(False)
 
 
 class _Powers:
@@ -78,7 +81,7 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Words:
+def cut(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, values: np.ndarray = _VALUES) -> Words:
     """Cut the texts ``data[offsets[i]:offsets[i + 1]]`` (uint8) into words."""
     base, stop = int(offsets[0]), int(offsets[-1])
     data, offsets = data[base:stop], (offsets - base).astype(np.int64)
@@ -94,7 +97,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> Words:
         start, end = np.sort(np.concatenate([start, glued])), np.sort(np.concatenate([end, glued]))
     up, down = _POWERS.upto(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[data] * up[:n], out=sums[1:])
+    np.cumsum(values[data] * up[:n], out=sums[1:])
     h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MIX[1])
     return Words(start + base, end + base, h, np.searchsorted(start, offsets))
 
@@ -108,6 +111,17 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def rolling(h: np.ndarray, width: int) -> np.ndarray:
+    """Rabin-Karp hashes of all ``width`` consecutive word hashes, rolled along by prefix sums."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    up, down = _POWERS.upto(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[:len(h)], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[:n])
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

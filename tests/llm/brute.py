@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from hashlib import sha256
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -79,3 +81,46 @@ def base_spans(text: str | None) -> list[str]:
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 32]
     return [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+def kept_words(docs: list[tuple], width: int = 20) -> list[tuple]:
+    """Of documents in order: (id, words, removed spans, kept text)."""
+    cut = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in docs]
+    first: dict[tuple, tuple[int, int]] = {}
+    for d, w in enumerate(cut):
+        for i in range(len(w) - width + 1):
+            first.setdefault(tuple(w[i:i + width]), (d, i))
+    out = []
+    for d, w in enumerate(cut):
+        gone = {k for i in range(len(w) - width + 1) if first[tuple(w[i:i + width])] < (d, i) for k in range(i, i + width)}
+        begins = [k for k in sorted(gone) if k - 1 not in gone]
+        ends = [k + 1 for k in sorted(gone) if k + 1 not in gone]
+        out.append((docs[d][0], len(w), list(zip(begins, ends, strict=True)), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def spelling(docs: list[tuple]) -> set[tuple]:
+    """(word, form, root, n, n_near, form_n), near words found by trying every edit."""
+    counts: Counter = Counter()
+    for key, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", (text or "").translate(LOWER)):
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            if len(run) >= 7:
+                counts[run] += 1
+    n = {w: c for w, c in counts.items() if c >= 2}
+    letters = sorted({c for w in n for c in w})
+    form, near = {}, {}
+    for w in n:
+        edits = {w[:i] + w[i + 1:] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
+        edits |= {w[:i] + c + w[i + 1:] for i in range(len(w)) for c in letters}
+        found = sorted((e for e in edits - {w} if e in n), key=lambda e: (-n[e], e))
+        near[w], form[w] = len(found), found[0] if found and n[found[0]] >= 10 * n[w] else None
+    out = set()
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.add((w, form[w], root, n[w], near[w], n.get(form[w])))
+    return out
