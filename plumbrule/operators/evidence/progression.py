@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -13,8 +15,8 @@ MIN_OBSERVATIONS = 5
 MIN_SUPPORT = 3
 MIN_CONSISTENCY = 0.5
 
-#: Ranges into which a series is cut to be ordered.
-RANGES = 256
+#: Ranges into which a series is cut to be ordered: so many groups of so many.
+COARSE, FINE = 16, 16
 
 
 def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,24 +28,34 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(cells)).where(~is_blank(F.col("value")))
 
 
+def _above(borders: Sequence[Column]) -> Column:
+    """How many of the borders are below ``idx``. Straight-line comparisons compile; a lambda over the array would be interpreted."""
+    return reduce(add, [F.when(b < F.col("idx"), 1).otherwise(0) for b in borders])
+
+
 def steps(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, at, diff): the difference of each ``idx`` to the next smaller one of its series.
 
-    A series is ordered in ranges of about equal size, whose borders come from a sketch; the first
-    value of a range follows the largest one of the range before it, taken from a table with one row per range.
+    A series is ordered in ranges of about equal size, whose borders come from a sketch. The first value of a
+    range follows the largest one of the range before it, which is carried over from a table with one row per range.
+    ``keys`` name a series; there are few of them (columns and kinds of step).
     """
     keys = list(keys)
-    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    borders = values.groupBy(*keys).agg(F.percentile_approx("idx", shares, 10 * RANGES).alias("_borders"))
+    ranges = COARSE * FINE
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    borders = values.groupBy(*keys).agg(F.percentile_approx("idx", shares, 10 * ranges).alias("_borders"))
     # One row per series, of bounded width.
-    placed = values.join(borders, keys).select(
-        *keys, "idx", F.size(F.filter("_borders", lambda b: b < F.col("idx"))).alias("_range"))
-    inside = W.partitionBy(*keys, "_range").orderBy("idx")
-    near = placed.select(*keys, F.col("idx").alias("at"), (F.col("idx") - F.lag("idx").over(inside)).alias("diff"))
-    ends = placed.groupBy(*keys, "_range").agg(F.min("idx").alias("at"), F.max("idx").alias("_last"))
-    before = F.lag("_last").over(W.partitionBy(*keys).orderBy("_range"))
-    across = ends.select(*keys, "at", (F.col("at") - before).alias("diff"))
-    return near.where(F.col("diff").isNotNull()).unionByName(across.where(F.col("diff").isNotNull()))
+    coarse = values.join(F.broadcast(borders), keys).withColumn(
+        "_coarse", _above([F.get("_borders", F.lit(k * FINE - 1)) for k in range(1, COARSE)]))
+    placed = coarse.select(*keys, "idx", (F.col("_coarse") * FINE + _above(
+        [F.get("_borders", F.col("_coarse") * FINE + k) for k in range(FINE - 1)])).alias("_range"))
+    ends = placed.groupBy(*keys, "_range").agg(F.max("idx").alias("_last"))
+    # At most COARSE * FINE rows per series.
+    carried = ends.select(*keys, "_range", F.lag("_last").over(W.partitionBy(*keys).orderBy("_range")).alias("_before"))
+    before = F.lag("idx").over(W.partitionBy(*keys, "_range").orderBy("idx"))
+    return placed.withColumn("_lag", before).join(F.broadcast(carried), [*keys, "_range"]).select(
+        *keys, F.col("idx").alias("at"), (F.col("idx") - F.coalesce("_lag", "_before")).alias("diff")).where(
+            F.col("diff").isNotNull())
 
 
 def progression(values: DataFrame, keys: Sequence[str], overshoot: Column) -> DataFrame:

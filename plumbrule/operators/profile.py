@@ -1,10 +1,12 @@
 """Column profiles of a whole table.
 
-Everything that depends on repetition comes from one frequency table
-(column, value, n): a single shuffle with map-side combining serves the
-distinct counts, modes, top values, quartiles and outliers of all columns, and
-Spark reuses its exchange for each of them. Lengths, blanks and text extremes
-need no grouping and come from one ungrouped aggregate.
+Everything that depends on repetition comes from one frequency table: a single
+shuffle with map-side combining serves the distinct counts, modes, top values,
+quartiles and outliers of all columns, and Spark reuses its exchange for each of
+them. Values keep their type in it: numbers, dates and times travel as fixed-width
+numbers, and a text as its first 100 characters, with a digest where it is longer.
+Lengths, blanks and text extremes need no grouping and come from one ungrouped
+aggregate.
 
 Quartiles are exact without sorting a column in one task: an approximate
 sketch only draws bucket borders, the counts per bucket locate the wanted
@@ -13,13 +15,17 @@ ranks, and only the few buckets holding a wanted rank are ordered.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 from operator import add
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from plumbrule.functions import text
+from plumbrule.functions.storage import written
 from plumbrule.functions.text import canonical_of
 from plumbrule.spec import NUMERIC_TYPES, TEMPORAL_TYPES, TEXT_TYPES, normalized_type
 
@@ -39,13 +45,92 @@ PROFILE_COLUMNS = (
 )
 
 
+#: Grouping columns of the frequency table besides the column's position; a value fills one of the first three, or
+#: the last two, and NULL none.
+_WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_KEYS = {"whole": "bigint", "num": "double", "at": "timestamp_ntz", "head": "string", "digest": "binary"}
+
+
+def _key_parts(schema: T.StructType, name: str) -> dict[str, Column]:
+    """The value as fixed-width columns, or as the head of its text and a digest of longer text."""
+    c, kind = F.col(name), schema[name].dataType
+    if isinstance(kind, _WHOLE_TYPES):
+        return {"whole": c.cast("bigint")}
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return {"whole": (c * F.lit(10 ** kind.scale).cast("decimal(19,0)")).cast("bigint")}
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        # As a float is written, so that it equals what it is read as.
+        return {"num": c.cast("string").cast("double") if isinstance(kind, T.FloatType) else c}
+    if isinstance(kind, T.DateType):
+        return {"whole": F.unix_date(c).cast("bigint")}
+    if isinstance(kind, T.TimestampType):
+        return {"whole": F.unix_micros(c)}
+    if isinstance(kind, T.TimestampNTZType):
+        return {"at": c}
+    v = canonical_of(schema, name)
+    return {"head": F.substring(v, 1, MAX_TOP_VALUE_LENGTH),
+            "digest": F.when(F.length(v) > MAX_TOP_VALUE_LENGTH, F.unhex(F.md5(v)))}
+
+
+def _shown(schema: T.StructType, name: str) -> Column:
+    """The text of a grouped value, cut to 100 characters."""
+    kind = schema[name].dataType
+    if isinstance(kind, _WHOLE_TYPES):
+        return F.col("whole").cast("string")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return _decimal(kind).cast("string")
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.col("num").cast("string")
+    if isinstance(kind, T.DateType):
+        return F.date_from_unix_date(F.col("whole").cast("int")).cast("string")
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros("whole").cast("string")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.col("at").cast("string")
+    return F.col("head")
+
+
+def _decimal(kind: T.DecimalType) -> Column:
+    return (F.col("whole").cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-kind.scale))).cast(kind)
+
+
+def _number(schema: T.StructType, name: str) -> Column | None:
+    """The grouped value of a numeric column as double."""
+    kind = schema[name].dataType
+    if isinstance(kind, _WHOLE_TYPES):
+        return F.col("whole").cast("double")
+    if isinstance(kind, T.DecimalType):
+        return (_decimal(kind) if kind.precision <= 18 else F.col("head")).cast("double")
+    return F.col("num") if isinstance(kind, (T.FloatType, T.DoubleType)) else None
+
+
+def _of_column(columns: Sequence[Column | None], kind: str) -> Column:
+    """The expression that belongs to the row's column; columns with the same expression share a test."""
+    chosen: dict[str, tuple[Column, list[int]]] = {}
+    for i, c in enumerate(columns):
+        if c is not None:
+            chosen.setdefault(str(c), (c, []))[1].append(i)
+    out = F.lit(None).cast(kind)
+    for c, at in chosen.values():
+        out = F.when(F.col("c").isin(at), c).otherwise(out)
+    return out
+
+
+def typed_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The frequency table: column position, the value in the columns of its type (none for NULL), count."""
+    names = list(columns or df.columns)
+    cells = []
+    for i, name in enumerate(names):
+        parts = _key_parts(df.schema, name)
+        cells.append(F.struct(F.lit(i).alias("c"), *[
+            (parts[k] if k in parts else F.lit(None)).cast(kind).alias(k) for k, kind in _KEYS.items()]))
+    return df.select(F.inline(F.array(*cells))).groupBy("c", *_KEYS).agg(F.count(F.lit(1)).alias("n"))
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The frequency table: column position, value as text (NULL included), count."""
+    """(c, value, n): column position, value as text cut to 100 characters (NULL included), count."""
     names = list(columns or df.columns)
-    schema = df.schema
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("c"), canonical_of(schema, name).alias("value")) for i, name in enumerate(names)])
-    return df.select(F.inline(cells)).groupBy("c", "value").agg(F.count(F.lit(1)).alias("n"))
+    return typed_counts(df, names).select("c", _of_column([_shown(df.schema, n) for n in names], "string").alias("value"), "n")
 
 
 def _by_position(values: Sequence[object], kind: str) -> Column:
@@ -118,28 +203,30 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, include_top_val
     numeric = [k in NUMERIC_TYPES for k in kinds]
     has_numbers = any(numeric)
 
-    freq = value_counts(df, names).where(F.col("n") > 0)
-    parsed = freq.select("c", "value", "n", F.when(
-        _by_position(numeric, "boolean"), F.col("value").try_cast("double")).alias("num"))
+    freq = typed_counts(df, names).where(F.col("n") > 0)
+    known = reduce(lambda x, y: x | y, [F.col(k).isNotNull() for k in _KEYS])
+    parsed = freq.select(
+        "c", known.alias("known"), "head", "digest", "n", _of_column([_number(df.schema, n) for n in names], "double").alias("num"))
     # NaN sorts above infinity, so one comparison per side leaves only finite numbers.
     finite = (F.col("num") < F.lit(float("inf"))) & (F.col("num") > F.lit(float("-inf")))
-    numbers = parsed.select("c", "value", "n", F.when(finite, F.col("num")).alias("num"))
+    numbers = parsed.select("c", "known", "head", "digest", "n", F.when(finite, F.col("num")).alias("num"))
 
+    # The mode is the first of (count desc, value asc).
     counts = numbers.groupBy("c").agg(
         F.sum("n").alias("total"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("distinct_count"),
+        F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).alias("null_count"),
+        F.count_if("known").alias("distinct_count"),
         F.sum(F.when(F.col("num").isNotNull(), F.col("n"))).alias("num_n"),
         F.sum(F.col("num") * F.col("n")).alias("num_sum"),
-        F.min("num").alias("num_min"), F.max("num").alias("num_max"))
-    # The first of each column in (count desc, value asc): its mode.
-    first = W.partitionBy("c").orderBy(F.desc("n"), F.asc("num"), F.asc("value"))
-    modes = (
-        numbers.select("c", "num", "value", F.when(F.col("value").isNotNull(), F.col("n")).alias("n"))
-        .withColumn("r", F.row_number().over(first)).where(F.col("r") == 1)
-        .select("c", F.col("num").alias("mode_num"), F.col("value").alias("mode_text")))
-
-    out = counts.join(F.broadcast(_text_stats(df, names, kinds)), "c").join(modes, "c")
+        F.min("num").alias("num_min"), F.max("num").alias("num_max"),
+        F.min(F.when(F.col("known"), F.struct((-F.col("n")).alias("less"), "num", "head", F.col("digest").isNotNull().alias("cut"))))
+        .alias("first")).select("*", F.col("first.num").alias("mode_num"), F.col("first.head").alias("mode_text"))
+
+    out = counts.join(F.broadcast(_text_stats(df, names, kinds)), "c")
+    long = [i for i, k in enumerate(kinds) if k in TEXT_TYPES]
+    if long:
+        out = out.join(F.broadcast(_cut_modes(df, names, long, counts)), "c", "left").withColumn(
+            "mode_text", F.coalesce("mode_whole", "mode_text"))
     if has_numbers:
         fences = quartiles(numbers.select("c", "num", "n")).select(
             "c", "q1", "median", "q3",
@@ -156,7 +243,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, include_top_val
     else:
         out = out.select("*", *[F.lit(None).cast("double").alias(x) for x in ("num_m2", "outside", "median")])
     if include_top_values:
-        out = out.join(top_values(freq), "c", "left")
+        shown = freq.select("c", _of_column([_shown(df.schema, n) for n in names], "string").alias("value"), "n")
+        out = out.join(top_values(shown), "c", "left")
     else:
         out = out.withColumn("value_distribution", F.lit(None).cast("array<struct<value:string,count:bigint>>"))
 
@@ -195,6 +283,22 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, include_top_val
         .alias("pattern_summary"))
 
 
+def _cut_modes(df: DataFrame, names: Sequence[str], texts: Sequence[int], counts: DataFrame) -> DataFrame:
+    """(c, mode_whole) of the text columns whose mode is longer than what the frequency table holds.
+
+    Only rows that begin like the mode are looked at again: their texts are counted by digest, and the lowest
+    text of the most frequent ones is the mode.
+    """
+    # One row per text column.
+    begins = F.broadcast(counts.where(F.col("first.cut")).select("c", F.col("first.head").alias("_head")))
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), canonical_of(df.schema, names[i]).alias("v")) for i in texts])
+    again = df.select(F.inline(cells)).where(F.length("v") > MAX_TOP_VALUE_LENGTH).join(
+        begins, ["c"]).where(F.substring("v", 1, MAX_TOP_VALUE_LENGTH) == F.col("_head"))
+    counted = again.groupBy("c", F.md5("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
+    return counted.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("less"), "v")).alias("m")).select(
+        "c", F.col("m.v").alias("mode_whole"))
+
+
 def _text_stats(df: DataFrame, names: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     """Extremes, lengths and blanks per column: one ungrouped aggregate, one row per column."""
     measured: list[Column] = []
@@ -244,12 +348,64 @@ def dataset_duplicate_percentage(df: DataFrame) -> DataFrame:
         text.percent(F.col("row_count") - F.col("distinct_rows"), F.col("row_count")).alias("duplicate_percentage"))
 
 
+COMPLETED, FAILED = "COMPLETED", "FAILED"
+
+
+def profile_each(df: DataFrame, columns: Sequence[str] | None = None, include_top_values: bool = True,
+                 exact: bool = True) -> DataFrame:
+    """:func:`profile` with ``status`` and ``error``: a column that cannot be evaluated is one FAILED row.
+
+    The columns are profiled together, and the result is written to the checkpoint folder at once, because a bad
+    column shows only when it is evaluated. Where that fails, each half of the columns is read once by itself
+    (no shuffle), and so on: k bad ones among n cost about 2 k log2(n) scans. The good ones are then profiled together.
+    """
+    names = list(columns or df.columns)
+    errors: dict[str, str] = {}
+
+    def probe(part: list[str]) -> None:
+        try:
+            df.agg(F.bit_xor(F.xxhash64(*[canonical_of(df.schema, n) for n in part]))).collect()
+        except (PySparkException, Py4JError) as error:
+            if len(part) == 1:
+                errors[part[0]] = str(error).splitlines()[0]
+            else:
+                probe(part[:len(part) // 2])
+                probe(part[len(part) // 2:])
+
+    try:
+        done = written(profile(df, names, include_top_values, exact))
+    except (PySparkException, Py4JError):
+        probe(names)
+        good = [n for n in names if n not in errors]
+        if not errors:
+            raise
+        done = written(profile(df.select(*[F.col(f"`{n}`") for n in good]), good, include_top_values, exact).withColumn(
+            "ordinal", F.get(F.array(*[F.lit(names.index(n)) for n in good]), F.col("ordinal")))) if good else None
+    failed = df.sparkSession.createDataFrame(
+        [(names.index(n), n, normalized_type(df.schema[n].dataType), FAILED, e) for n, e in errors.items()],
+        "ordinal int, column_name string, normalized_data_type string, status string, error string")
+    if done is None:
+        return failed
+    return done.withColumns({"status": F.lit(COMPLETED), "error": F.lit(None).cast("string")}).unionByName(
+        failed, allowMissingColumns=True)
+
+
 def profile_run_summary(profiles: DataFrame, row_count_estimate: int | None, is_full_scan: bool) -> DataFrame:
-    """Size of a profile run: the exact count after a full scan, the estimate after a sample."""
-    sampled = profiles.agg(F.max("row_count").alias("sample_size"), F.count(F.lit(1)).alias("columns_profiled"))
+    """Size of a profile run: the exact count after a full scan, the estimate after a sample.
+
+    Profiles with a ``status`` (:func:`profile_each`) give the failed columns and a message about them as well.
+    """
+    tells = "status" in profiles.columns
+    good = F.col("status") == COMPLETED if tells else F.lit(True)
+    sampled = profiles.agg(F.max("row_count").alias("sample_size"), F.count_if(good).alias("columns_profiled"),
+                           F.count_if(~good).alias("columns_failed"))
     rows = F.col("sample_size") if is_full_scan else F.lit(row_count_estimate).cast("bigint")
-    return sampled.select("sample_size", rows.alias("row_count"), "columns_profiled",
-                          F.lit(is_full_scan).alias("is_full_scan"))
+    failed = F.col("columns_failed")
+    message = F.when(failed > 0, F.concat(
+        F.col("columns_profiled").cast("string"), F.lit("/"), (F.col("columns_profiled") + failed).cast("string"),
+        F.lit(" columns profiled, "), failed.cast("string"), F.lit(" failed")))
+    return sampled.select("sample_size", rows.alias("row_count"), "columns_profiled", F.lit(is_full_scan).alias("is_full_scan"),
+                          *([failed, message.alias("error_message")] if tells else []))
 
 
 def steward_summary(profiles: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from plumbrule.operators import detect
 from plumbrule.operators.evidence.roles import applicable_strategies, column_roles
 from plumbrule.operators.keys import combo_evidence
 from plumbrule.operators.profile import (
-    dataset_duplicate_percentage, profile, profile_run_summary, steward_summary, top_values, value_counts,
+    dataset_duplicate_percentage, profile, profile_each, profile_run_summary, steward_summary, top_values, value_counts,
 )
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import FAULTY_ORDERS, faulty_orders, table
@@ -70,9 +70,9 @@ def _profile_sql(source: str, columns: tuple[tuple[str, str], ...], prefix: str
     return prefix + " UNION ALL ".join(_column_sql(source, n, k) for n, k in columns)
 
 
-def _flat(profiles: DataFrame) -> DataFrame:
+def _flat(profiles: DataFrame, *more: str) -> DataFrame:
     return profiles.select(
-        "column_name", "normalized_data_type", "row_count", "null_count", "null_percentage", "distinct_count",
+        *more, "column_name", "normalized_data_type", "row_count", "null_count", "null_percentage", "distinct_count",
         "distinct_percentage", "duplicate_count", "duplicate_percentage", "min_value", "max_value", "mean_value",
         "median_value", "mode_value", F.col("min_length").cast("bigint").alias("min_length"),
         F.col("max_length").cast("bigint").alias("max_length"), "avg_length", "outlier_count", "stddev_value",
@@ -143,6 +143,31 @@ def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_run_summary(profile(table(spark, sf_dir, "orders"), include_top_values=False), None, True)
 
 
+def _unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with two columns whose declared type does not fit their values."""
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_returnflag").cast("int").alias("flag"), "l_quantity", "l_linestatus",
+        F.raise_error(F.col("l_shipdate").cast("string")).cast("int").alias("broken"), "l_tax")
+
+
+_READABLE = (("l_orderkey", "INTEGER"), ("l_quantity", "DECIMAL"), ("l_linestatus", "STRING"), ("l_tax", "DECIMAL"))
+
+
+@registry.add("profile_failing_columns", "SELECT *, 'COMPLETED' AS status FROM (" + _profile_sql("lineitem", _READABLE) + """)
+UNION ALL BY NAME SELECT unnest(['flag', 'broken']) AS column_name, 'INTEGER' AS normalized_data_type, 'FAILED' AS status""")
+def profile_failing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that cannot be read fail by themselves."""
+    rows = profile_each(_unreadable(spark, sf_dir), include_top_values=False)
+    return _flat(rows, "status")
+
+
+@registry.add("profile_failing_summary", """
+SELECT count(*) AS sample_size, count(*) AS row_count, CAST(4 AS BIGINT) AS columns_profiled, true AS is_full_scan,
+  CAST(2 AS BIGINT) AS columns_failed, '4/6 columns profiled, 2 failed' AS error_message FROM lineitem""")
+def profile_failing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_run_summary(profile_each(_unreadable(spark, sf_dir), include_top_values=False), None, True)
+
+
 @registry.add("steward_summary", "SELECT column_name, normalized_data_type, null_percentage, distinct_percentage, "
               "duplicate_percentage, min_length, max_length FROM (" + _profile_sql("customer", COLUMNS["customer"]) + ")")
 def steward_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plumbrule.operators import detect
 from plumbrule.operators.evidence.roles import column_roles
 from plumbrule.operators.keys import confirm_key, discover_keys
-from plumbrule.operators.profile import dataset_duplicate_percentage, profile, quartiles, value_counts
+from plumbrule.operators.profile import dataset_duplicate_percentage, profile, profile_each, profile_run_summary, quartiles, value_counts
 from plumbrule.spec import KeySpec, SpecError
 
 
@@ -72,6 +72,47 @@ def test_decimal_and_boolean_columns(spark):
     assert rows["d"]["sum_value"] == 30.5 and rows["b"]["mode_value"] is None and rows["b"]["distinct_count"] == 2
 
 
+def test_mode_of_long_texts(spark):
+    """Texts that share their first 100 characters are one top value and several modes' candidates."""
+    begin = "p" * 100
+    rows = [begin + "b"] * 3 + [begin + "a"] * 3 + [begin] * 2 + ["z"] * 2 + [begin + "c"] * 2 + [None]
+    p = only(spark.createDataFrame([(v,) for v in rows], "v string"))
+    assert (p["mode_value"], p["distinct_count"], p["duplicate_count"]) == (begin + "a", 5, 7)
+    assert p["value_distribution"] == [{"value": begin, "count": 10}, {"value": "z", "count": 2}]
+    assert only(spark.createDataFrame([(begin,)] * 2 + [(begin + "a",)] * 2, "v string"))["mode_value"] == begin
+
+
+def test_values_keep_their_type(spark):
+    df = spark.sql("""SELECT * FROM VALUES
+      (9007199254740993L, CAST(1.10 AS DECIMAL(12, 2)), CAST(123456789012345678901.5 AS DECIMAL(30, 1)), CAST(0.1 AS FLOAT),
+       TIMESTAMP_NTZ'2024-03-31 02:30:00', TIMESTAMP'2024-03-31 02:30:00', true, X'6162', array(1, NULL)),
+      (9007199254740992L, CAST(1.10 AS DECIMAL(12, 2)), CAST(123456789012345678902.5 AS DECIMAL(30, 1)), CAST(0.1 AS FLOAT),
+       TIMESTAMP_NTZ'2024-03-31 03:30:00', NULL, NULL, X'6162', array(1, NULL)) AS t(i, d, big, f, ntz, ts, b, raw, list)""")
+    rows = {r["column_name"]: r for r in profile(df).collect()}
+    assert {n: r["distinct_count"] for n, r in rows.items()} == {
+        "i": 2, "d": 1, "big": 2, "f": 1, "ntz": 2, "ts": 1, "b": 1, "raw": 1, "list": 1}
+    shown = {n: [(v["value"], v["count"]) for v in r["value_distribution"]] for n, r in rows.items()}
+    assert shown == {
+        "i": [("9007199254740992", 1), ("9007199254740993", 1)], "d": [("1.10", 2)], "f": [("0.1", 2)],
+        "big": [("123456789012345678901.5", 1), ("123456789012345678902.5", 1)],
+        "ntz": [("2024-03-31 02:30:00", 1), ("2024-03-31 03:30:00", 1)], "ts": [("2024-03-31 02:30:00", 1)],
+        "b": [("true", 1)], "raw": [("ab", 2)], "list": [("[1,null]", 2)]}
+    assert rows["d"]["mode_value"] == "1.1" and rows["f"]["max_value"] == "0.1" and rows["d"]["sum_value"] == 2.2
+
+
+def test_a_failing_column_fails_alone(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "7"), (None, "b")], "x int, y string").select(
+        "x", F.col("y").cast("int").alias("bad"), "y", F.expr("x / (x - 1)").alias("worse"))
+    rows = {r["column_name"]: r for r in profile_each(df).collect()}
+    assert {n: (r["ordinal"], r["status"]) for n, r in rows.items()} == {
+        "x": (0, "COMPLETED"), "bad": (1, "FAILED"), "y": (2, "COMPLETED"), "worse": (3, "FAILED")}
+    assert "CAST_INVALID_INPUT" in rows["bad"]["error"] and rows["bad"]["row_count"] is None and rows["y"]["distinct_count"] == 3
+    summary = profile_run_summary(profile_each(df), 99, False).first()
+    assert (summary["row_count"], summary["columns_failed"], summary["error_message"]) == (99, 2, "2/4 columns profiled, 2 failed")
+    assert [r["status"] for r in profile_each(df.select("bad")).collect()] == ["FAILED"]
+    assert {r["status"] for r in profile_each(df.select("x", "y")).collect()} == {"COMPLETED"}
+
+
 def test_dataset_duplicates(spark):
     rows = [(10, "Alice", "x"), (10, "Alice", "x"), (20, "Bob", None), (20, "Bob", None), (30, "Carol", "")]
     df = spark.createDataFrame(rows, "a int, b string, c string")
