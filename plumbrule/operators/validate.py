@@ -1,10 +1,10 @@
 """Evaluate rules over a whole table.
 
 Plan shape: one scan with every row-local rule in a single projection, which
-is cut down to (record_ref, hash, failures) before anything shuffles. Each
-group rule then costs one narrow key count and one narrow salted join
-(:mod:`plumbrule.functions.grouping`). Thresholds above 0 need exact column
-statistics first; those are one aggregate, and rules that pass are left out of
+is cut down to (record_ref, hash, failures) before anything shuffles. All group
+rules share one narrow count of keys and one way to find the rows that hold
+repeated ones (:mod:`plumbrule.functions.repeats`). Thresholds above 0 are settled
+by those counts and one aggregate of NULLs; rules that pass are left out of
 the plan altogether.
 """
 
@@ -17,7 +17,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbrule.functions import text
-from plumbrule.functions.grouping import with_group_size
+from plumbrule.functions.repeats import key_counts, key_hashes, mark_repeated, repeated_keys
 from plumbrule.operators import rules as R
 from plumbrule.spec import (
     FAILING_SEVERITIES, KeySpec, RuleSpec, SpecError, check_rules,
@@ -35,43 +35,41 @@ def needs_full_scan(rules: Sequence[RuleSpec]) -> bool:
 
 
 def column_stats(df: DataFrame, nulls: Sequence[str], repeats: Sequence[str]) -> dict[str, dict[str, int]]:
-    """Exact total, NULL and distinct counts of a few columns, in one aggregate each.
+    """Exact total, NULL and distinct counts of a few columns.
 
-    NULL counts share one scan; each distinct count groups on the column (or
-    its digest), so a frequent value is combined before the shuffle.
+    NULL counts share one scan, and all distinct counts one count of keys, in which a frequent
+    value is combined before the shuffle.
     """
-    schema = df.schema
     out: dict[str, dict[str, int]] = {}
     if nulls:
         row = df.agg(F.count(F.lit(1)).alias("total"),
                      *[F.count(c).alias(f"n_{i}") for i, c in enumerate(nulls)]).first()
         for i, c in enumerate(nulls):
             out[c] = {"total": row["total"], "nulls": row["total"] - row[f"n_{i}"]}
-    for c in repeats:
-        sizes = df.groupBy(text.key_digest(schema, [c]).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        row = sizes.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-            F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-            F.count("k").alias("distinct")).first()
-        out.setdefault(c, {}).update(total=row["total"], nulls=row["nulls"], distinct=row["distinct"])
+    if repeats:
+        counted = key_counts(df, {i: (c,) for i, c in enumerate(repeats)}).groupBy("o").agg(
+            F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("k1").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+            F.count("k1").alias("distinct"))
+        rows = {r["o"]: r for r in counted.collect()}
+        for i, c in enumerate(repeats):
+            out.setdefault(c, {}).update({k: rows[i][k] if i in rows else 0 for k in ("total", "nulls", "distinct")})
     return out
 
 
-def _gated_out(df: DataFrame, rules: Sequence[RuleSpec]) -> set[str]:
+def _tolerated(df: DataFrame, rules: Sequence[RuleSpec], repeated: DataFrame | None) -> set[str]:
     """Assignments that pass as a whole. A threshold of 0 needs no statistics."""
-    tolerant = [r for r in rules if r.rule_type in ("COMPLETENESS", "UNIQUENESS") and R.threshold_of(r) > 0]
+    tolerant = [(i, r) for i, r in enumerate(rules) if r.rule_type in ("COMPLETENESS", "UNIQUENESS") and R.threshold_of(r) > 0]
     if not tolerant:
         return set()
-    nulls = sorted({r.column for r in tolerant if r.rule_type == "COMPLETENESS"})
-    repeats = sorted({r.column for r in tolerant if r.rule_type == "UNIQUENESS"})
-    stats = column_stats(df, nulls, repeats)
+    row = df.agg(F.count(F.lit(1)).alias("total"), *[F.count(r.column).alias(f"n{i}") for i, r in tolerant]).first()
+    again: dict[int, int] = {}
+    if repeated is not None:
+        # One row per rule: how many rows repeat a value that an earlier one holds.
+        again = {r["o"]: r["again"] for r in repeated.groupBy("o").agg(F.sum(F.col("n") - 1).alias("again")).collect()}
     passed = set()
-    for r in tolerant:
-        s = stats[r.column]
-        if not s["total"]:
-            continue
-        bad = s["nulls"] if r.rule_type == "COMPLETENESS" else max(0, s["total"] - s["nulls"] - s["distinct"])
-        if 100.0 * bad / s["total"] <= R.threshold_of(r):
+    for i, r in tolerant:
+        bad = row["total"] - row[f"n{i}"] if r.rule_type == "COMPLETENESS" else again.get(i, 0)
+        if row["total"] and 100.0 * bad / row["total"] <= R.threshold_of(r):
             passed.add(r.assignment_id)
     return passed
 
@@ -191,11 +189,12 @@ def validate(
     key: KeySpec,
     run_id: str = "run",
     row_index: str | None = None,
+    is_full_scan: bool = True,
 ) -> Validation:
     """Evaluate every enabled rule over the whole of ``df``.
 
-    Rows of a hot group are spread by their content, so rows may arrive in
-    any order when a task runs again.
+    Keys that several rows share are found at once, before the result is lazily evaluated. ``is_full_scan``
+    says whether ``df`` is the whole table; a sample is refused when a rule needs every row.
 
     Without a key, ``row_index`` names a column with the row's position (see
     :func:`plumbrule.sources.tables.with_row_index`); it is not part of the
@@ -206,14 +205,18 @@ def validate(
     schema = source.schema
     if not key.is_reliable and row_index is None:
         raise SpecError("a dataset without a key needs row_index")
-    passed = _gated_out(source, checked)
+    if not is_full_scan and needs_full_scan(checked):
+        raise SpecError("a rule that compares rows or counts them needs the whole table, not a sample")
+    groups = {i: R.group_rule(schema, r) for i, r in enumerate(checked) if R.is_group_rule(r.rule_type)}
+    repeated = repeated_keys(source, {i: g.columns for i, g in groups.items()}) if groups else None
+    passed = _tolerated(source, checked, repeated)
 
     described, local, grouped = [], [], []
     for ordinal, rule in enumerate(checked):
         supported = R.is_supported(rule.rule_type)
         built = None
         if supported and R.is_group_rule(rule.rule_type):
-            built = R.group_rule(schema, rule)
+            built = groups[ordinal]
             if rule.assignment_id not in passed:
                 grouped.append((ordinal, built))
         elif supported:
@@ -231,24 +234,18 @@ def validate(
 
     found = F.array(*[F.when(b.fails, failure(o, b.failed_value)) for o, b in local]) if local \
         else F.array().cast(f"array<{_FAILURE}>")
-    narrow = df.select(
+    hashes = {o: key_hashes(schema, b.columns) for o, b in grouped}
+    rows = df.select(
         ref.alias("record_ref"),
         (F.col(row_index) if row_index else F.lit(None)).cast("bigint").alias("row_index"),
         text.row_hash(schema).alias("source_row_hash"),
         F.filter(found, lambda f: f.isNotNull()).cast(f"array<{_FAILURE}>").alias("failures"),
-        *[text.key_digest(schema, b.columns).alias(f"_k{o}") for o, b in grouped],
+        *[h.alias(f"_{x}{o}") for o, pair in hashes.items() for x, h in zip("ab", pair, strict=True)],
         *[b.failed_value.alias(f"_v{o}") for o, b in grouped])
     if grouped:
-        # From the row's content, so that a task that runs again deals the rows alike.
-        narrow = narrow.withColumn("_position", F.xxhash64("record_ref", "row_index", "source_row_hash"))
-    rows = narrow
-    for ordinal, built in grouped:
-        rows = with_group_size(rows, f"_k{ordinal}", "_size", "_position", counted_from=narrow)
-        extra = F.array(failure(ordinal, F.col(f"_v{ordinal}"))).cast(f"array<{_FAILURE}>")
-        rows = rows.withColumn(
-            "failures", F.when(F.col("_size") > 1, F.concat("failures", extra)).otherwise(F.col("failures"))
-        ).drop("_size", f"_v{ordinal}")
-    rows = rows.drop("_position")
-    if grouped:
-        rows = rows.withColumn("failures", F.array_sort("failures"))
+        rows = mark_repeated(rows, repeated, [o for o, _ in grouped], ["record_ref", "row_index", "source_row_hash"])
+        extra = F.array_compact(F.array(*[
+            F.when(F.array_contains("_repeats", o), failure(o, F.col(f"_v{o}"))) for o, _ in grouped])).cast(f"array<{_FAILURE}>")
+        rows = rows.withColumn("failures", F.array_sort(F.concat("failures", extra))).drop(
+            "_repeats", *[f"_v{o}" for o, _ in grouped])
     return Validation(run_id, tuple(checked), rows, tuple(described))

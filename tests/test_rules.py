@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbrule import KeySpec, RuleSpec
-from plumbrule.functions import text
+from plumbrule.functions import repeats, text
 from plumbrule.operators.stage import revalidate
 from plumbrule.operators.validate import validate
 from plumbrule.sources.tables import with_row_index
@@ -150,3 +150,39 @@ def test_revalidation(spark):
     assert found[("1", "c")] == "REVALIDATED_FAIL" and found[("2", "c")] == "REVALIDATED_PASS"
     assert found[("2", "r")] == "REVALIDATED_FAIL" and found[("1", "r")] == "REVALIDATED_PASS"
     assert found[("1", "u")] == "REQUIRES_DATASET_REVALIDATION"
+
+
+@pytest.mark.parametrize("limit", [0, 3, 250_000])
+def test_group_rules_share_one_count(spark, monkeypatch, limit):
+    """Few repeated keys are broadcast, many are found by one exchange: the same failures."""
+    monkeypatch.setattr(repeats, "BROADCAST_KEYS", limit)
+    monkeypatch.setattr(repeats, "HOT_KEYS", 2)
+    rows = [(i, i % 7 if i % 5 else None, f"t{i // 3}", float(i % 2)) for i in range(60)] + [(59, 3, "t19", 1.0)] * 40 + [(900, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "id int, a int, b string, c double").repartition(4)
+    rules = [RuleSpec("a", "UNIQUENESS", ("a",)), RuleSpec("b", "UNIQUENESS", ("b",)), RuleSpec("row", "DUPLICATE"),
+             RuleSpec("id", "UNIQUENESS", ("id",), {"max_duplicate_percentage": 60}), RuleSpec("id2", "UNIQUENESS", ("id",), {"max_duplicate_percentage": 1})]
+    run = validate(df, rules, KeySpec(("id",)))
+    got = [(r["record_ref"], r["assignment_id"], r["failed_value"]) for r in run.failures().collect()]
+    want = []
+    for r in rows:
+        for name, key, shown in (("a", r[1], r[1]), ("b", r[2], r[2]), ("row", r, None), ("id2", r[0], r[0])):
+            at = {"a": 1, "b": 2, "id2": 0}.get(name)
+            same = sum((x if at is None else x[at]) == key for x in rows)
+            if key is not None and same > 1:
+                want.append((str(r[0]), name, None if shown is None else str(shown)))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_hashes_tell_nulls_apart(spark):
+    df = spark.createDataFrame([(None, 1), (1, None), (1, 1), (None, None), (1, 1)], "a int, b int")
+    run = validate(df.withColumn("id", F.monotonically_increasing_id()), [RuleSpec("r", "DUPLICATE")], KeySpec(("id",)))
+    assert run.failures().count() == 0
+    assert {r["n"] for r in repeats.repeated_keys(df, {0: ("a", "b")}).collect()} == {2}
+    assert repeats.repeated_keys(df, {0: ("a", "b"), 1: ("b",)}).count() == 2
+
+
+def test_a_sample_is_refused_where_rows_are_compared(spark):
+    df = spark.createDataFrame([(1,), (1,)], "id int")
+    with pytest.raises(SpecError):
+        validate(df, [RuleSpec("r", "UNIQUENESS", ("id",))], KeySpec(("id",)), is_full_scan=False)
+    assert validate(df, [RuleSpec("r", "RANGE", ("id",), {"min": 5})], KeySpec(("id",)), is_full_scan=False).failures().count() == 2
