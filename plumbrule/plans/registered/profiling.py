@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbrule.operators import detect
 from plumbrule.operators.evidence.roles import applicable_strategies, column_roles
-from plumbrule.operators.keys import combo_evidence
+from plumbrule.operators.keys import combo_evidence, confirm_key, discover_keys, evidence_table
 from plumbrule.operators.profile import (
     dataset_duplicate_percentage, profile, profile_each, profile_run_summary, steward_summary, top_values, value_counts,
 )
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import FAULTY_ORDERS, faulty_orders, table
+from plumbrule.spec import KeySpec, SpecError
 
 registry = Registry()
 
@@ -203,10 +206,77 @@ def key_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey",
         F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("flag"))
     return combo_evidence(keyed, _KEY_COMBOS).select(
-        "key_columns", F.col("width").cast("bigint").alias("width"), "total_rows_evaluated", "null_key_rows",
+        F.array_join("key_columns", ",").alias("key_columns"), F.col("width").cast("bigint").alias("width"), "total_rows_evaluated", "null_key_rows",
         "distinct_key_count", "duplicate_key_groups", "reason", "verification_level")
 
 
+# Order lines with values derived from them: only three columns together tell all rows apart.
+_WIDE = {
+    "l_orderkey": "l_orderkey", "l_partkey": "l_partkey", "l_suppkey": "l_suppkey", "l_linenumber": "l_linenumber",
+    "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_shipdate": "l_shipdate",
+    "half": "CASE WHEN l_orderkey > 5 THEN l_partkey END", "flags": "l_returnflag || ',' || l_linestatus",
+    "quantity": "CAST(l_quantity AS BIGINT)", "price": "l_extendedprice", "mode": "l_suppkey % 7"}
+_WIDE_KEYS = [c for c in _WIDE if c != "price"]
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{sql} AS `{name}`" for name, sql in _WIDE.items()])
+
+
+def _discovery_sql(names: list[str]) -> str:
+    looked = " UNION ALL ".join(
+        f"SELECT {w} AS w, '{'+'.join(c)}' AS k, count(*) = count(DISTINCT ({', '.join(c)},)) AND "
+        + " AND ".join(f"count({x}) = count(*)" for x in c) + " AS hit FROM wide" for w in (1, 2, 3) for c in combinations(names, w))
+    return "WITH wide AS (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in _WIDE.items()) + f""" FROM lineitem),
+looked AS ({looked}), first AS (SELECT min(w) AS w FROM looked WHERE hit)
+SELECT CASE count(*) WHEN 0 THEN 'NO_CANDIDATE' WHEN 1 THEN 'VERIFIED_UNIQUE' ELSE 'AMBIGUOUS' END AS status,
+  CASE count(*) WHEN 1 THEN min(k) END AS recommended, count(*) AS candidates, (SELECT coalesce(w, 3) FROM first) AS widest,
+  (SELECT count(*) FROM lineitem) AS total_rows, 'price' AS rejected
+FROM looked JOIN first USING (w) WHERE hit"""
+
+
+@registry.add("discovered_keys", _discovery_sql(_WIDE_KEYS))
+def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on twelve columns up to width 3."""
+    found = discover_keys(_wide(spark, sf_dir))
+    return spark.createDataFrame(
+        [(found.status, "+".join(found.recommended) if found.recommended else None, len(found.candidates), max(found.widths_searched),
+          found.total_rows, ",".join(found.rejected_columns))],
+        "status string, recommended string, candidates bigint, widest int, total_rows bigint, rejected string")
+
+
+@registry.add("key_candidates", """
+SELECT 'conv_id+turn' AS key_columns, count(*) AS rows, count(DISTINCT (conv_id, turn)) AS keys, 'EXACT' AS counted,
+  CASE WHEN count(*) = count(DISTINCT (conv_id, turn)) THEN 'CANDIDATE' ELSE 'REJECTED' END AS status FROM conversations""")
+def key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was counted exactly of the turns of conversations: texts are free text there and take no part."""
+    turns = table(spark, sf_dir, "conversations")
+    declared = turns.withMetadata("text", {"normalized_type": "TEXT"})
+    found = evidence_table(spark, discover_keys(declared))
+    return found.where("counted = 'EXACT'").select(
+        F.array_join("key_columns", "+").alias("key_columns"), F.col("total_rows_evaluated").alias("rows"),
+        F.col("distinct_key_count").alias("keys"), "counted", "status")
+
+
+@registry.add("confirmed_key", """
+SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderkey+o_custkey', 'o_orderkey (declared)']) AS asked,
+  unnest([(SELECT count(*) = count(DISTINCT o_orderkey) FROM orders), false, false, false]) AS confirmed""")
+def confirmed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key is adopted while it is the verified one, and never in place of a declared one."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    asked = [(("o_orderkey",), KeySpec()), (("o_custkey",), KeySpec()), (("o_orderkey", "o_custkey"), KeySpec()),
+             (("o_orderkey",), KeySpec(("o_orderkey",)))]
+
+    def adopted(columns: tuple[str, ...], declared: KeySpec) -> bool:
+        try:
+            return confirm_key(orders, columns, declared) == KeySpec(columns)
+        except SpecError:
+            return False
+
+    return spark.createDataFrame(
+        [("+".join(c) + (" (declared)" if d.is_reliable else ""), adopted(c, d)) for c, d in asked], "asked string, confirmed boolean")
+
+
 # Contact table derived from customers: names of the columns decide, or the values do.
 CONTACTS = """
 contacts AS (

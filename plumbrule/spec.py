@@ -43,6 +43,18 @@ def normalized_type(data_type: T.DataType) -> str:
     return STRING
 
 
+#: Metadata of a column whose source type is narrower than its Spark type.
+NORMALIZED = "normalized_type"
+
+
+def normalized_of(column: T.StructField) -> str:
+    """The normalized type a source declared for a column, else that of its Spark type.
+
+    Spark has one string type; unbounded text is told from short strings by what the source's catalog says.
+    """
+    return (column.metadata or {}).get(NORMALIZED) or normalized_type(column.dataType)
+
+
 def staging_type(data_type: T.DataType) -> T.DataType:
     """Column type of a materialized staging table."""
     kind = normalized_type(data_type)

@@ -139,6 +139,42 @@ def test_key_discovery_verdicts(spark):
     assert typed.reason == "no_eligible_columns" and typed.rejected_columns == ("v",)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_key_lattice_against_every_combination(spark, seed):
+    """30 columns: the pruned lattice gives the verdict that counting every combination gives."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(seed)
+    n, wide = 400, [rng.choice([2, 3, 5, 20, 60]) for _ in range(29)]
+    rows = [tuple(rng.randrange(w) if rng.random() > 0.001 * (k == 4) else None for k, w in enumerate(wide)) + (f"s{i % 399}",)
+            for i in range(n)]
+    names = [f"c,{k}" for k in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'string' if c == 'c,29' else 'int'}" for c in names))
+    found = discover_keys(df)
+
+    def unique(at):
+        keys = [tuple(r[k] for k in at) for r in rows]
+        return len(set(keys)) == n and all(None not in k for k in keys)
+
+    for width in (1, 2, 3):
+        hits = sorted(tuple(names[k] for k in at) for at in combinations(range(30), width) if unique(at))
+        if hits:
+            break
+    assert found.candidates == tuple(hits) and found.widths_searched == tuple(range(1, width + 1))
+    exact = [r for r in found.evaluated if r["counted"] == "EXACT"]
+    assert all(r["distinct_key_count"] <= n and (r["status"] == "CANDIDATE") == (tuple(r["key_columns"]) in hits) for r in exact)
+    narrow = df.select(*[f"`{c}`" for c in names[20:]])
+    assert discover_keys(narrow, decisive_only=False).candidates == discover_keys(narrow).candidates
+
+
+def test_free_text_takes_no_part_in_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "x int, y string")
+    assert discover_keys(df).recommended == ("y",)
+    said = df.withMetadata("y", {"normalized_type": "TEXT"})
+    assert discover_keys(said).status == "NO_CANDIDATE" and discover_keys(said).rejected_columns == ("y",)
+
+
 def test_key_confirmation(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c")], "order_no int, name string")
     assert confirm_key(df, ["order_no"]) == KeySpec(("order_no",))
