@@ -1,13 +1,17 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree. What is never the article is cut out: scripts, styles,
-navigation, page headers and footers, asides, forms, hidden elements, and elements
-whose class, id or role names them as menu, advert, notice, sidebar or reader
-comments. Each paragraph then gives points for its length and its commas to its
-ancestors, fewer with each step up; a container's points are discounted by the
-share of its text that is link text. The best container is kept, or the article
-that it stands in, with those of its siblings that score well or are plain text
-blocks. Inside what is kept only link lists are left out.
+A page becomes a tree. What is never the article is cut out: scripts, styles, navigation, page headers and
+footers, asides, forms, and hidden elements. Elements whose class, id or role names them as menu, advert,
+notice, sidebar or reader comments are passed over. Each paragraph that is left gives points for its length and its
+commas to its ancestors, fewer with each step up; a container's points are discounted by the share of its text that
+is link text. The best container grows to the article or main element that it stands in, else to its
+parents as long as what they hold besides is text with few links; siblings that are plain text blocks or score well, and
+bare text between them, are kept with it.
+
+Inside what is kept, names count for less, since articles have section headers, discussions and notices of their
+own: a paragraph or heading goes only if its whole class names an advert, a menu or the like; a container goes if a
+word of its name says so, and with a weaker word (header, notice, discussion, ...) only if its text is mostly links or
+it holds form fields. A list of links goes only where nothing of the article stands before it.
 
 Blocks come in page order, one per line; a line break element is white space.
 
@@ -45,12 +49,20 @@ SAME = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre blockquote td dd li".split())
-UNLIKELY = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar "
-    "navigation menu submenu breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar sidebar side aside "
-    "rail cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall social "
-    "share sharing related recommended recommendations widget comment comments disqus replies respond discussion disclaimer "
+#: Words of names that say what an element is wherever it stands.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion nav navbar "
+    "navigation menu submenu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar sidebar cookie "
+    "cookies consent gdpr popup modal overlay newsletter paywall social share sharing related recommended "
+    "recommendations comment comments disqus".split())
+#: Words that articles use of their own parts as well.
+WEAK = frozenset(
+    "banner header side aside rail notice notices alert subscribe signup login widget replies respond discussion disclaimer "
     "contentinfo complementary search dialog hidden".split())
+UNLIKELY = STRONG | WEAK
+#: Elements of an article that hold text, not parts of a page.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption caption".split())
+FIELDS = frozenset("form input button select textarea".split())
 LIKELY = frozenset("article body content main entry post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 
@@ -61,13 +73,15 @@ SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "text", "linked", "points")
+    __slots__ = ("tag", "attrs", "children", "parent", "text", "linked", "points", "passed")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.text = self.linked = 0
         self.points = 0.0
+        #: Passed over when the container is looked for.
+        self.passed = False
 
 
 class _Tree(HTMLParser):
@@ -140,18 +154,20 @@ def _measure(root: Node) -> None:
             node.linked = node.text
 
 
-def _is_cut(node: Node, page_text: int) -> bool:
-    tag, attrs = node.tag, node.attrs
-    if tag in CUT or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+def _is_cut(node: Node) -> bool:
+    attrs = node.attrs
+    if node.tag in CUT or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.IGNORECASE):
         return True
-    if tag in _NEVER_CUT:
-        # A comment may be marked up as an article of its own.
-        return tag == "article" and bool(_tokens(node) & {"comment", "comments", "reply", "replies"})
-    if (attrs.get("role") or "").lower() in ROLES:
-        return True
+    return node.tag not in _NEVER_CUT and (attrs.get("role") or "").lower() in ROLES
+
+
+def _is_passed(node: Node, page_text: int) -> bool:
     tokens = _tokens(node)
+    if node.tag in _NEVER_CUT:
+        # A comment may be marked up as an article of its own.
+        return node.tag == "article" and bool(tokens & {"comment", "comments", "reply", "replies"})
     return bool(tokens & UNLIKELY) and not (tokens & LIKELY and 2 * node.text > page_text)
 
 
@@ -166,15 +182,38 @@ def _prune(root: Node) -> None:
                 if c.tag == "header":
                     # The header of an article holds its heading; other headers go.
                     c.children = [x for x in _post_order(c)[::-1] if x.tag in HEADINGS] if inside else []
-                elif _is_cut(c, root.text):
+                elif _is_cut(c):
                     # What stood on either side of it stays apart.
                     kept.append(" ")
+                    # Of a form, that it is there still tells what its container is.
+                    kept += [Node(c.tag, {"hidden": None}, node)] if c.tag in FIELDS else []
                     continue
+                c.passed = node.passed or _is_passed(c, root.text)
                 stack.append((c, inside))
             kept.append(c)
         node.children = kept
 
 
+def _is_part(node: Node, holder: Node) -> bool:
+    """Whether an element inside the article belongs to it."""
+    if "hidden" in node.attrs:
+        return False
+    if not node.passed:
+        return True
+    names = f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}".lower().split()
+    if node.tag in TEXTS or node.tag in INLINE:
+        return not STRONG.intersection(names)
+    tokens = _tokens(node)
+    if node.tag == "article" and tokens & {"comment", "comments", "reply", "replies"}:
+        return False
+    if tokens & STRONG:
+        # A wrapper that holds the article is named after something else it does.
+        return 2 * node.text > holder.text and not STRONG.intersection(names)
+    if tokens & WEAK:
+        return 2 * node.linked < max(node.text, 1) and not any(x.tag in FIELDS for x in _post_order(node))
+    return True
+
+
 def _has_blocks(node: Node) -> bool:
     return any(isinstance(c, Node) and c.tag not in INLINE for c in node.children)
 
@@ -192,7 +231,8 @@ def _text(node: Node) -> str:
 
 def _score(root: Node) -> None:
     for node in _post_order(root):
-        if node.text and (node.tag in PARAGRAPHS or node.tag in ("div", "section", "article")) and not _has_blocks(node):
+        if node.text and not node.passed and (
+                node.tag in PARAGRAPHS or node.tag in ("div", "section", "article")) and not _has_blocks(node):
             text = _text(node)
             points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - node.linked / node.text)
             step, up = 1, node.parent if node.tag in PARAGRAPHS else node
@@ -215,7 +255,7 @@ def _link_list(node: Node) -> bool:
         sum(x.tag == "a" for x in _post_order(node)) >= 3)
 
 
-def _blocks(roots: list[Node]) -> list[str]:
+def _blocks(roots: list[Node | str], holder: Node) -> list[str]:
     """Text between block borders, white space made single."""
     out: list[str] = []
     parts: list[str] = []
@@ -235,7 +275,9 @@ def _blocks(roots: list[Node]) -> list[str]:
             parts.append(c)
         elif c.tag in ("br", "wbr"):
             parts.append(" " if c.tag == "br" else "")
-        elif not _link_list(c):
+        elif not _is_part(c, holder) or (not out and not "".join(parts).strip() and _link_list(c)):
+            parts.append(" ")
+        else:
             if c.tag not in INLINE:
                 flush()
                 stack.append(None)
@@ -244,6 +286,22 @@ def _blocks(roots: list[Node]) -> list[str]:
     return out
 
 
+def _few_links(c: Node | str) -> bool:
+    return isinstance(c, str) or c.passed or 2 * c.linked <= c.text
+
+
+def _grown(best: Node) -> Node:
+    """The article or main element around the container, else its farthest parent that holds nothing but text with few links."""
+    up = best
+    while up.parent is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up.tag in ("article", "main"):
+        return up
+    while best.parent is not None and best.tag != "body" and all(_few_links(c) for c in best.parent.children if c is not best):
+        best = best.parent
+    return best
+
+
 def main_text(html: str) -> str:
     """The article's blocks, joined by line feeds."""
     tree = _Tree()
@@ -255,28 +313,24 @@ def main_text(html: str) -> str:
     _measure(root)
     _score(root)
     nodes = _post_order(root)[::-1]
-    best = max(nodes, key=_final)
+    best = max((n for n in nodes if not n.passed), key=_final)
     if best.points <= 0:
         bodies = [n for n in nodes if n.tag == "body"]
-        return "\n".join(_blocks(bodies[:1] or [root]))
-    up = best
-    while up.parent is not None and up.tag != "article":
-        up = up.parent
-    if up.tag == "article":
-        best = up
-    if best.parent is None or best.tag in ("body", "html"):
-        return "\n".join(_blocks([best]))
+        return "\n".join(_blocks(bodies[:1] or [root], root))
+    best = _grown(best)
+    if best.parent is None or best.tag in ("body", "html", "article", "main"):
+        return "\n".join(_blocks([best], best))
     limit, own = SIBLING_SHARE * _final(best), best.attrs.get("class")
-    keep: list[Node] = []
+    keep: list[Node | str] = []
     for c in best.parent.children:
-        if c is best:
+        if isinstance(c, str) or c is best or c.tag in INLINE:
             keep.append(c)
-        elif isinstance(c, Node) and c.text and 2 * c.linked < c.text:
-            plain = c.tag in HEADINGS or c.tag in ("p", "pre", "blockquote", "table", "ul", "ol", "dl", "figure")
+        elif c.text and not c.passed and _few_links(c):
+            plain = c.tag in TEXTS or c.tag in ("table", "ul", "ol", "dl", "figure")
             alike = own is not None and c.attrs.get("class") == own and c.tag == best.tag
-            if best.tag != "article" and (plain or alike) or _final(c) >= max(limit, 1):
+            if plain or alike or _final(c) >= max(limit, 1):
                 keep.append(c)
-    return "\n".join(_blocks(keep))
+    return "\n".join(_blocks(keep, best))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
