@@ -32,7 +32,9 @@ from plumbrule.llm import words
 
 WIDTH = 20
 #: Text of a part, which one task holds; its hashes need about as much again.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
+#: Parts whose borders the driver and each task may hold (8 MB); of more text, parts are larger.
+MOST_PARTS = 1 << 20
 #: Text whose windows share a bucket: about two million windows, sorted by one task.
 BUCKET_BYTES = 16 << 20
 #: A text weighs one, and one more for so many bytes, when borders of parts are drawn.
@@ -231,7 +233,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = written(rows.select("_id", F.octet_length("_text").alias("_size")))
     total = sizes.agg(F.sum("_size")).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    borders = part_borders(sizes, max(1, math.ceil(total / PART_BYTES)))
+    borders = part_borders(sizes, min(max(1, math.ceil(total / PART_BYTES)), MOST_PARTS))
     # Both uses of the dealt rows share one exchange.
     dealt = rows.withColumn("_part", _placed(borders)("_id", "_digest")).repartition("_part")
     hashes = dealt.groupBy("_part").applyInArrow(_hashed(width, buckets), "_bucket int, _part int, _hashes binary")
