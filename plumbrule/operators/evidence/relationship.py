@@ -2,7 +2,9 @@
 
 For every group of rows that agree on all dimension columns, one aggregation
 with map-side combining collects count, mean and spread of each shape
-(constant, ratio, product, sum, difference). An issue then reads the moments
+(constant, ratio, product, sum, difference). Shapes are plain columns of it; where measures
+are many, their shapes are dealt to chunks of ``CHUNK`` columns, so a row becomes one row per chunk
+and not one per shape. An issue then reads the moments
 of its group and takes its own row out again by arithmetic, so issues and
 group members are never paired, however large a group is. Moments are kept per
 order of magnitude of the target, so taking out a wild value does not cancel
@@ -26,6 +28,8 @@ MIN_GROUP = 3
 MIN_FIT = 0.9
 AMBIGUITY_MARGIN = 0.03
 _FIT_DIGITS = 9
+#: Shapes that are aggregated side by side, as columns.
+CHUNK = 32
 
 
 @dataclass(frozen=True)
@@ -96,14 +100,27 @@ def group_moments(df: DataFrame, target: str, measures: Sequence[str], shapes: S
     range of a double) are bounded whatever the group's size.
     """
     at = {m: f"v{i}" for i, m in enumerate(measures)}
-    observed = _numbers(df, target, measures, [group_key.alias("_group")]).select(
-        "_group", _magnitude(F.col("t")).alias("_class"), F.posexplode(_array([_observation(s, at) for s in shapes])).alias("i", "raw"))
-    x = text.finite(F.col("raw"))
-    per_shape = observed.select("_group", "_class", "i", x.alias("x")).groupBy("_group", "_class", "i").agg(
-        F.count(F.lit(1)).alias("size"), F.count("x").alias("n"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.var_pop("x") * F.count("x"), F.lit(0.0)).alias("m2"))
-    per_class = per_shape.groupBy("_group", "_class").agg(
-        F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("i", "n", "mean", "m2"))).alias("moments"))
+    width = min(CHUNK, len(shapes))
+    chunks = [shapes[k:k + width] for k in range(0, len(shapes), width)]
+    chunks[-1] = [*chunks[-1], *[None] * (width - len(chunks[-1]))]
+    columns = [[f"CAST({_observation(s, at) if s else 'NULL'} AS DOUBLE) AS x{k}" for k, s in enumerate(c)] for c in chunks]
+    numbers = _numbers(df, target, measures, [group_key.alias("_group")]).withColumn("_class", _magnitude(F.col("t")))
+    if len(chunks) == 1:
+        observed = numbers.selectExpr("_group", "_class", "0 AS _chunk", *columns[0])
+    else:
+        cells = ", ".join(f"struct({k} AS _chunk, {', '.join(c)})" for k, c in enumerate(columns))
+        observed = numbers.selectExpr("_group", "_class", f"inline(array({cells}))")
+    finite = observed.select("_group", "_class", "_chunk", *[text.finite(F.col(f"x{k}")).alias(f"x{k}") for k in range(width)])
+    zero = F.lit(0.0)
+    per_chunk = finite.groupBy("_group", "_class", "_chunk").agg(F.count(F.lit(1)).alias("size"), *[
+        c for k in range(width) for c in (
+            F.count(f"x{k}").alias(f"n{k}"), F.avg(f"x{k}").alias(f"mean{k}"), F.var_pop(f"x{k}").alias(f"var{k}"))])
+    moments = F.array(*[
+        F.struct((F.col("_chunk") * width + k).alias("i"), F.col(f"n{k}").alias("n"), F.coalesce(f"mean{k}", zero).alias("mean"),
+                 F.coalesce(F.col(f"var{k}") * F.col(f"n{k}"), zero).alias("m2")) for k in range(width)])
+    in_order = F.array_sort(F.collect_list(F.struct("_chunk", moments.alias("part"))))
+    per_class = per_chunk.groupBy("_group", "_class").agg(
+        F.max("size").alias("size"), F.flatten(F.transform(in_order, lambda c: c["part"])).alias("moments"))
     return per_class.groupBy("_group").agg(
         F.sum("size").alias("size"), F.collect_list(F.struct("_class", "moments")).alias("classes"))
 

@@ -303,3 +303,24 @@ def test_large_joins_match_no_null_key(spark):
         small, large = (sorted(map(tuple, join_small(left, right, ["k"], how, max_rows=m).select("x", "y").collect())) for m in (100, 0))
         assert small == large
     assert (1, None) in map(tuple, join_small(left, right, ["k"], "left", max_rows=0).select("x", "y").collect())
+
+
+def test_many_measures_are_aggregated_in_chunks(spark, monkeypatch):
+    """The verdict does not depend on how many shapes stand side by side."""
+    import random
+
+    from plumbrule.operators.evidence import relationship
+
+    rng = random.Random(4)
+    rows = [(k, k % 3, *[rng.uniform(1, 9) for _ in range(9)]) for k in range(60)]
+    names = [f"m{i}" for i in range(9)]
+    df = spark.createDataFrame(rows, "id int, g int, " + ", ".join(f"{n} double" for n in names)).withColumn(
+        "t", F.when(F.col("id") == 7, -5.0).otherwise(F.col("m3") - F.col("m6")))
+    failing = df.where("id = 7").withColumn("issue_id", F.lit("i"))
+    found = {}
+    for chunk in (1, 7, 500):
+        monkeypatch.setattr(relationship, "CHUNK", chunk)
+        found[chunk] = relationship.relationship_evidence(df, failing, "t", ["g"], names).first()
+    assert len(set(found.values())) == 1
+    assert found[1]["related_columns"] == "m3,m6" and found[1]["relationship_type"] == "difference_consistency"
+    assert found[1]["shapes_tested"] == len(relationship.shapes_of(names))
