@@ -1,6 +1,6 @@
 """Skew-safe group lookups.
 
-Both functions attach a per-key value to every row without ever gathering the
+A per-key value is attached to every row without ever gathering the
 rows of one key in one task. Keys are split in two:
 
 * the ``HOT_KEYS`` most frequent keys travel as a broadcast. The broadcast is
@@ -14,7 +14,7 @@ output), spread evenly by a salt that no right-hand row carries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_KEYS = 1024
 _SALTS = 1 << 16
@@ -30,36 +30,6 @@ def _content(df: DataFrame) -> Column:
     return F.xxhash64(*usable)
 
 
-def with_group_size(
-    df: DataFrame, key: str, out: str, spread_on: str, counted_from: DataFrame | None = None
-) -> DataFrame:
-    """Add ``out``: the number of rows sharing ``key`` when more than one, else NULL.
-
-    Rows whose key is NULL get NULL. ``counted_from`` is the frame to count
-    keys in when ``df`` is derived from it by joins that keep its rows, so the
-    joins are not planned twice. ``spread_on`` must vary inside a group and be
-    the same whenever a task is run again (row content or a unique key).
-    """
-    keyed = df.withColumnRenamed(key, "_gk")
-    counted = (df if counted_from is None else counted_from).select(F.col(key).alias("_gk"))
-    sizes = (
-        counted.where(F.col("_gk").isNotNull())
-        .groupBy("_gk").agg(F.count(F.lit(1)).alias("_gn"))
-        .where(F.col("_gn") > 1)
-    )
-    hot = sizes.orderBy(F.desc("_gn")).limit(HOT_KEYS).select(
-        F.col("_gk").alias("_hk"), F.col("_gn").alias("_hn"))
-    cold = sizes.select(F.col("_gk").alias("_ck"), F.col("_gn").alias("_cn"),
-                        F.lit(0).cast("bigint").alias("_cs"))
-    split = (
-        keyed.join(F.broadcast(hot), F.col("_gk") == F.col("_hk"), "left")
-        .withColumn("_gs", _spread(F.col("_hn").isNotNull() | F.col("_gk").isNull(), F.col(spread_on)))
-    )
-    joined = split.join(cold, (F.col("_gk") == F.col("_ck")) & (F.col("_gs") == F.col("_cs")), "left")
-    return joined.withColumn(out, F.coalesce("_hn", "_cn")).drop(
-        "_gk", "_hk", "_hn", "_gs", "_ck", "_cn", "_cs")
-
-
 def lookup(left: DataFrame, right: DataFrame, key: str, spread_on: str,
            counted_from: DataFrame | None = None) -> DataFrame:
     """Left join where ``right`` holds at most one row per ``key``.
@@ -135,20 +105,3 @@ def keep_matching(df: DataFrame, refs: DataFrame, key: str, matching: bool = Tru
                     wanted.withColumn("_there", F.lit(True)), key, "_pos")
     there = F.coalesce("_there", F.lit(False))
     return marked.where(there if matching else ~there).select(*df.columns)
-
-
-def number_in_group(df: DataFrame, by: str, time: str, tie: str, out: str, total: str) -> DataFrame:
-    """Number rows per ``by`` in the order of (``time``, ``tie``), from 1, and add the group's size.
-
-    Rows are ordered within (group, day) only; the running count of the
-    earlier days comes from a table with one row per group and day.
-    """
-    dated = df.withColumn("_day", F.date_trunc("day", time)).withColumn("_slot", F.struct(by, "_day"))
-    per_day = dated.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_by", F.col(f"_slot.{by}"))
-    running = W.partitionBy("_by").orderBy("_slot._day")
-    offsets = per_day.select(
-        "_slot", (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(W.partitionBy("_by")).alias("_all"))
-    placed = lookup(dated.withColumn("_pos", _content(df)), offsets, "_slot", "_pos")
-    inside = F.row_number().over(W.partitionBy("_slot").orderBy(time, tie))
-    return placed.select(*df.columns, (F.col("_before") + inside).alias(out), F.col("_all").alias(total))

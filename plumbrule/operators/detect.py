@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
-from plumbrule.functions.grouping import number_in_group
+from plumbrule.functions.ordered import number_in_group
 from plumbrule.functions.text import name_has_token
 from plumbrule.operators.evidence.gate import unfenced
 from plumbrule.spec import NUMERIC_TYPES, RULE_TYPES, TEMPORAL_TYPES, RuleSpec, SpecError

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbrule.functions.ordered import COARSE, FINE, border_shares, with_range
 from plumbrule.functions.text import int_div
 
 # Acceptance limits.
@@ -15,10 +14,6 @@ MIN_OBSERVATIONS = 5
 MIN_SUPPORT = 3
 MIN_CONSISTENCY = 0.5
 
-#: Ranges into which a series is cut to be ordered: so many groups of so many.
-COARSE, FINE = 16, 16
-
-
 def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value) pairs as text, blank values left out."""
     from plumbrule.functions.text import canonical_of, is_blank
@@ -28,11 +23,6 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(cells)).where(~is_blank(F.col("value")))
 
 
-def _above(borders: Sequence[Column]) -> Column:
-    """How many of the borders are below ``idx``. Straight-line comparisons compile; a lambda over the array would be interpreted."""
-    return reduce(add, [F.when(b < F.col("idx"), 1).otherwise(0) for b in borders])
-
-
 def steps(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, at, diff): the difference of each ``idx`` to the next smaller one of its series.
 
@@ -42,13 +32,9 @@ def steps(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     ranges = COARSE * FINE
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    borders = values.groupBy(*keys).agg(F.percentile_approx("idx", shares, 10 * ranges).alias("_borders"))
+    borders = values.groupBy(*keys).agg(F.percentile_approx("idx", border_shares(), 10 * ranges).alias("_borders"))
     # One row per series, of bounded width.
-    coarse = values.join(F.broadcast(borders), keys).withColumn(
-        "_coarse", _above([F.get("_borders", F.lit(k * FINE - 1)) for k in range(1, COARSE)]))
-    placed = coarse.select(*keys, "idx", (F.col("_coarse") * FINE + _above(
-        [F.get("_borders", F.col("_coarse") * FINE + k) for k in range(FINE - 1)])).alias("_range"))
+    placed = with_range(values.join(F.broadcast(borders), keys).select(*keys, "idx", "_borders"), "_borders", "idx", "_range")
     ends = placed.groupBy(*keys, "_range").agg(F.max("idx").alias("_last"))
     # At most COARSE * FINE rows per series.
     carried = ends.select(*keys, "_range", F.lag("_last").over(W.partitionBy(*keys).orderBy("_range")).alias("_before"))

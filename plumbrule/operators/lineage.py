@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from typing import Mapping
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from plumbrule.functions.ordered import latest_as_of
 
 EDGE = ("parent_type", "parent_id", "child_type", "child_id", "relationship")
 
@@ -50,45 +52,6 @@ def nodes_of(found: DataFrame) -> DataFrame:
     return parents.unionByName(children).distinct()
 
 
-def latest_as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, right_id: str,
-                 out: str = "matched_id") -> DataFrame:
-    """For each left row the newest right row of the same ``by`` at or before its time.
-
-    No pairs are formed. Both sides are merged on a time line that is cut into
-    days, so a frequent ``by`` value spreads over its days; each day starts
-    with the newest right row of the earlier days, carried over from a table
-    with one row per (by, day). Equal times prefer the larger id.
-    """
-    def day(c: str):
-        return F.date_trunc("day", F.col(c))
-
-    r = right.select(F.col(by).alias("_by"), F.col(right_time).alias("_t"), F.col(right_id).alias("_id")).where(
-        F.col("_by").isNotNull() & F.col("_t").isNotNull())
-    per_day = r.groupBy("_by", day("_t").alias("_day")).agg(F.max(F.struct("_t", "_id")).alias("_m"))
-    asked = left.select(F.col(by).alias("_by"), day(left_time).alias("_day")).where(
-        F.col("_by").isNotNull() & F.col("_day").isNotNull()).distinct()
-    days = per_day.unionByName(asked.withColumn("_m", F.lit(None).cast(per_day.schema["_m"].dataType)))
-    before = W.partitionBy("_by").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    per_line = days.groupBy("_by", "_day").agg(F.max("_m").alias("_m"))
-    carried = per_line.select("_by", "_day", F.last("_m", ignorenulls=True).over(before).alias("_m")).where(
-        F.col("_m").isNotNull())
-    empty_row = F.lit(None).cast(left.schema)
-    line = (
-        left.select(F.col(by).alias("_by"), day(left_time).alias("_day"), F.col(left_time).alias("_t"),
-                    F.lit(2).alias("_kind"), F.lit(None).cast(per_day.schema["_m"].dataType).alias("_m"),
-                    F.struct(*left.columns).alias("_row"))
-        .unionByName(r.select("_by", day("_t").alias("_day"), "_t", F.lit(1).alias("_kind"),
-                              F.struct("_t", "_id").alias("_m"), empty_row.alias("_row")))
-        .unionByName(carried.select("_by", "_day", F.col("_day").alias("_t"), F.lit(0).alias("_kind"), "_m",
-                                    empty_row.alias("_row"))))
-    order = W.partitionBy("_by", "_day").orderBy(
-        F.when(F.col("_kind") == 0, 0).otherwise(1), "_t", "_kind", F.col("_m._id").asc_nulls_first())
-    matched = line.withColumn("_hit", F.last("_m", ignorenulls=True).over(
-        order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    known = F.col("_by").isNotNull() & F.col("_t").isNotNull()
-    return matched.where(F.col("_kind") == 2).select("_row.*", F.when(known, F.col("_hit._id")).alias(out))
-
-
 def approvals_of_staging(staging_runs: DataFrame, requests: DataFrame) -> DataFrame:
     """Each staging run with the newest approved request created at or before it."""
     approved = requests.where(F.col("status") == "APPROVED").select("request_id", "review_run_id", "created_at")
@@ -116,9 +79,12 @@ def corrections_of_requests(corrections: DataFrame, issues: DataFrame, requests:
         F.col("request_id").isNotNull()).select("issue_id", "request_id")
 
 
-def backfill(tables: Mapping[str, DataFrame]) -> DataFrame:
+def backfill(tables: Mapping[str, DataFrame], unique: bool = True) -> DataFrame:
     """All edges of the nine touch points, rebuilt from the base tables.
 
+    Each touch point gives edges of its own types, so an edge can repeat only where a table repeats its id.
+    Ids are primary keys of the base tables; where they are not, ``unique=False`` removes repeated edges.
+
     ``tables``: connections, schemas, datasets, columns, profile_runs,
     validation_runs, review_runs, issues, corrections, approval_requests,
     staging_runs, publish_runs. Absent tables contribute nothing.
@@ -147,4 +113,4 @@ def backfill(tables: Mapping[str, DataFrame]) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.dropDuplicates(list(EDGE))
+    return out if unique else out.dropDuplicates(list(EDGE))

@@ -9,7 +9,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from plumbrule.functions import text
-from plumbrule.functions.grouping import join_small, keep_matching, number_in_group
+from plumbrule.functions.grouping import join_small, keep_matching
+from plumbrule.functions.ordered import number_in_group
 from plumbrule.operators import rules as R
 from plumbrule.operators.evidence.rank import locate_issues
 from plumbrule.spec import KeySpec, RuleSpec, check_rules, normalized_type, staging_type

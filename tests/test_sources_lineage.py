@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbrule import KeySpec, RuleSpec
-from plumbrule.functions.grouping import HOT_KEYS, join_small, keep_matching, lookup, number_in_group, with_group_size
+from plumbrule.functions import ordered
+from plumbrule.functions.grouping import HOT_KEYS, join_small, keep_matching, lookup
+from plumbrule.functions.ordered import latest_as_of, number_in_group
 from plumbrule.operators import lineage, reports
 from plumbrule.sources import catalog, sinks, tables
 from plumbrule.spec import SpecError
@@ -129,9 +131,6 @@ def test_group_helpers_beyond_the_hot_set(spark):
     df = spark.range(n * 2).select("id", (F.col("id") % n).alias("k")).unionByName(
         spark.range(3000).select((F.col("id") + 10**6).alias("id"), F.lit(5).cast("bigint").alias("k"))).unionByName(
         spark.range(50).select((F.col("id") + 10**7).alias("id"), F.lit(None).cast("bigint").alias("k")))
-    sized = with_group_size(df, "k", "size", "id")
-    assert sized.count() == n * 2 + 3050
-    assert sized.where("size = 2").count() == (n - 1) * 2 and sized.where("size = 3002").count() == 3002
     right = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     joined = lookup(df, right, "k", "id")
     assert joined.count() == n * 2 + 3050 and joined.where("v = k * 10").count() == n * 2 + 3000
@@ -221,3 +220,29 @@ def test_stream(spark, tmp_path):
     assert {r["record_ref"]: r["status"] for r in spark.table("checked").collect()} == {"1": "PASSED", "2": "FAILED"}
     with pytest.raises(SpecError):
         validate_stream(stream, [RuleSpec("u", "UNIQUENESS", ("v",))], KeySpec(("id",)))
+
+
+@pytest.mark.parametrize("split", [5, 100_000])
+def test_order_within_one_day_of_one_key(spark, monkeypatch, split):
+    """Almost all rows belong to one key and one day, and many to one instant; ranges do not change the result."""
+    import random
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(ordered, "SPLIT_ROWS", split)
+    monkeypatch.setattr(ordered, "HOT_KEYS", 2)
+    rng, day = random.Random(9), datetime(2024, 5, 1)
+    rows = [(i, rng.choice(["a"] * 9 + ["b", "c", None]), day + timedelta(microseconds=rng.choice([0, rng.randrange(86_400_000_000)])))
+            for i in range(700)]
+    df = spark.createDataFrame(rows, "id int, k string, at timestamp_ntz").repartition(5)
+    got = {r["id"]: (r["n"], r["total"]) for r in number_in_group(df, "k", "at", "id", "n", "total").collect()}
+    for key in ("a", "b", "c", None):
+        mine = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0]))
+        assert [got[r[0]] for r in mine] == [(i + 1, len(mine)) for i in range(len(mine))]
+    asked = [(i, rng.choice(["a", "a", "b", "x", None]), rng.choice([None, rows[i][2], day + timedelta(seconds=rng.randrange(-9, 86_409))]))
+             for i in range(300)]
+    left = spark.createDataFrame(asked, "q int, k string, t timestamp_ntz").repartition(4)
+    found = {r["q"]: r["matched_id"] for r in latest_as_of(left, df, "k", "t", "at", "id").collect()}
+    for q, key, t in asked:
+        before = [(r[2], r[0]) for r in rows if key is not None and t is not None and r[1] == key and r[2] <= t]
+        assert found[q] == (max(before)[1] if before else None)
+    assert len(found) == len(asked)
