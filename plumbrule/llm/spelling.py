@@ -68,10 +68,10 @@ def _grouped(words: DataFrame) -> DataFrame:
         .where(m >= MIN_LENGTH)
         .select("word", "n", "_m", F.explode(F.array(F.lit(0), F.lit(1))).alias("_side")).withColumn("_letters", letters))
     by_length = words.groupBy(length.alias("_l")).agg((F.count(F.lit(1)) * F.first(length)).alias("_all"))
-    # One row per length of words.
+    # One row per length of words; k different lengths take k * k / 2 letters, so there are few even in a large vocabulary.
     shards = by_length.select(F.explode(F.array(F.col("_l"), F.col("_l") - 1)).alias("_m"), "_all").groupBy("_m").agg(
         (F.floor(F.sum("_all") / SHARD_LETTERS) + 1).alias("_shards"))
-    dealt = entries.join(shards, "_m").withColumn(
+    dealt = entries.join(F.broadcast(shards), "_m").withColumn(
         "_slot", F.pmod(F.xxhash64("_letters"), F.col("_shards"))).drop("_letters", "_shards")
     blocks = dealt.groupBy("_m", "_side", "_slot").agg(
         (F.floor(F.count(F.lit(1)) * m / (4 * SHARD_LETTERS)) + 1).cast("int").alias("_blocks"))
