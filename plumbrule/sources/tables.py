@@ -24,6 +24,8 @@ VENDORS: Mapping[str, tuple[str, int, str]] = {
     "MYSQL": ("com.mysql.cj.jdbc.Driver", 3306, "jdbc:mysql://{host}:{port}/{database}"),
     "ORACLE": ("oracle.jdbc.OracleDriver", 1521, "jdbc:oracle:thin:@//{host}:{port}/{database}"),
     "SAP_HANA": ("com.sap.db.jdbc.Driver", 30015, "jdbc:sap://{host}:{port}/?databaseName={database}"),
+    # Comes with Spark and runs inside its driver, so it serves local sessions.
+    "DERBY": ("org.apache.derby.iapi.jdbc.AutoloadedDriver", 0, "jdbc:derby:{database}"),
 }
 
 

@@ -246,3 +246,31 @@ def test_order_within_one_day_of_one_key(spark, monkeypatch, split):
         before = [(r[2], r[0]) for r in rows if key is not None and t is not None and r[1] == key and r[2] <= t]
         assert found[q] == (max(before)[1] if before else None)
     assert len(found) == len(asked)
+
+
+def test_key_ranges_of_a_source(spark):
+    """Ranges follow where the keys lie; every row, with or without a key, is read once."""
+    from plumbrule.sources.database import Catalog, key_ranges, normalized_source_type, scan_by_ranges
+
+    source = tables.JdbcSource("DERBY", "", "memory:ranges")
+    with Catalog(spark, tables.JdbcSource("DERBY", "", "memory:ranges;create=true")) as catalog:
+        made = catalog._connection.createStatement()
+        made.execute('CREATE TABLE APP."odd ""name" (K BIGINT, V VARCHAR(20), BIG LONG VARCHAR)')
+        made.close()
+    keys = [*range(200), *[10**12 + i for i in range(200)], *[7] * 150, *[None] * 5]
+    url, options = source.jdbc_options()["url"], {"driver": source.jdbc_options()["driver"]}
+    rows = spark.createDataFrame([(k, f"v{i}", "x") for i, k in enumerate(keys)], "K long, V string, BIG string")
+    rows.coalesce(1).write.jdbc(url, 'APP."odd ""name"', mode="append", properties=options)
+    cut = key_ranges(spark, source, "APP", 'odd "name', "K", 5)
+    got = scan_by_ranges(spark, source, "APP", 'odd "name', "K", 5)
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == len(keys) and got.select("V").distinct().count() == len(keys)
+    # One key holds 151 rows; no range holds more than it and a share of the rest.
+    assert len(cut) >= 5 and max(sizes) <= 151 + len(keys) // 5
+    assert got.schema["BIG"].metadata["normalized_type"] == "TEXT" and got.where("K > 500").count() == 200
+    assert key_ranges(spark, source, "APP", 'odd "name', "K", 1)[-1] == '"K" IS NULL'
+    assert [normalized_source_type(12, n) for n in ("VARCHAR", "text", "CLOB(10)")] == ["STRING", "TEXT", "TEXT"]
+    with Catalog(spark, source) as catalog:
+        assert catalog.primary_key("APP", 'odd "name') == [] and ("APP", 'odd "name', "TABLE") in catalog.tables("APP")
+    with pytest.raises(SpecError):
+        scan_by_ranges(spark, source, "APP", 'odd "name', "K", 0)
