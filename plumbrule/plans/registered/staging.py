@@ -10,6 +10,7 @@ from plumbrule.functions.storage import ensure_checkpoint_dir
 from plumbrule.operators import stage
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import table
+from plumbrule.sources import sinks
 from plumbrule.spec import KeySpec
 
 registry = Registry()
@@ -193,3 +194,72 @@ def uncoercible_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
         vague, F.concat(F.lit("about "), "final_value")).otherwise(F.col("final_value")))
     return stage.uncoercible(said, table(spark, sf_dir, "orders").schema).select(
         "record_ref", "column_name", "final_value")
+
+
+# --- sinks -----------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@registry.add("staging_table", CORRECTED.replace("SELECT o_orderkey,", "SELECT false AS written_again, true AS written_first, "
+              "'orders_of_today__run7' AS table_name, o_orderkey,", 1))
+def staging_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's corrected rows as a staging table, written twice: the second time changes nothing."""
+    rows, base = stage.overlay(table(spark, sf_dir, "orders"), ORDER_KEY, _fixes(spark, sf_dir)), _place(spark, "staging")
+    path, first = sinks.write_staging_table(rows, base, "Orders of today", "run-7")
+    _, second = sinks.write_staging_table(rows.limit(1), base, "Orders of today", "run-7")
+    return spark.read.parquet(path).withColumn("o_orderdate", F.col("o_orderdate").cast("string")).select(
+        "*", F.lit(path.rsplit("/", 1)[1]).alias("table_name"), F.lit(first.is_new).alias("written_first"),
+        F.lit(second.is_new).alias("written_again"))
+
+
+@registry.add("appended_log", """
+SELECT o_orderstatus AS run_id, o_orderkey AS entity_id, o_totalprice AS price FROM orders WHERE o_orderstatus IN ('F', 'P')""")
+def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of a log, one of them appended again by a job that ran twice."""
+    orders, path = table(spark, sf_dir, "orders"), _place(spark, "log")
+    for status in ("F", "P", "F"):
+        batch = orders.where(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("entity_id"), F.col("o_totalprice").alias("price"))
+        sinks.append_log(batch, path, status)
+    return sinks.RunTable(spark, path).read(batch.schema)
+
+
+@registry.add("exported_lines", """
+SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_name END AS c_name, c_mktsegment FROM customer""")
+def exported_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines of a table, written over an older export and read back."""
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("c_name"), "c_mktsegment")
+    path = _place(spark, "lines")
+    sinks.export_jsonl(rows.limit(3), path)
+    sinks.export_jsonl(rows, path, overwrite=True)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@registry.add("published_run", "WITH " + FIXES + "," + STAGED + """
+SELECT CAST(json_extract(row_snapshot, '$.o_orderkey') AS BIGINT) AS o_orderkey, json_extract_string(row_snapshot, '$.o_orderpriority') AS o_orderpriority,
+  CASE WHEN (SELECT bool_or(drift_status <> 'UNCHANGED') FROM staged) THEN 'PENDING' ELSE 'PUBLISHED' END AS at_first, 'PUBLISHED' AS then_acknowledged,
+  (SELECT count(*) FROM staged) AS row_count
+FROM (SELECT CASE WHEN o_orderkey IS NULL THEN '{"o_orderpriority":"' || priority || '"}' ELSE
+  '{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || coalesce(priority, o_orderpriority) || '"}' END AS row_snapshot FROM staged)""")
+def published_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishing waits while drift is not acknowledged; then the snapshots stand at the target, one per line."""
+    staged = stage.stage_records(table(spark, sf_dir, "orders"), ORDER_KEY, _fixes(spark, sf_dir))
+    base = _place(spark, "published")
+    first = stage.publish(staged, base, "orders", True, True, overwrite=True)
+    done = stage.publish(staged, base, "orders", True, True, drift_acknowledged=True, overwrite=True)
+    return spark.read.schema("o_orderkey bigint, o_orderpriority string").json(done.target).select(
+        "*", F.lit(first.status).alias("at_first"), F.lit(done.status).alias("then_acknowledged"),
+        F.lit(done.row_count).cast("bigint").alias("row_count"))
+
+
+@registry.add("destination_columns", """
+SELECT row_number() OVER () AS ordinal_position, column_name, kind AS normalized_data_type, staged AS staging_type FROM (VALUES
+  ('o_orderkey', 'INTEGER', 'bigint'), ('o_custkey', 'INTEGER', 'bigint'), ('o_orderstatus', 'STRING', 'string'),
+  ('o_totalprice', 'DECIMAL', 'double'), ('o_orderdate', 'DATETIME', 'timestamp_ntz'), ('o_orderpriority', 'STRING', 'string')) AS v(column_name, kind, staged)
+WHERE EXISTS (SELECT 1 FROM orders)""")
+def destination_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage.destination_metadata(table(spark, sf_dir, "orders")).select(
+        F.col("ordinal_position").cast("bigint").alias("ordinal_position"), "column_name", "normalized_data_type", "staging_type")

@@ -1,12 +1,23 @@
-"""Export, staging-table and log sinks."""
+"""Export, staging-table and log sinks.
+
+Every sink writes to a folder of its own beside the target, counts what it finds there, and then renames it: a reader sees
+all rows of a write or none, and a job that dies leaves nothing in the target. What is written under a run's name is
+written once; writing it again changes nothing. File systems whose rename is not atomic (object stores) need a committer
+that makes it so.
+"""
 
 from __future__ import annotations
 
 import posixpath
 import re
-from typing import Mapping
+import uuid
+from dataclasses import dataclass
+from typing import Callable, Mapping
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from plumbrule.spec import staging_type
 
 # Identifier limits of a materialized staging table.
 MAX_IDENTIFIER = 63
@@ -30,30 +41,122 @@ def resolve_target(reference: str, base: str) -> str:
     return base.rstrip("/") + "/" + flat
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    target, fs = _fs(spark, path)
+    return fs.exists(target)
 
 
-def export_jsonl(rows: DataFrame, path: str, overwrite: bool = False) -> int:
-    """Write one JSON object per row with keys in name order; returns the count read back."""
+def delete_path(spark: SparkSession, path: str) -> None:
+    target, fs = _fs(spark, path)
+    fs.delete(target, True)
+
+
+def swap(spark: SparkSession, source: str, path: str) -> None:
+    """Put ``source`` at ``path``; what was there before is deleted last and comes back if the new one cannot take its place."""
+    target, fs = _fs(spark, path)
+    old = _fs(spark, f"{path.rstrip('/')}__old-{uuid.uuid4().hex}")[0]
+    there = fs.exists(target)
+    if there and not fs.rename(target, old):
+        raise SinkError(f"could not move the old copy at {path}")
+    if not fs.rename(_fs(spark, source)[0], target):
+        if there:
+            fs.rename(old, target)
+        raise SinkError(f"could not publish {path}")
+    if there:
+        fs.delete(old, True)
+
+
+def _pending(path: str) -> str:
+    """A folder beside ``path`` that readers of a partitioned table pass over."""
+    folder, name = posixpath.split(path.rstrip("/"))
+    return f"{folder}/_pending-{name.replace('=', '-')}-{uuid.uuid4().hex}"
+
+
+def _written(rows: DataFrame, pending: str, write: Callable[[DataFrame, str], None], read: Callable[[str], DataFrame]) -> int:
+    """Write to the pending folder and check it against the rows that went in."""
+    seen = Observation()
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), pending)
+    found, expected = read(pending).count(), seen.get["rows"]
+    if found != expected:
+        raise SinkError(f"wrote {found} of {expected} rows")
+    return found
+
+
+def _export(rows: DataFrame, path: str, overwrite: bool, write: Callable[[DataFrame, str], None]) -> int:
     spark = rows.sparkSession
     if path_exists(spark, path) and not overwrite:
         raise SinkError(f"{path} exists and overwrite was not requested")
+    pending = _pending(path)
+    try:
+        count = _written(rows, pending, write, spark.read.text)
+        swap(spark, pending, path)
+    except BaseException:
+        delete_path(spark, pending)
+        raise
+    return count
+
+
+def export_jsonl(rows: DataFrame, path: str, overwrite: bool = False) -> int:
+    """Write one JSON object per row with keys in name order; returns the count read back."""
     ordered = rows.select(*sorted(rows.columns))
-    ordered.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", "false").json(path)
-    return spark.read.text(path).count()
+    return _export(ordered, path, overwrite, lambda df, at: df.write.option("ignoreNullFields", "false").json(at))
 
 
 def export_snapshots(snapshots: DataFrame, path: str, overwrite: bool = False, column: str = "row_snapshot") -> int:
     """Write ready-made JSON texts, one per line; returns the count read back."""
-    spark = snapshots.sparkSession
-    if path_exists(spark, path) and not overwrite:
-        raise SinkError(f"{path} exists and overwrite was not requested")
-    snapshots.select(F.col(column).alias("value")).write.mode(
-        "overwrite" if overwrite else "errorifexists").text(path)
-    return spark.read.text(path).count()
+    return _export(snapshots.select(F.col(column).alias("value")), path, overwrite, lambda df, at: df.write.text(at))
+
+
+@dataclass(frozen=True)
+class Commit:
+    """How many rows a target holds, and whether this write put them there."""
+
+    rows: int
+    is_new: bool
+
+
+def commit_once(rows: DataFrame, target: str) -> Commit:
+    """Write ``rows`` to a folder that is written once. Of two writers at a time one wins, and both see its rows."""
+    spark = rows.sparkSession
+    if path_exists(spark, target):
+        return Commit(spark.read.parquet(target).count(), False)
+    pending = _pending(target)
+    try:
+        count = _written(rows, pending, lambda df, at: df.write.parquet(at), spark.read.parquet)
+        goal, fs = _fs(spark, target)
+        fs.mkdirs(goal.getParent())
+        # A rename onto a folder that came up meanwhile would move into it.
+        won = not fs.exists(goal) and fs.rename(_fs(spark, pending)[0], goal)
+    except BaseException:
+        delete_path(spark, pending)
+        raise
+    if not won:
+        delete_path(spark, pending)
+        if not path_exists(spark, target):
+            raise SinkError(f"could not commit {target}")
+        return Commit(spark.read.parquet(target).count(), False)
+    return Commit(count, True)
+
+
+class RunTable:
+    """A table that grows by runs (validation results, log batches): one folder per run, each committed once."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def write(self, rows: DataFrame, run_id: str) -> Commit:
+        if not run_id:
+            raise SinkError("a run needs an id")
+        return commit_once(rows, f"{self.path}/run_id={quote(run_id, safe='')}")
+
+    def read(self, schema: T.StructType) -> DataFrame:
+        """All committed runs with their ``run_id``."""
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])).parquet(self.path)
 
 
 def clean_identifier(raw: str) -> str:
@@ -70,6 +173,13 @@ def staging_table_name(dataset: str, run_id: str) -> str:
     return (clean_identifier(dataset)[:room].rstrip("_") or "dataset") + NAME_SEPARATOR + suffix
 
 
+def write_staging_table(rows: DataFrame, base: str, dataset: str, run_id: str) -> tuple[str, Commit]:
+    """Write a run's rows, in staging types, as a table of its own below ``base``; returns its path."""
+    path = f"{base.rstrip('/')}/{staging_table_name(dataset, run_id)}"
+    typed = rows.select(*[F.col(f"`{f.name}`").cast(staging_type(f.dataType)).alias(f.name) for f in rows.schema.fields])
+    return path, commit_once(typed, path)
+
+
 def audit_events(
     spark: SparkSession, actor: str, action: str, entity_type: str, entity_id: str,
     before: Mapping[str, str] | None = None, after: Mapping[str, str] | None = None,
@@ -84,5 +194,6 @@ def audit_events(
     ).withColumn("created_at", F.current_timestamp())
 
 
-def append_log(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
+def append_log(events: DataFrame, path: str, batch_id: str | None = None) -> Commit:
+    """Append a batch of events. A batch with an id is appended once, however often a job is run again."""
+    return RunTable(events.sparkSession, path).write(events, batch_id or uuid.uuid4().hex)

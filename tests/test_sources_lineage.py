@@ -274,3 +274,31 @@ def test_key_ranges_of_a_source(spark):
         assert catalog.primary_key("APP", 'odd "name') == [] and ("APP", 'odd "name', "TABLE") in catalog.tables("APP")
     with pytest.raises(SpecError):
         scan_by_ranges(spark, source, "APP", 'odd "name', "K", 0)
+
+
+def test_a_run_is_committed_once(spark, tmp_path):
+    """Nothing of a failing write is left, a second write changes nothing, and readers see committed runs only."""
+    base = str(tmp_path / "t")
+    rows = spark.range(10).withColumn("v", F.col("id") * 2)
+    held = sinks.RunTable(spark, base)
+    assert held.write(rows, "a/1") == sinks.Commit(10, True)
+    assert held.write(rows.limit(2), "a/1") == sinks.Commit(10, False)
+    broken = rows.withColumn("v", F.when(F.col("id") == 9, F.raise_error(F.lit("no"))).otherwise(F.col("v")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        held.write(broken, "b")
+    assert held.write(rows.limit(0), "empty") == sinks.Commit(0, True)
+    assert held.write(rows.limit(3), "b") == sinks.Commit(3, True)
+    got = held.read(rows.schema)
+    assert {r["run_id"]: r["count"] for r in got.groupBy("run_id").count().collect()} == {"a/1": 10, "b": 3}
+    assert [p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("_pending")] == []
+    with pytest.raises(sinks.SinkError):
+        held.write(rows, "")
+    path, first = sinks.write_staging_table(spark.createDataFrame([(1, 1.5)], "a int, b float"), base, "D", "r")
+    assert spark.read.parquet(path).dtypes == [("a", "bigint"), ("b", "double")] and first.is_new
+    lines = str(tmp_path / "lines")
+    assert sinks.export_jsonl(rows, lines) == 10
+    with pytest.raises(sinks.SinkError):
+        sinks.export_jsonl(rows, lines)
+    with pytest.raises(Exception, match="no"):
+        sinks.export_jsonl(broken, lines, overwrite=True)
+    assert spark.read.json(lines).count() == 10 and sinks.export_jsonl(rows.limit(4), lines, overwrite=True) == 4
