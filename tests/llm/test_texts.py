@@ -10,6 +10,7 @@ from hashlib import sha256
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plumbrule.llm import licenses, mixing, quality, queries, secrets, token_counts
 from tests.llm import brute
@@ -167,3 +168,28 @@ def test_reached_tells_missed_targets(frame):
            for size in (0.2, 0.5)}
     assert got[0.2]["source", "b"] == (100, 0) and got[0.2]["lang", "en"] == (200, 0)
     assert got[0.5]["source", "b"] == (250, -150)
+
+
+def test_mixture_reaches_its_targets(frame):
+    """Without a size the sample is the largest that gives every category its share; one cell is kept whole."""
+    rows = [(i, "w " * (1 + i % 9), "abc"[i % 7 % 3 if i % 4 else 0], ("en", "de", None)[i % 13 % 3]) for i in range(2000)]
+    docs = frame(rows, "doc_id long, text string, source string, lang string")
+    margins = {"source": F.col("source"), "lang": F.col("lang")}
+    wanted = {"source": {"a": 0.2, "b": 0.5, "c": 0.3}, "lang": {"en": 0.1, "de": 0.6, None: 0.3}}
+    targets = {m: frame([(v, s * 7) for v, s in t.items()], "value string, share double") for m, t in wanted.items()}
+    got = mixing.mixture(docs, margins=margins, targets=targets).collect()
+    total = sum(r._share * r._tokens for r in got)
+    for margin, shares in wanted.items():
+        for value, share in shares.items():
+            assert abs(sum(r._share * r._tokens for r in got if r[margin] == value) / total - share) < 1e-6
+    assert max(r._share for r in got) == 1 and min(r._share for r in got) > 0
+    for r in mixing.reached(docs, margins=margins, targets=targets).collect():
+        assert abs(r.residual) < 1e-5 * total and abs(r.wanted / total - wanted[r.margin][r.value]) < 1e-6
+    # Targets that contradict each other end after the last sweep.
+    odd = frame([(i, "w", "ab"[i % 2], "xy"[i % 2]) for i in range(10)], "doc_id long, text string, source string, lang string")
+    clash = {"source": frame([("a", 0.9), ("b", 0.1)], "value string, share double"), "lang": frame([("x", 0.1), ("y", 0.9)], "value string, share double")}
+    assert mixing.mixture(odd, margins=margins, targets=clash, sweeps=5).count() == 10
+    # Without a target, or with one of categories that do not occur, tokens stay as they are.
+    for target in ([], [(None, 1.0), ("z", 2.0)]):
+        same = mixing.mixture(odd, margins={"source": F.col("source")}, targets={"source": frame(target, "value string, share double")})
+        assert {r._share for r in same.collect()} == {1.0}
