@@ -14,7 +14,12 @@ output), spread evenly by a salt that no right-hand row carries.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from plumbrule.functions.storage import written
 
 HOT_KEYS = 1024
 _SALTS = 1 << 16
@@ -62,17 +67,39 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread_on: str,
 
 
 SMALL_ROWS = 100_000
+SMALL_BYTES = 32 << 20
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about."""
+    fixed, parts = 0, []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)))
+        else:
+            fixed += 8
+    return reduce(add, parts, F.lit(fixed)).cast("bigint")
+
+
+def measured(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """The frame, written so that it is computed once, and whether its rows and bytes are few enough for a broadcast."""
+    held = written(df)
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.sum(_width(held)).alias("b")).first()
+    return held, size["n"] <= max_rows and (size["b"] or 0) <= SMALL_BYTES
 
 
 def join_small(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
                max_rows: int = SMALL_ROWS) -> DataFrame:
     """Join a configuration-sized table that has one row per key.
 
-    Its size is checked first. Up to ``max_rows`` rows it is broadcast, so
-    frequent keys on the left never shuffle; a larger one goes through the
+    It is computed and its size is checked first. Up to ``max_rows`` rows and ``SMALL_BYTES`` it is
+    broadcast, so frequent keys on the left never shuffle; a larger one goes through the
     salted :func:`lookup`.
     """
-    if right.limit(max_rows + 1).count() <= max_rows:
+    right, small = measured(right, max_rows)
+    if small:
         return left.join(F.broadcast(right), keys, how)
     if how not in ("inner", "left"):
         raise ValueError("a large right side supports inner and left joins")
@@ -98,8 +125,8 @@ def keep_matching(df: DataFrame, refs: DataFrame, key: str, matching: bool = Tru
     A small set of references is broadcast after a size check, so the table
     does not shuffle; a larger one goes through the salted :func:`lookup`.
     """
-    wanted = refs.select(key).where(F.col(key).isNotNull()).distinct()
-    if wanted.limit(max_rows + 1).count() <= max_rows:
+    wanted, small = measured(refs.select(key).where(F.col(key).isNotNull()).distinct(), max_rows)
+    if small:
         return df.join(F.broadcast(wanted), key, "left_semi" if matching else "left_anti")
     marked = lookup(df.withColumn("_pos", _content(df)),
                     wanted.withColumn("_there", F.lit(True)), key, "_pos")

@@ -13,6 +13,10 @@ UNIT_SEPARATOR = "\x1f"
 NULL_SENTINEL = "\x00NULL\x00"
 ROW_INDEX_PREFIX = "ROWIDX:"
 
+#: Characters that would end a key part or make it look like NULL, as they stand inside a part of a reference.
+_ESCAPE = "\x1b"
+_ESCAPED = ((_ESCAPE, _ESCAPE + "e"), (UNIT_SEPARATOR, _ESCAPE + "u"), ("\x00", _ESCAPE + "0"))
+
 _EDGE_SPACE = r"^\s+|\s+$"
 
 
@@ -61,9 +65,18 @@ def exact_text(schema: T.StructType, names: Sequence[str]) -> Column:
     return F.concat_ws(UNIT_SEPARATOR, *[part(n) for n in names])
 
 
+def _key_part(schema: T.StructType, name: str) -> Column:
+    part = canonical_of(schema, name)
+    if not isinstance(schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        for plain, escaped in _ESCAPED:
+            part = F.replace(part, F.lit(plain), F.lit(escaped))
+    return F.coalesce(part, F.lit(NULL_SENTINEL))
+
+
 def record_ref(schema: T.StructType, key: KeySpec, row_index: Column | None = None) -> Column:
+    """The key parts as one text. Different keys have different references whatever characters they hold."""
     if key.is_reliable:
-        return joined_text(schema, key.columns)
+        return F.concat_ws(UNIT_SEPARATOR, *[_key_part(schema, n) for n in key.columns])
     if row_index is None:
         raise ValueError("a dataset without a key needs a row index column")
     return F.concat(F.lit(ROW_INDEX_PREFIX), row_index.cast("string"))
@@ -73,13 +86,15 @@ def key_parts(ref: Column, key: KeySpec) -> list[Column]:
     """Inverse of :func:`record_ref`: one text column per key part, NULL restored."""
     if not key.is_reliable:
         return []
-    if len(key.columns) == 1:
-        return [F.nullif(ref, F.lit(NULL_SENTINEL)).alias(key.columns[0])]
-    parts = F.split(ref, UNIT_SEPARATOR)
-    return [
-        F.nullif(F.get(parts, F.lit(i)), F.lit(NULL_SENTINEL)).alias(name)
-        for i, name in enumerate(key.columns)
-    ]
+    parts = [ref] if len(key.columns) == 1 else [F.get(F.split(ref, UNIT_SEPARATOR), F.lit(i)) for i in range(len(key.columns))]
+
+    def restored(part: Column) -> Column:
+        part = F.nullif(part, F.lit(NULL_SENTINEL))
+        for plain, escaped in reversed(_ESCAPED):
+            part = F.replace(part, F.lit(escaped), F.lit(plain))
+        return part
+
+    return [restored(p).alias(name) for p, name in zip(parts, key.columns, strict=True)]
 
 
 def row_hash(schema: T.StructType, names: Sequence[str] | None = None) -> Column:

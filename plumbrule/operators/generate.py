@@ -22,14 +22,19 @@ def create_issues(failures: DataFrame, runs: DataFrame, review_run_id: str, run_
     """One PENDING issue per failure of one completed run; none for a run that did not complete.
 
     Rows that agree in reference and content (full duplicates) are told apart by their position or, without
-    one, by an occurrence number, so an issue_id stands for one failure.
+    one, by an occurrence number, so an issue_id stands for one failure. Equal failures are counted, with map-side
+    combining, and numbered by spreading the count out again, so no task orders them.
     """
     completed = runs.where((F.col("run_id") == run_id) & (F.col("status") == "COMPLETED")).select("run_id").distinct()
     of_run = join_small(failures.where(F.col("run_id") == run_id), completed, ["run_id"])
     parts = ["run_id", "record_ref", "source_row_hash", "assignment_id", "row_index"]
-    same = W.partitionBy(*parts).orderBy("failed_value")
-    identity = F.concat_ws(text.UNIT_SEPARATOR, *parts, "_occurrence")
-    return of_run.withColumn("_occurrence", F.nullif(F.row_number().over(same), F.lit(1))).select(
+    equal = of_run.groupBy(*parts, "rule_type", "column_name", "failed_value", "severity").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per different failure of the same reference.
+    before = F.sum("_n").over(W.partitionBy(*parts).orderBy("failed_value", "rule_type", "column_name", "severity")) - F.col("_n")
+    numbered = equal.withColumn("_before", before).withColumn(
+        "_occurrence", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))))
+    identity = F.concat_ws(text.UNIT_SEPARATOR, *parts, F.nullif("_occurrence", F.lit(1)))
+    return numbered.select(
         F.sha2(identity, 256).alias("issue_id"), F.lit(review_run_id).alias("review_run_id"), "run_id",
         "record_ref", "row_index", "assignment_id", "rule_type", "column_name",
         F.col("failed_value").alias("original_value"), "severity", F.lit("PENDING").alias("status"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Mapping
+from typing import Collection, Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -79,11 +79,11 @@ def corrections_of_requests(corrections: DataFrame, issues: DataFrame, requests:
         F.col("request_id").isNotNull()).select("issue_id", "request_id")
 
 
-def backfill(tables: Mapping[str, DataFrame], unique: bool = True) -> DataFrame:
+def backfill(tables: Mapping[str, DataFrame], repeating: Collection[str] = ()) -> DataFrame:
     """All edges of the nine touch points, rebuilt from the base tables.
 
-    Each touch point gives edges of its own types, so an edge can repeat only where a table repeats its id.
-    Ids are primary keys of the base tables; where they are not, ``unique=False`` removes repeated edges.
+    Each touch point gives edges of its own types, so an edge can repeat only where a table repeats its id. Ids are
+    primary keys of the base tables; the edges of those named as ``repeating`` are deduplicated, and no others.
 
     ``tables``: connections, schemas, datasets, columns, profile_runs,
     validation_runs, review_runs, issues, corrections, approval_requests,
@@ -102,15 +102,18 @@ def backfill(tables: Mapping[str, DataFrame], unique: bool = True) -> DataFrame:
         ("corrections", "ISSUE", "issue_id", "CORRECTION", "issue_id", "CORRECTED_BY"),
         ("publish_runs", "STAGING_RUN", "staging_run_id", "PUBLISH_RUN", "publish_run_id", "PUBLISHED_TO"),
     )
-    found = [edges(tables[t], p, pid, c, cid, rel) for t, p, pid, c, cid, rel in plain if t in tables]
+    def once(made: DataFrame, *sources: str) -> DataFrame:
+        return made.dropDuplicates(["parent_id", "child_id"]) if set(sources) & set(repeating) else made
+
+    found = [once(edges(tables[t], p, pid, c, cid, rel), t) for t, p, pid, c, cid, rel in plain if t in tables]
     if {"corrections", "issues", "approval_requests"} <= set(tables):
         pairs = corrections_of_requests(tables["corrections"], tables["issues"], tables["approval_requests"])
-        found.append(edges(pairs, "CORRECTION", "issue_id", "APPROVAL_REQUEST", "request_id", "APPROVED_BY"))
+        found.append(once(edges(pairs, "CORRECTION", "issue_id", "APPROVAL_REQUEST", "request_id", "APPROVED_BY"), "corrections", "issues"))
     if {"staging_runs", "approval_requests"} <= set(tables):
         staged = approvals_of_staging(tables["staging_runs"], tables["approval_requests"]).where(
             F.col("request_id").isNotNull())
-        found.append(edges(staged, "APPROVAL_REQUEST", "request_id", "STAGING_RUN", "staging_run_id", "STAGED_INTO"))
+        found.append(once(edges(staged, "APPROVAL_REQUEST", "request_id", "STAGING_RUN", "staging_run_id", "STAGED_INTO"), "staging_runs"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out if unique else out.dropDuplicates(list(EDGE))
+    return out

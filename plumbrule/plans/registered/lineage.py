@@ -108,4 +108,5 @@ def backfilled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("run_id").alias("staging_run_id"), F.col("dataset_id").alias("review_run_id"), "created_at"),
         "publish_runs": all_runs.select(
             F.col("run_id").alias("staging_run_id"), F.col("dataset_id").alias("publish_run_id")),
-    })
+        # Some order lines share what stands for an issue's id.
+    }, repeating=("issues", "corrections"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
+from plumbrule.functions.grouping import keep_matching
 from plumbrule.functions.storage import cut_lineage
 from plumbrule.spec import KeySpec, SpecError
 
@@ -122,17 +124,18 @@ def sample_rows(df: DataFrame, size: int, row_count: int, by: Sequence[str], see
 def fetch_by_keys(df: DataFrame, keys: DataFrame, key: KeySpec, null_safe: bool = True) -> DataFrame:
     """Rows of ``df`` whose key is in ``keys`` (text key columns of the same names).
 
-    The keys are cast to the table's types, never the table to text, so
-    statistics and pushdown on the key columns keep working. Spark picks a
-    broadcast when the keys are small enough.
+    The keys are cast to the table's types, never the table to text. Key values are compared as one
+    struct, in which NULL equals NULL, so rows with a NULL part are spread like those of any frequent key. Few keys
+    are broadcast after a size check; many are looked up.
     """
-    typed = keys.select(*[
-        F.col(c).try_cast(df.schema[c].dataType).alias(f"_key_{c}") for c in key.columns]).distinct()
-    condition = F.lit(True)
-    for c in key.columns:
-        left, right = F.col(c), F.col(f"_key_{c}")
-        condition = condition & (left.eqNullSafe(right) if null_safe else (left == right))
-    return df.join(typed, condition, "left_semi")
+    casts = {c: F.col(c).try_cast(df.schema[c].dataType) for c in key.columns}
+    # Text that is no value of the column's type is no NULL either: it matches nothing.
+    fits = reduce(lambda a, b: a & b, [F.col(c).isNull() | v.isNotNull() for c, v in casts.items()])
+    wanted = keys.where(fits).select(*[v.alias(c) for c, v in casts.items()])
+    if not null_safe:
+        wanted = wanted.dropna()
+    whole = F.struct(*key.columns)
+    return keep_matching(df.withColumn("_key", whole), wanted.select(whole.alias("_key")), "_key").drop("_key")
 
 
 @dataclass(frozen=True)

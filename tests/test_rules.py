@@ -186,3 +186,32 @@ def test_a_sample_is_refused_where_rows_are_compared(spark):
     with pytest.raises(SpecError):
         validate(df, [RuleSpec("r", "UNIQUENESS", ("id",))], KeySpec(("id",)), is_full_scan=False)
     assert validate(df, [RuleSpec("r", "RANGE", ("id",), {"min": 5})], KeySpec(("id",)), is_full_scan=False).failures().count() == 2
+
+
+def test_references_cannot_be_confused(spark):
+    """Separators, escapes and the word for NULL inside key parts stay what they are, there and back."""
+    odd = ["a\x1fb", "c", "a", "b\x1fc", "\x00NULL\x00", None, "\x1b", "\x1bu", "\x1be", "e", "\x1f", "\x00", "", "\x1b\x1f0"]
+    df = spark.createDataFrame([(x, y) for x in odd for y in odd], "x string, y string")
+    key = KeySpec(("x", "y"))
+    refs = df.select("x", "y", text.record_ref(df.schema, key).alias("ref"))
+    assert refs.select("ref").distinct().count() == len(odd) ** 2
+    back = [p.alias(f"_{n}") for p, n in zip(text.key_parts(F.col("ref"), key), key.columns)]
+    assert refs.select("x", "y", *back).where("x <=> _x AND y <=> _y").count() == len(odd) ** 2
+    one = KeySpec(("x",))
+    single = df.select("x", text.record_ref(df.schema, one).alias("ref")).distinct()
+    assert single.count() == len(odd) and single.select("x", text.key_parts(F.col("ref"), one)[0].alias("_x")).where("x <=> _x").count() == len(odd)
+
+
+def test_rows_by_keys_with_null_parts(spark):
+    from plumbrule.functions import grouping
+    from plumbrule.sources.tables import fetch_by_keys
+
+    df = spark.createDataFrame([(i, i % 3 or None, "k" if i % 2 else None) for i in range(60)], "id int, a int, b string")
+    keys = spark.createDataFrame([("1", "k"), (None, None), ("2", "no"), ("x", "k")], "a string, b string")
+    want = {i for i in range(60) if (i % 3 == 1 and i % 2) or (i % 3 == 0 and not i % 2)}
+    for limit in (0, 100_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(grouping, "SMALL_BYTES", limit)
+            assert {r["id"] for r in fetch_by_keys(df, keys, KeySpec(("a", "b"))).collect()} == want
+            assert {r["id"] for r in fetch_by_keys(df, keys, KeySpec(("a", "b")), null_safe=False).collect()} == {
+                i for i in range(60) if i % 3 == 1 and i % 2}
