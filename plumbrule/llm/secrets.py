@@ -5,7 +5,8 @@ expression is tried only where a keyword stands, anchored there. Runs of hex
 digits have no keyword: a byte table maps hex digits to one value and a plain
 substring search finds 32 of them. Tokens that carry a checksum (access tokens
 that end in the base-62 CRC-32 of their body, card numbers with a Luhn digit)
-count only if it is right.
+count only if it is right. A card number has 16 digits in fours, or 15 as 4-6-5 after 34 or 37, with blanks, hyphens or
+nothing between, and stands within ``CARD_REACH`` characters before or after a keyword; farther off it is not found.
 
 Kinds, in the order in which they are listed at equal starts: assign, access,
 hex (the base kinds) and then token and card. Spans are code points, end exclusive. Within a
@@ -41,10 +42,12 @@ _ASSIGN = re.compile(
     re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _TOKEN = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_CARD = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
-_CARD_NEAR = tuple("card ccnum visa mastercard cc:".split())
-#: A card number starts at most so many characters after its keyword.
+_CARD = re.compile(
+    r"(?<![0-9])(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9])")
+_CARD_NEAR = ("card", "ccnum", "visa", "cc:", "amex", "american express", "credit", "debit", "discover", "maestro", "pan ", "pan:")
+#: At most so many characters stand between a card number and its keyword.
 CARD_REACH = 40
+_CARD_SIZE = 19
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _HEX_MARK = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
@@ -93,21 +96,34 @@ def _hex_spans(text: str) -> list[Span]:
     return out
 
 
+def _card_spans(text: str, near: list[tuple[int, int]]) -> list[Span]:
+    """Card numbers on either side of the keywords ``near``, which are sorted."""
+    out: list[Span] = []
+    done = 0
+    for start, end in near:
+        # One character more, so that a longer run of digits is seen to go on.
+        for m in _CARD.finditer(text, max(done, start - CARD_REACH - _CARD_SIZE), end + CARD_REACH + _CARD_SIZE + 1):
+            if m.start() > end + CARD_REACH:
+                break
+            if m.end() < start - CARD_REACH:
+                continue
+            done = m.end()
+            if luhn(re.sub("[ -]", "", m[0])):
+                out.append((m.start(), 4, m.end()))
+    return out
+
+
 def spans(text: str, words) -> list[Span]:
     """(start, kind number, end) of all secrets, sorted."""
     out = _hex_spans(text)
     done = [0] * len(KINDS)
+    near: list[tuple[int, int]] = []
     # Only ASCII letters are lowered, so positions stay.
     low = text.lower() if text.isascii() else text.encode().lower().decode()
     for last, (kind, size) in words.iter(low):
         start = last - size + 1
         if kind == 4:
-            for m in _CARD.finditer(text, max(start, done[4]), last + 1 + CARD_REACH + 19):
-                if m.start() > last + CARD_REACH:
-                    break
-                done[4] = m.end()
-                if luhn(re.sub("[ -]", "", m[0])):
-                    out.append((m.start(), 4, m.end()))
+            near.append((start, last + 1))
             continue
         if start < done[kind]:
             continue
@@ -120,7 +136,7 @@ def spans(text: str, words) -> list[Span]:
         if kind == 3 and base62_crc(m[1]) != m[2]:
             continue
         out.append((start, kind, m.end()))
-    return sorted(out)
+    return sorted(out + _card_spans(text, sorted(near)))
 
 
 def written(found: list[Span]) -> str:

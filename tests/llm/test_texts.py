@@ -144,6 +144,21 @@ def test_mixture(spark, frame):
     assert {r.doc_id for r in again.where("_kept").collect()} == {r.doc_id for r in got.where("_kept").collect()}
 
 
+@pytest.mark.parametrize("text, found", [
+    ("4111 1111 1111 1111 (Visa)", ["card:0:19"]), ("card 3782 822463 10005", ["card:5:22"]), ("amex: 378282246310005.", ["card:6:21"]),
+    ("378282246310005 was my Amex", ["card:0:15"]), ("Credit 4111-1111-1111-1111", ["card:7:26"]), ("4111 1111 1111 1112 visa", []),
+    ("41111111111111111 visa", []), ("visa " + "x" * 38 + " 4111111111111111", ["card:44:60"]), ("visa " + "x" * 39 + " 4111111111111111", []),
+    ("4111111111111111 " + "x" * 39 + "visa", ["card:0:16"]), ("4111111111111111 " + "x" * 40 + "visa", []),
+    ("visa 4111111111111111 mastercard 5555 5555 5555 4444", ["card:5:21", "card:33:52"]), ("no word 4111111111111111", []),
+    ("é visa 3714 496353 98431", ["card:7:24"])])
+def test_cards_on_both_sides_of_a_keyword(text, found):
+    assert secrets.written(secrets.spans(text, secrets.automaton())).split(",") == (found or [""])
+
+
+def test_no_documents_hold_no_secrets(frame):
+    assert secrets.secret_scan(frame([], "doc_id long, text string")).collect() == []
+
+
 def test_common_licenses_are_known(spark, frame):
     path = f"{os.path.dirname(licenses.__file__)}/license_texts"
     texts = {name[:-4]: open(f"{path}/{name}", encoding="utf-8").read() for name in os.listdir(path)}
