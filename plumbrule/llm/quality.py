@@ -9,8 +9,8 @@ probability that the label is 1.
 
 The model is fitted on a bounded sample: per label the ``DICTIONARY_ROWS`` rows
 with the smallest hash of their id make the dictionary, the next
-``CALIBRATION_ROWS`` the curve, each cut after ``SAMPLE_CHARS`` characters in the
-sample only. Scores use whole texts, in blocks of ``BLOCK_BYTES`` bytes.
+``CALIBRATION_ROWS`` the curve, as far as their whole texts hold ``SAMPLE_BYTES``. Scores use whole
+texts, in blocks of ``BLOCK_BYTES`` bytes.
 
 Defined results: a null or empty text scores as a text of no bytes (the curve at
 zero difference); a label that is null or repeated with another value is not
@@ -27,10 +27,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 DICTIONARY_ROWS, CALIBRATION_ROWS = 400, 2000
-SAMPLE_CHARS = 20_000
+#: Text of the fitted rows of one label, which the driver holds; rows beyond are not fitted on, texts are never cut.
+SAMPLE_BYTES = 32 << 20
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 2 << 10
 THRESHOLD = 0.7
@@ -127,10 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = agreed.where(F.col("_y") == y).orderBy(rank, "_id").limit(n)
         chosen = some if chosen is None else chosen.unionByName(some)
     # At most 2n narrow rows: a bounded broadcast.
+    held = F.sum(F.octet_length("_text")).over(W.partitionBy("_y").orderBy(rank, "_id"))
     sample = (
-        docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(text_col, F.lit("")), 1, SAMPLE_CHARS).alias("_text"))
+        docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
         .join(F.broadcast(chosen), "_id")
-        .groupBy("_id", "_y").agg(F.min("_text").alias("_text")).orderBy(rank, "_id").collect())
+        .groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+        .withColumn("_held", held).where(F.col("_held") <= SAMPLE_BYTES).orderBy(rank, "_id").collect())
     by = {y: [r["_text"] for r in sample if r["_y"] == y] for y in (0, 1)}
     cut = {y: min(DICTIONARY_ROWS, (len(t) + 1) // 3) for y, t in by.items()}
     prior = (len(by[1]) + 1) / (len(by[0]) + len(by[1]) + 2)
