@@ -196,6 +196,65 @@ def materialize(df: DataFrame, key: KeySpec, corrections: DataFrame, path: str)
     return written
 
 
+@dataclass(frozen=True)
+class Copy:
+    """A corrected copy of a Parquet table: files that were rewritten, and those that are taken over as they are."""
+
+    path: str
+    rewritten: int
+    taken_over: int
+    rows: int
+
+
+_MANIFEST = "_taken_over"
+
+
+def copy_on_write(spark: SparkSession, source: str, key: KeySpec, corrections: DataFrame, path: str) -> Copy:
+    """The corrected copy of a Parquet table at ``path``, in which only files that hold a corrected key are rewritten.
+
+    The others are named in a manifest beside the rewritten ones and must stay where they are; :func:`read_copy` reads both. Like
+    :func:`materialize` it refuses uncoercible text first, and the copy becomes visible at once, after its rows are counted.
+    """
+    whole = spark.read.parquet(source)
+    bad = uncoercible(corrections, whole.schema).limit(5).collect()
+    if bad:
+        raise StagingError("; ".join(f"{r['column_name']}: {r['final_value']!r} does not fit" for r in bad))
+    # Only the key columns and the file's name are read to find the files; one row per file comes to the driver.
+    held = whole.select(*key.columns, F.col("_metadata.file_path").alias("_file"))
+    files = {r["_file"]: r["n"] for r in held.groupBy("_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    touched = set()
+    if key.is_reliable:
+        keyed = held.select(text.record_ref(held.schema, key).alias("record_ref"), "_file")
+        touched = {r["_file"] for r in keep_matching(keyed, corrections, "record_ref").select("_file").distinct().collect()}
+    pending = f"{path.rstrip('/')}__pending-{uuid.uuid4().hex}"
+    try:
+        # The schema of the whole table: files may lack columns that others have.
+        part = spark.read.schema(whole.schema).parquet(*sorted(touched)) if touched else whole.limit(0)
+        overlay(part, key, corrections).write.parquet(f"{pending}/rewritten")
+        kept = sorted(set(files) - touched)
+        spark.createDataFrame([(f,) for f in kept], "file string").coalesce(1).write.parquet(f"{pending}/{_MANIFEST}")
+        rows = spark.read.parquet(f"{pending}/rewritten").count() + sum(files[f] for f in kept)
+        if rows != sum(files.values()):
+            raise StagingError(f"copied {rows} of {sum(files.values())} rows")
+        swap(spark, pending, path)
+    except BaseException:
+        delete_path(spark, pending)
+        raise
+    return Copy(path, len(touched), len(kept), rows)
+
+
+def read_copy(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a copy on write, in staging types."""
+    rewritten = spark.read.parquet(f"{path}/rewritten")
+    kept = [r["file"] for r in spark.read.parquet(f"{path}/{_MANIFEST}").collect()]
+    if not kept:
+        return rewritten
+    taken = spark.read.parquet(*kept)
+    return rewritten.unionByName(taken.select(*[
+        F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in taken.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in rewritten.schema.fields]))
+
+
 def split_changed(staged: DataFrame, key: KeySpec, corrections: DataFrame, changed: bool) -> DataFrame:
     """Rows of the staged copy that were (or were not) corrected.
 

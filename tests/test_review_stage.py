@@ -225,3 +225,22 @@ def test_destination_metadata(spark):
     df = spark.createDataFrame([], "i int, d decimal(10,2), f float, b boolean, t timestamp, s string")
     got = {r["column_name"]: r["staging_type"] for r in stage.destination_metadata(df).collect()}
     assert got == {"i": "bigint", "d": "decimal(10,2)", "f": "double", "b": "boolean", "t": "timestamp_ntz", "s": "string"}
+
+
+def test_copy_on_write(spark, tmp_path):
+    """Files without a corrected key stay as they are; the rest is rewritten, and nothing is left of a failing copy."""
+    source, target = str(tmp_path / "s"), str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, f"n{i}", float(i)) for i in range(40)], "id int, name string, v float")
+    rows.repartitionByRange(4, "id").write.parquet(source)
+    fixes = spark.createDataFrame([("3", "name", "three"), ("4", "v", "0.5"), ("99", "name", "none")], "record_ref string, column_name string, final_value string")
+    made = stage.copy_on_write(spark, source, KeySpec(("id",)), fixes, target)
+    assert (made.rewritten, made.taken_over, made.rows) == (1, 3, 40)
+    got = {r["id"]: (r["name"], r["v"]) for r in stage.read_copy(spark, target).collect()}
+    assert got == {i: ("three" if i == 3 else f"n{i}", 0.5 if i == 4 else float(i)) for i in range(40)}
+    assert stage.read_copy(spark, target).dtypes == [("id", "bigint"), ("name", "string"), ("v", "double")]
+    bad = fixes.withColumn("final_value", F.lit("x"))
+    with pytest.raises(stage.StagingError):
+        stage.copy_on_write(spark, source, KeySpec(("id",)), bad, target)
+    assert stage.read_copy(spark, target).count() == 40 and [p.name for p in tmp_path.iterdir() if "pending" in p.name] == []
+    again = stage.copy_on_write(spark, source, KeySpec(("id",)), fixes.limit(0), target)
+    assert (again.rewritten, again.taken_over) == (0, 4) and stage.read_copy(spark, target).where("name = 'three'").count() == 0
