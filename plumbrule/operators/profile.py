@@ -48,7 +48,7 @@ PROFILE_COLUMNS = (
 #: Grouping columns of the frequency table besides the column's position; a value fills one of the first three, or
 #: the last two, and NULL none.
 _WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_KEYS = {"whole": "bigint", "num": "double", "at": "timestamp_ntz", "head": "string", "digest": "binary"}
+_KEYS = {"whole": "bigint", "num": "double", "at": "timestamp_ntz", "head": "string", "digest": "string"}
 
 
 def _key_parts(schema: T.StructType, name: str) -> dict[str, Column]:
@@ -69,7 +69,7 @@ def _key_parts(schema: T.StructType, name: str) -> dict[str, Column]:
         return {"at": c}
     v = canonical_of(schema, name)
     return {"head": F.substring(v, 1, MAX_TOP_VALUE_LENGTH),
-            "digest": F.when(F.length(v) > MAX_TOP_VALUE_LENGTH, F.unhex(F.md5(v)))}
+            "digest": F.when(F.length(v) > MAX_TOP_VALUE_LENGTH, F.md5(v))}
 
 
 def _shown(schema: T.StructType, name: str) -> Column:
