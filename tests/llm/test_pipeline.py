@@ -22,7 +22,7 @@ def test_against_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries.registry.queries}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in queries.registry.queries}
     assert "pipeline" in entry.queries() and set(queries.registry.sql) <= set(entry.oracle_sql())
 
 
