@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbrule.functions import text
@@ -150,9 +148,3 @@ def duplicate_peers(failures: DataFrame, limit: int) -> DataFrame:
 def issue_summaries(issues: DataFrame) -> DataFrame:
     """Severity, status and column of every issue of a review; no values."""
     return issues.select("issue_id", "review_run_id", "severity", "status", "column_name")
-
-
-def evidence_columns(columns: Sequence[str], target: str) -> list[str]:
-    """Every other text column, each tried alone as a template source."""
-    return [c for c in columns if c != target]
-

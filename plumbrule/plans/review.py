@@ -16,7 +16,7 @@ from plumbrule.operators.evidence.progression import column_values
 from plumbrule.operators.evidence.relationship import relationship_evidence
 from plumbrule.operators.evidence.roles import applicable_strategies, column_roles
 from plumbrule.operators.evidence.sequence import sequence_evidence
-from plumbrule.operators.evidence.template import template_evidence, training_rows
+from plumbrule.operators.evidence.template import closed_targets, template_evidence_for_columns
 from plumbrule.operators.evidence.temporal import temporal_evidence
 from plumbrule.operators.validate import Validation
 from plumbrule.spec import KeySpec, RuleSpec, TEXT_TYPES, normalized_type
@@ -92,13 +92,13 @@ def gather_evidence(df: DataFrame, key: KeySpec, issues: DataFrame, profiles: Da
             [c for c, r in roles.items() if r == "DIMENSION"], [c for c, r in roles.items() if r == "MEASURE"])
         found.append(rank.relationship_candidates(verdicts))
     words = [f.name for f in df.schema.fields if normalized_type(f.dataType) in TEXT_TYPES]
-    for target in sorted(columns.get("TEMPLATE", [])):
-        sources = [w for w in words if w != target]
-        if not sources:
-            continue
-        rows = usable.where((F.col("column_name") == target) & F.array_contains(kinds, "TEMPLATE"))
-        clean = training_rows(df, text.record_ref(df.schema, key), issues, target)
-        verdicts = template_evidence(clean, rows.select("issue_id", "row.*"), target, sources)
+    targets = {t: [w for w in words if w != t] for t in sorted(columns.get("TEMPLATE", []))}
+    targets = {t: sources for t, sources in targets.items() if sources}
+    if targets:
+        rows = usable.where(F.col("column_name").isin(*targets) & F.array_contains(kinds, "TEMPLATE"))
+        training = closed_targets(df, text.record_ref(df.schema, key), issues, targets)
+        verdicts = template_evidence_for_columns(
+            training, rows.select("issue_id", F.col("column_name").alias("_column"), "row.*"), targets, "_closed")
         found.append(rank.template_candidates(verdicts))
     if not found:
         empty = typed.select("issue_id").where(F.lit(False))

@@ -5,7 +5,8 @@ from plumbrule.functions import text
 from plumbrule.operators.evidence import gate, rank
 from plumbrule.operators.evidence.relationship import relationship_evidence
 from plumbrule.operators.evidence.sequence import sequence_evidence
-from plumbrule.operators.evidence.template import learn_templates, template_evidence, training_rows
+from plumbrule.operators.evidence.template import (
+    closed_targets, learn_templates, template_evidence, template_evidence_for_columns, training_rows)
 from plumbrule.operators.evidence.temporal import temporal_evidence
 from plumbrule.spec import KeySpec
 
@@ -231,6 +232,29 @@ def test_template_from_two_columns_and_training_rows(spark):
     assert learned[0]["templates"][0]["delimiter"] == "-" and learned[1]["learned"] == "AMBIGUOUS"
 
 
+def test_templates_of_all_columns_agree_with_one_at_a_time(spark):
+    """Twelve text columns make more pairs than one aggregate holds; issues on one target still teach the others."""
+    names = [f"c{k}" for k in range(12)]
+    people = [("Arun Kumar", "Arun"), ("Priya Raj", "Priya"), ("Vijay Rao", "Vijay"), ("Anu Nair", "Anu"), ("Mia Roy", "x")]
+    rows = [(i, name, first.lower() + "@a.org", name.replace(" ", "-").upper(), *[f"{k}:{first}" if i % (k + 2) else None for k in range(9)])
+            for i, (name, first) in enumerate(people)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} string" for n in names))
+    issues = spark.createDataFrame(
+        [("4", "c1", "a"), ("4", "c3", "b"), ("0", "c2", "c"), ("0", "c5", "d"), (None, "c1", "e")],
+        "record_ref string, column_name string, issue_id string")
+    ref = text.record_ref(df.schema, KeySpec(("id",)))
+    targets = {t: [n for n in names if n != t] for t in ("c1", "c2", "c3", "c5")}
+    failing = issues.join(df.withColumn("record_ref", ref), "record_ref").withColumnRenamed("column_name", "_column")
+    order = ["issue_id", "target_column", "source_column"]
+    got = template_evidence_for_columns(closed_targets(df, ref, issues, targets), failing, targets, "_closed").orderBy(*order).collect()
+    alone = []
+    for target, sources in targets.items():
+        mine = failing.where(failing["_column"] == target)
+        alone += template_evidence(training_rows(df, ref, issues, target), mine, target, sources).collect()
+    assert got == sorted(alone, key=lambda r: [r[c] for c in order]) and len(got) == 44
+    assert ("c", "c0", "ARUN-KUMAR") in {(r["issue_id"], r["source_column"], r["candidate_value"]) for r in got}
+
+
 def ranked(spark, *rows):
     df = spark.createDataFrame([("i", v, s, c, 3, 0) for v, s, c in rows],
                                "issue_id string, value string, strategy string, confidence double, supporting_count long, contradicting_count long")
