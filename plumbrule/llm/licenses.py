@@ -7,9 +7,9 @@ known licence texts, which are brought into the same form by the same expression
 lines are looked up likewise among the digests of known licence notices. Both tables are in
 ``known_licenses``; a licence, wording or text outside them is not found.
 
-Everything is DataFrame expressions. The table of texts has one row per entry and is
-broadcast after a check of their size (``KNOWN_ROWS``); a larger one is joined by a
-shuffle.
+Everything is DataFrame expressions. The tables of texts and of notices have one row per
+digest and are broadcast after a check of their size (``KNOWN_ROWS``); a larger table is
+joined by a shuffle.
 
 Defined results: a null text counts as empty; the empty form matches nothing; repeated
 rows are looked up each; a digest that several known entries share gives the
@@ -111,17 +111,23 @@ def license_scan(docs: DataFrame, texts: DataFrame, notices: tuple[tuple[str, st
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, digest, license (of the whole text), notices (of its lines, sorted, comma-joined): one row per row.
 
-    ``texts`` holds (digest, name) and is joined by digest; ``notices`` is a setting, (name, line) pairs, and
-    stands in the plan as a map from digests to names.
+    ``texts`` holds (digest, name); ``notices`` is a setting, (name, line) pairs. Both are joined by digest. Lines that
+    hold ``NOTICE_WORD`` become rows for it, and ids and digests alone are shuffled to put a text's notices together.
+    Rows that agree in id and text are counted and spread out again, so no row needs a number that a retry could change.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    # Digests and names hold neither delimiter, and the map is folded to one literal.
-    pairs = ",".join(f"{r.digest}:{r.name}" for r in known(docs.sparkSession, notices).orderBy("digest").collect())
-    names = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(f"(?i){NOTICE_WORD}"))
-    found = F.filter(F.transform(lines, lambda line: F.element_at(names, digest(line))), lambda n: n.isNotNull())
-    marked = rows.select(
-        "_id", digest(F.col("_text")).alias("_digest"), F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("_notices"))
+    own = ["_id", "_same", "_digest"]
+    said = rows.select(
+        "_id", F.sha2("_text", 256).alias("_same"), digest(F.col("_text")).alias("_digest"), lines.alias("_lines")).select(
+        *own, F.posexplode_outer("_lines").alias("_at", "_line")).select(*own, "_at", digest(F.col("_line")).alias("_line"))
+    named = known(docs.sparkSession, notices).select(F.col("digest").alias("_line"), F.col("name").alias("_notice"))
+    named = F.broadcast(named) if len(notices) <= KNOWN_ROWS else named
+    # At most one entry per licence name and text.
+    marked = said.join(named, "_line", "left").groupBy(*own).agg(
+        F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("_rows"),
+        F.array_join(F.array_sort(F.collect_set("_notice")), ",").alias("_notices")).select(
+        "_id", "_digest", "_notices", F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_copy"))
     whole = texts.select(F.col("digest").alias("_digest"), F.col("name").alias("_license"))
     return marked.join(_small(whole), "_digest", "left").select(
         F.col("_id").alias(id_col), F.col("_digest").alias("digest"), F.col("_license").alias("license"),
