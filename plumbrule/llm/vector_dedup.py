@@ -2,9 +2,11 @@
 
 On a bounded sample (``SAMPLE_ROWS`` distinct vectors with the smallest digests)
 rotations are learned under which the vectors' signs lose little and so balance over
-them. Vectors are not centred: a shared direction would vanish and leave noise, and near
-vectors of a dense collection would be missed; so a bit differs about as often as the
-angle says, whatever the collection. The bits of a vector's code are dealt to tables; two vectors meet in a
+them. Where the collection shares a direction, most signs of plain vectors are the same
+and buckets are large; signs of centred vectors balance, but differ more often between
+near vectors, which takes more tables. Both are measured on the sample, with partners made
+exactly at the threshold, and centred codes are taken where they save half of the
+comparisons or more (:func:`coded_by`). Either way the same vectors are compared whole. The bits of a vector's code are dealt to tables; two vectors meet in a
 table when they agree in all of its bits (multi-index search: codes that differ in
 fewer places than there are tables agree in one). The number of bits per table grows
 with the logarithm of the number of vectors, so that buckets stay small, and the
@@ -48,6 +50,8 @@ BIT_DIFFERS = 0.12
 #: Vectors per bucket for which the number of bits is chosen.
 BUCKET_ROWS = 16
 _ROUNDS = 30
+#: Tables whose bits are measured, and the most tables that centred codes may take.
+_MEASURED, MOST_TABLES = 8, 128
 
 
 def tables_for(n: int, missed: float = MISSED, differs: float = BIT_DIFFERS) -> tuple[int, int]:
@@ -72,9 +76,51 @@ def learn(sample: np.ndarray, bits: int, seed: int = 7) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def keys_of(unit: np.ndarray, projection: np.ndarray, tables: int, bits: int) -> np.ndarray:
+def _differing(sample: np.ndarray, centre: np.ndarray, projection: np.ndarray, cosine: float, seed: int = 11) -> np.ndarray:
+    """For each vector, the share of bits in which a vector at the threshold differs, off towards others of the sample."""
+    away = sample[np.random.default_rng(seed).permutation(len(sample))] - sample.mean(axis=0)
+    away -= (away * sample).sum(axis=1, keepdims=True) * sample
+    away /= np.maximum(np.sqrt((away * away).sum(axis=1, keepdims=True)), np.finfo(np.float64).tiny)
+    partner = cosine * sample + math.sqrt(1 - cosine * cosine) * away
+    return (((sample - centre) @ projection >= 0) != ((partner - centre) @ projection >= 0)).mean(axis=1)
+
+
+def _compared_share(keys: np.ndarray) -> float:
+    """Share of all pairs that meet in a table, averaged over the tables."""
+    n = len(keys)
+    counts = [np.unique(keys[:, t], return_counts=True)[1].astype(np.float64) for t in range(keys.shape[1])]
+    return float(np.mean([(c * (c - 1)).sum() / (n * (n - 1)) for c in counts]))
+
+
+def coded_by(sample: np.ndarray, n: int, cosine: float = COSINE) -> tuple[np.ndarray, int, int]:
+    """(centre, tables, bits per table) for ``n`` vectors like those of the sample; a centre of zeros is none."""
+    origin = np.zeros(sample.shape[1])
+    tables, bits = tables_for(n)
+    if len(sample) < 2 or not -1 < cosine < 1:
+        return origin, tables, bits
+    centre = sample.mean(axis=0)
+    plain = learn(sample, _MEASURED * bits)
+    centred = learn(sample - centre, _MEASURED * bits)
+    same = 1 - _differing(sample, centre, centred, cosine)
+
+    def needed(bits: int) -> int | None:
+        return next((t for t in range(1, MOST_TABLES + 1) if ((1 - same ** bits) ** t).mean() <= MISSED), None)
+
+    def work(tables: int, bits: int, projection: np.ndarray, centre: np.ndarray) -> float:
+        used = projection[:, :_MEASURED * bits]
+        share = _compared_share(keys_of(sample, used, centre @ used, _MEASURED, bits))
+        return tables * (share * n + BUCKET_ROWS)
+
+    # The longest key that few enough tables can serve.
+    fewer, more = next(((b, t) for b in range(bits, 0, -1) if (t := needed(b))), (bits, None))
+    if more and 2 * work(more, fewer, centred, centre) <= work(tables, bits, plain, origin):
+        return centre, more, fewer
+    return origin, tables, bits
+
+
+def keys_of(unit: np.ndarray, projection: np.ndarray, offsets: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """Rows x tables: the bits of each table as one number."""
-    signs = (unit @ projection >= 0).reshape(len(unit), tables, bits)
+    signs = (unit @ projection >= offsets).reshape(len(unit), tables, bits)
     return (signs.astype(np.int64) << np.arange(bits)).sum(axis=2)
 
 
@@ -133,7 +179,7 @@ def _compared(unit: np.ndarray, keys: np.ndarray, weight: np.ndarray, block: np.
     return count.astype(np.int64), label
 
 
-def _linker(dims: int, kind: type, projection: np.ndarray, tables: int, bits: int, cosine: float):
+def _linker(dims: int, kind: type, projection: np.ndarray, offsets: np.ndarray, tables: int, bits: int, cosine: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive ordered by group; a group may go on in the next batch."""
         rest: pa.Table | None = None
@@ -144,7 +190,7 @@ def _linker(dims: int, kind: type, projection: np.ndarray, tables: int, bits: in
             ids, weight = rows.column("_id").to_numpy(), rows.column("_n").to_numpy().astype(np.float64)
             table, block = rows.column("_table").to_numpy(), rows.column("_block").to_numpy()
             unit = _matrix(rows.column("_vector").combine_chunks(), dims, kind)
-            keys = keys_of(unit, projection, tables, bits)
+            keys = keys_of(unit, projection, offsets, tables, bits)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2:
                     continue
@@ -184,13 +230,15 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     classes = classes.withColumn("_key", F.conv(F.substring(F.hex("_digest"), 1, 16), 16, -10).cast("bigint"))
     size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("_vector")).alias("d")).first()
     dims = (size["d"] or kind().itemsize) // kind().itemsize
-    tables, bits = tables_and_bits or tables_for(size["n"])
-    sample = classes.orderBy("_digest").limit(SAMPLE_ROWS).select("_vector").collect()
-    projection = learn(_matrix(pa.array([bytes(r["_vector"]) for r in sample], pa.binary()), dims, kind), tables * bits)
+    drawn = classes.orderBy("_digest").limit(SAMPLE_ROWS).select("_vector").collect()
+    sample = _matrix(pa.array([bytes(r["_vector"]) for r in drawn], pa.binary()), dims, kind)
+    centre, tables, bits = (np.zeros(dims), *tables_and_bits) if tables_and_bits else coded_by(sample, size["n"], cosine)
+    projection = learn(sample - centre, tables * bits)
+    offsets = centre @ projection
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = keys_of(_matrix(batch.column(2), dims, kind), projection, tables, bits)
+            keys = keys_of(_matrix(batch.column(2), dims, kind), projection, offsets, tables, bits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(list(keys), pa.list_(pa.int64()))],
                 names=["_id", "_n", "_vector", "_keys"])
@@ -210,7 +258,7 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     found = cut_lineage(
         grouped.select("_group", "_table", "_block", "_id", "_n", "_vector")
         .repartition("_group").sortWithinPartitions("_group", "_block").mapInArrow(
-            _linker(dims, kind, projection, tables, bits, cosine), "a bigint, n bigint, b bigint"))
+            _linker(dims, kind, projection, offsets, tables, bits, cosine), "a bigint, n bigint, b bigint"))
     counted = found.groupBy("a").agg(F.sum("n").alias("_links"))
     known = components(found.select("a", "b"))
     placed = (

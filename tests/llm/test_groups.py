@@ -207,6 +207,32 @@ def test_vectors(frame):
     assert vector_dedup.vector_components(frame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_with_a_shared_direction(frame):
+    """Shifted by twice their spread: bits balance, few pairs are compared, and no less is found."""
+    rng = np.random.default_rng(5)
+    own = rng.standard_normal((1400, 32))
+    rows = own / np.linalg.norm(own, axis=1, keepdims=True) + 2 * np.eye(32)[3]
+    near = rows[:600] + rng.standard_normal((600, 32)) * rng.uniform(0.02, 0.14, (600, 1))
+    x = np.float32(np.concatenate([rows, near])).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre, tables, bits = vector_dedup.coded_by(unit, len(unit))
+    assert centre.any()
+    projection = vector_dedup.learn(unit - centre, tables * bits)
+    bit = unit @ projection >= centre @ projection
+    assert 0.35 < bit.mean(axis=0).min() and bit.mean(axis=0).max() < 0.65
+    keys = vector_dedup.keys_of(unit, projection, centre @ projection, tables, bits)
+    assert tables * vector_dedup._compared_share(keys) < 0.3
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(np.float32(x))]
+    got = {r.vec_id: r.n_links for r in vector_dedup.vector_components(frame(data, "vec_id long, embedding array<float>")).collect()}
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    links = np.array([got[i] for i in range(len(x))])
+    assert linked.sum() > 400 and (links <= linked.sum(axis=1)).all() and links.sum() >= 0.9 * linked.sum()
+    # Without a shared direction nothing is taken off, nor where all vectors are alike.
+    flat = own / np.linalg.norm(own, axis=1, keepdims=True)
+    assert not vector_dedup.coded_by(flat, len(flat))[0].any()
+
+
 def test_large_buckets_are_dealt_into_blocks(frame, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(9)
