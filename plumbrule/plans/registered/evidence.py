@@ -9,7 +9,7 @@ from plumbrule.operators.evidence import gate, rank
 from plumbrule.operators.evidence.relationship import relationship_evidence
 from plumbrule.operators.evidence.sequence import sequence_evidence
 from plumbrule.operators.evidence.template import template_evidence
-from plumbrule.operators.evidence.temporal import temporal_evidence
+from plumbrule.operators.evidence.temporal import parse_instants, temporal_evidence
 from plumbrule.plans.registered import Registry
 from plumbrule.plans.registered.data import FAILURES, failures, table
 from plumbrule.spec import KeySpec
@@ -266,6 +266,51 @@ def temporals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "supporting_count")
 
 
+_STAMPS = """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS VARCHAR)[1:10] AS t FROM orders"""
+
+
+def _stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates written as times: with one offset, with several, with and without one, and not in ISO form."""
+    day, odd = F.substring(F.col("o_orderdate").cast("string"), 1, 10), F.col("o_orderkey") % 2 == 1
+    forms = {
+        "one_offset": F.concat(day, F.lit("T10:30:15.25+05:30")),
+        "two_offsets": F.concat(day, F.when(odd, "T10:30:15Z").otherwise("T16:00:15+05:30")),
+        "same_offset": F.concat(day, F.when(odd, "T10:30:15Z").otherwise("T10:30:15-00:00")),
+        "with_and_without": F.concat(day, F.when(odd, "T10:30:15Z").otherwise("T10:30:15")),
+        "slashes": F.date_format(day.cast("date"), "dd/MM/yyyy")}
+    return table(spark, sf_dir, "orders").select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("column_name"), v.alias("value")) for n, v in forms.items()])))
+
+
+@registry.add("parsed_instants", f"""
+WITH days AS ({_STAMPS}),
+rows AS (SELECT 'one_offset' AS column_name, t || 'T10:30:15.25+05:30' AS value, d, '+05:30' AS zone, 37815250000 AS tod FROM days
+  UNION ALL SELECT 'two_offsets', t || CASE WHEN o_orderkey % 2 = 1 THEN 'T10:30:15Z' ELSE 'T16:00:15+05:30' END, d,
+    CASE WHEN o_orderkey % 2 = 1 THEN '+00:00' ELSE '+05:30' END, CASE WHEN o_orderkey % 2 = 1 THEN 37815000000 ELSE 57615000000 END FROM days
+  UNION ALL SELECT 'same_offset', t || CASE WHEN o_orderkey % 2 = 1 THEN 'T10:30:15Z' ELSE 'T10:30:15-00:00' END, d, '+00:00', 37815000000 FROM days
+  UNION ALL SELECT 'with_and_without', t || CASE WHEN o_orderkey % 2 = 1 THEN 'T10:30:15Z' ELSE 'T10:30:15' END, d,
+    CASE WHEN o_orderkey % 2 = 1 THEN '+00:00' ELSE '' END, 37815000000 FROM days
+  UNION ALL SELECT 'slashes', strftime(d, '%d/%m/%Y'), NULL, NULL, NULL FROM days)
+SELECT column_name, value, CASE WHEN d IS NOT NULL THEN false END AS is_date, zone,
+  CAST(date_diff('day', DATE '1970-01-01', d) * 86400000000 + tod AS BIGINT) AS micros, count(*) AS times
+FROM rows GROUP BY ALL""")
+def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _stamps(spark, sf_dir).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("times"))
+    return parse_instants(counted.withColumn("text", F.col("value"))).select(
+        "column_name", F.col("text").alias("value"), "is_date", "zone", "micros", "times")
+
+
+@registry.add("offset_evidence", """
+SELECT column_name, CASE column_name WHEN 'slashes' THEN 'INSUFFICIENT_GROUP' ELSE 'AMBIGUOUS' END AS status,
+  CAST(0 AS BIGINT) AS observed_values_count, CAST(NULL AS VARCHAR) AS candidate_value
+FROM (SELECT unnest(['two_offsets', 'with_and_without', 'slashes']) AS column_name) n
+WHERE (SELECT count(DISTINCT o_orderkey % 2) FROM orders) = 2""")
+def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that mix offsets are ambiguous and show no values; text that is not in ISO form counts for nothing."""
+    mixed = _stamps(spark, sf_dir).where(F.col("column_name").isin("two_offsets", "with_and_without", "slashes"))
+    return temporal_evidence(mixed).select("column_name", "status", "observed_values_count", "candidate_value")
+
+
 # --- templates -----------------------------------------------------------------
 
 
