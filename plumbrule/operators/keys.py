@@ -3,8 +3,8 @@
 Discovery walks the lattice of column combinations by width and reads the table a few times, however
 many combinations there are. One scan gives the NULL and distinct counts of single columns as sketches;
 a combination with a NULL part, or whose narrower parts cannot tell all rows apart, is out. One sketch each,
-again in one scan, bounds the rest of a width; only those that may be unique after that are counted exactly,
-all in one shuffle of hashed keys.
+again in one scan, bounds the rest of a width. Those that may be unique after that are searched for a repeated key in
+one hash slice of a large table, which rules out most; what is left is counted exactly, all in one shuffle of hashed keys.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from plumbrule.functions import text
-from plumbrule.functions.repeats import key_counts, key_hashes
+from plumbrule.functions.repeats import complete_counts, complete_hashes, complete_keys, key_hashes
 from plumbrule.spec import DATE, DATETIME, INTEGER, STRING, KeySpec, SpecError, normalized_of
 
 # Key search limits and verdicts.
@@ -32,61 +31,34 @@ SKETCH_SIZE, SKETCH_ERROR = 12, 0.016
 #: Sketches of one scan, 4 KB each.
 SKETCHES_PER_SCAN = 512
 EXACT, ESTIMATED = "EXACT", "ESTIMATED"
+#: Keys of which fewer than so many rows share one, on average, are not combined before a shuffle.
+MOSTLY_UNIQUE = 2
 
-# A grouping id is a 64-bit mask, one bit per column.
-_MAX_COLUMNS = 60
-
-
-def _batches(combos: Sequence[Sequence[str]]) -> list[list[tuple[str, ...]]]:
-    """Split combinations so that no batch uses more columns than a grouping id can hold."""
-    out: list[list[tuple[str, ...]]] = [[]]
-    used: set[str] = set()
-    for combo in combos:
-        if out[-1] and len(used | set(combo)) > _MAX_COLUMNS:
-            out.append([])
-            used = set()
-        used |= set(combo)
-        out[-1].append(tuple(combo))
-    return out
+#: A hash slice of the keys is searched for a repeated one first, one slice of at most so many, for every million rows one.
+MAX_SLICES, ROWS_PER_SLICE = 64, 1_000_000
 
 
 def combo_evidence(df: DataFrame, combos: Sequence[Sequence[str]], is_full_scan: bool = True) -> DataFrame:
-    """Uniqueness evidence for several column combinations in one pass.
+    """Uniqueness evidence for several column combinations: one scan, then one count of their hashed keys.
 
-    All combinations are grouping sets of one aggregation, combined before the
-    shuffle. Text columns are replaced by a digest once per row, so neither
-    hashing nor long text is repeated per combination.
+    The scan, done at once, counts complete keys and bounds the distinct ones by sketches. Combinations whose keys repeat
+    are combined before the shuffle, the others are not (see :func:`plumbrule.functions.repeats.complete_counts`).
     """
-    parts = [_grouped(df, batch, is_full_scan) for batch in _batches(combos)]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _grouped(df: DataFrame, combos: Sequence[tuple[str, ...]], is_full_scan: bool) -> DataFrame:
-    used = [c for c in df.columns if any(c in combo for combo in combos)]
-    bit = {c: 1 << (len(used) - 1 - i) for i, c in enumerate(used)}
-    gids = [sum(bit[c] for c in used if c not in combo) for combo in combos]
-    keys = df.select(*[text.key_digest(df.schema, [c]).alias(c) for c in used])
-    sizes = keys.groupingSets([[F.col(c) for c in combo] for combo in combos], *[F.col(c) for c in used]).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
-    incomplete = F.lit(False)
-    for c in used:
-        incomplete = incomplete | (F.col(c).isNull() & (F.col("gid").bitwiseAND(F.lit(bit[c])) == 0))
-    found = sizes.select("gid", "n", incomplete.alias("incomplete")).groupBy("gid").agg(
-        F.sum("n").alias("total_rows_evaluated"),
-        F.coalesce(F.sum(F.when(F.col("incomplete"), F.col("n"))), F.lit(0)).alias("null_key_rows"),
-        F.count_if(~F.col("incomplete")).alias("distinct_key_count"),
-        F.count_if(~F.col("incomplete") & (F.col("n") > 1)).alias("duplicate_key_groups"))
+    keys = dict(enumerate(tuple(c) for c in combos))
+    total, complete, distinct = _scanned(df, list(keys.values()))
+    many = {o: c for o, c in keys.items() if distinct[o] * MOSTLY_UNIQUE < complete[o]}
+    found = complete_counts(df, many, {o: c for o, c in keys.items() if o not in many}).groupBy("o").agg(
+        F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") > 1).alias("r"))
+    # One row per combination.
+    about = df.sparkSession.createDataFrame(
+        [(o, list(c), len(c), total, total - complete[o]) for o, c in keys.items() if total],
+        "o int, key_columns array<string>, width int, total_rows_evaluated bigint, null_key_rows bigint")
     has_null, has_repeat = F.col("null_key_rows") > 0, F.col("duplicate_key_groups") > 0
     reason = (F.when(has_null & has_repeat, "contains_null_values_and_duplicate_values")
               .when(has_null, "contains_null_values").when(has_repeat, "duplicate_values"))
-    at = F.array_position(F.array(*[F.lit(g).cast("bigint") for g in gids]), F.col("gid").cast("bigint")).cast("int") - 1
-    return found.select(
-        F.get(F.array(*[F.array(*[F.lit(x) for x in c]) for c in combos]), at).alias("key_columns"),
-        F.get(F.array(*[F.lit(len(c)) for c in combos]), at).alias("width"),
-        F.when(reason.isNull(), "CANDIDATE").otherwise("REJECTED").alias("status"), reason.alias("reason"),
+    return about.join(found, "o", "left").select(
+        "*", F.coalesce("d", F.lit(0)).alias("distinct_key_count"), F.coalesce("r", F.lit(0)).alias("duplicate_key_groups")).select(
+        "key_columns", "width", F.when(reason.isNull(), "CANDIDATE").otherwise("REJECTED").alias("status"), reason.alias("reason"),
         "total_rows_evaluated", "null_key_rows", "distinct_key_count", "duplicate_key_groups",
         F.when(reason.isNull(), F.lit(VERIFIED if is_full_scan else SAMPLED)).alias("verification_level"))
 
@@ -128,11 +100,34 @@ def _sketched(df: DataFrame, combos: Sequence[Sequence[str]]) -> list[int]:
     return out
 
 
-def _exact(df: DataFrame, combos: Sequence[tuple[str, ...]], total: int, nulls: dict[str, int]) -> dict[tuple[str, ...], tuple[int, int]]:
-    """(distinct keys, keys that repeat) of a few combinations, all counted in one shuffle."""
+def _scanned(df: DataFrame, combos: Sequence[Sequence[str]]) -> tuple[int, list[int], list[int]]:
+    """Rows, complete keys of each combination, and about how many of those are distinct."""
+    total, complete, distinct = 0, [], []
+    for k in range(0, len(combos), SKETCHES_PER_SCAN):
+        hashes = [complete_hashes(df.schema, c)[0] for c in combos[k:k + SKETCHES_PER_SCAN]]
+        row = df.agg(F.count(F.lit(1)), *[F.count(h) for h in hashes],
+                     *[F.hll_sketch_estimate(F.hll_sketch_agg(h, F.lit(SKETCH_SIZE))) for h in hashes]).first()
+        total = row[0]
+        complete += row[1:len(hashes) + 1]
+        distinct += row[len(hashes) + 1:]
+    return total, complete, distinct
+
+
+def _refuted(df: DataFrame, combos: Sequence[tuple[str, ...]], total: int) -> set[tuple[str, ...]]:
+    """Combinations of which some key repeats within one hash slice of the keys: all rows of a key fall into the same slice."""
+    slices = min(MAX_SLICES, total // ROWS_PER_SLICE)
+    if slices < 2 or not combos:
+        return set()
+    held = complete_keys(df, dict(enumerate(combos))).where(F.pmod("k1", F.lit(slices)) == 0)
+    found = held.groupBy("o", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("o").distinct()
+    return {combos[r["o"]] for r in found.collect()}
+
+
+def _exact(df: DataFrame, combos: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], tuple[int, int]]:
+    """(distinct keys, keys that repeat) of combinations whose keys hardly repeat, all counted in one shuffle."""
     if not combos:
         return {}
-    counted = key_counts(df, dict(enumerate(combos))).where(F.col("k1").isNotNull()).groupBy("o").agg(
+    counted = complete_counts(df, {}, dict(enumerate(combos))).groupBy("o").agg(
         F.count(F.lit(1)).alias("d"), F.count_if(F.col("n") > 1).alias("r"))
     found = {combos[r["o"]]: (r["d"], r["r"]) for r in counted.collect()}
     return {c: found.get(c, (0, 0)) for c in combos}
@@ -182,7 +177,8 @@ def discover_keys(
             estimates = dict(zip(known, _sketched(df, known), strict=True))
             most |= {c: int(n * slack) + 1 for c, n in estimates.items()}
             open_ones = [c for c in known if not any(nulls[x] for x in c) and most[c] >= total]
-            found = _exact(df, open_ones, total, nulls)
+            refuted = _refuted(df, open_ones, total)
+            found = _exact(df, [c for c in open_ones if c not in refuted])
             for c in known:
                 gaps = nulls[c[0]] if width == 1 else 0
                 if c in found:
