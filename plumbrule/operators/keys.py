@@ -10,6 +10,7 @@ one hash slice of a large table, which rules out most; what is left is counted e
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 from typing import Sequence
 
@@ -34,8 +35,10 @@ EXACT, ESTIMATED = "EXACT", "ESTIMATED"
 #: Keys of which fewer than so many rows share one, on average, are not combined before a shuffle.
 MOSTLY_UNIQUE = 2
 
-#: A hash slice of the keys is searched for a repeated one first, one slice of at most so many, for every million rows one.
-MAX_SLICES, ROWS_PER_SLICE = 64, 1_000_000
+#: A hash slice of the keys is searched for a repeated one first: of so many rows, but one slice of at most so many.
+MAX_SLICES, ROWS_PER_SLICE = 64, 100_000
+#: Combinations whose keys are formed in one pass, few enough for compiled code.
+COMBOS_PER_PASS = 8
 
 
 def combo_evidence(df: DataFrame, combos: Sequence[Sequence[str]], is_full_scan: bool = True) -> DataFrame:
@@ -118,7 +121,9 @@ def _refuted(df: DataFrame, combos: Sequence[tuple[str, ...]], total: int) -> se
     slices = min(MAX_SLICES, total // ROWS_PER_SLICE)
     if slices < 2 or not combos:
         return set()
-    held = complete_keys(df, dict(enumerate(combos))).where(F.pmod("k1", F.lit(slices)) == 0)
+    keys = list(enumerate(combos))
+    passes = [complete_keys(df, dict(keys[k:k + COMBOS_PER_PASS])) for k in range(0, len(keys), COMBOS_PER_PASS)]
+    held = reduce(DataFrame.unionByName, passes).where(F.pmod("k1", F.lit(slices)) == 0)
     found = held.groupBy("o", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("o").distinct()
     return {combos[r["o"]] for r in found.collect()}
 
